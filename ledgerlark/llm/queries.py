@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
+from .licenses import op8_license_scan
 from .near_dedup import op4_near_dedup
+from .packing import op5_pack
+from .quality import op6_quality
+from .secrets import op3_secret_scan
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_secret_scan": op3_secret_scan,
     "op4_near_dedup": op4_near_dedup,
+    "op5_pack": op5_pack,
+    "op6_quality": op6_quality,
+    "op8_license_scan": op8_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}

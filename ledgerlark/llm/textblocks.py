@@ -79,6 +79,13 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self._inside = inside
 
+    @classmethod
+    def spanning(cls, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> Words:
+        """Given spans in place of words; ``inside`` marks their bytes."""
+        out = cls.__new__(cls)
+        out.data, out.starts, out.ends, out._inside = data, starts, ends, inside
+        return out
+
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the words with A-Z lower-cased."""
         if not len(self.starts):
