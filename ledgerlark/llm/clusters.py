@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,3 +62,97 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def _mark(links: DataFrame) -> tuple:
     row = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose whole sets (node, grams) overlap by ``percent`` hundredths of their union."""
+    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
+    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return pairs.join(left, "a").join(right, "b").where(100 * shared >= percent * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
+
+
+def bucket_links(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join all nodes of ``keyed`` (node, band) that share a bucket and overlap enough.
+
+    A bucket gives star-shaped candidate edges, each node to the bucket's least one, not all pairs.
+    ``sets_of`` gives (node, grams) for the nodes of stars, and the stars are confirmed on these whole
+    sets. Nodes that candidate edges connect are a family. Where the confirmed stars leave a family in
+    several components, the nodes outside its largest one are compared with the others in blocks of a
+    bounded size, so that no link hangs on the choice of centre; a block returns no more links than
+    join its components.
+    """
+    bucket = Window.partitionBy("band")
+    spread = keyed.select("node", "band", F.min("node").over(bucket).alias("centre"))
+    stars = cut(spread.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
+    family = cut(components(stars).select(F.col("id").alias("node"), F.col("component").alias("family")))
+    sets = cut(sets_of(family.select("node")))
+    links = cut(confirmed(stars, sets, percent))
+    placed = family.join(components(links).withColumnRenamed("id", "node"), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
+    sized = cut(placed.join(sets.select("node", F.size("grams").alias("size")), "node"))
+    parts = sized.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    total = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("grams").alias("grams"), F.count("*").alias("parts")).where("parts > 1")
+    block = lambda n, grams: F.ceil(F.greatest(n / F.lit(BLOCK_NODES), grams / F.lit(BLOCK_GRAMS), F.lit(1.0))).cast("int")
+    outside = parts.join(total.select("family", F.col("top.component").alias("main")), "family").where("component != main").groupBy("family").agg(F.sum("n").alias("n"), F.sum("grams").alias("grams"))
+    total = total.select("family", F.col("top.component").alias("main"), block(F.col("n"), F.col("grams")).alias("columns")).join(outside.select("family", block(F.col("n"), F.col("grams")).alias("rows")), "family")
+    rows = cut(sized.select("node", "family", "component").join(total, "family")).join(sets, "node")
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("component != main").select("*", every("columns").alias("other"))
+    right = rows.select("*", every("rows").alias("other"))
+    shown = lambda df, side, i, j: df.select("family", i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "node", "component", "grams")
+    dealt = shown(left, 0, mine("rows"), F.col("other")).unionByName(shown(right, 1, F.col("other"), mine("columns")))
+    return links.unionByName(dealt.groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a long, b long"))
+
+
+BLOCK_NODES, BLOCK_GRAMS, _COLUMNS = 512, 1 << 20, 4096
+
+
+def _block_links(percent: int):
+    """Arrow function over one block: links between components, as few as join them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side, node, component = (table.column(c).to_numpy() for c in ("side", "node", "component"))
+        lists = table.column("grams").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(node)), size)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        place = np.empty(len(node), dtype=np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        on_left = side[owner] == 0
+        both, number = np.unique(flat, return_inverse=True)
+        shared = np.zeros(len(both), dtype=bool)
+        shared[np.intersect1d(number[on_left], number[~on_left])] = True
+        renumbered = np.cumsum(shared) - 1
+        use = shared[number]
+        column, owner, on_left = renumbered[number[use]], owner[use], on_left[use]
+        order = np.argsort(column, kind="stable")
+        column, owner, on_left = column[order], owner[order], on_left[order]
+        overlap = np.zeros((len(left), len(right)), dtype=np.float32)
+        for at in range(0, int(shared.sum()), _COLUMNS):
+            cut_ = slice(*np.searchsorted(column, [at, at + _COLUMNS]))
+            c, o, l = column[cut_] - at, owner[cut_], on_left[cut_]  # noqa: E741
+            x, y = np.zeros((len(left), _COLUMNS), dtype=np.float32), np.zeros((len(right), _COLUMNS), dtype=np.float32)
+            x[place[o[l]], c[l]] = 1
+            y[place[o[~l]], c[~l]] = 1
+            overlap += x @ y.T
+        overlap = overlap.astype(np.int64)
+        enough = 100 * overlap >= percent * (size[left][:, None] + size[right][None, :] - overlap)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(enough & (component[left][:, None] != component[right][None, :])), strict=True):
+            x, y = root(int(component[left[i]])), root(int(component[right[j]]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(node[left[i]]), int(node[right[j]])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run

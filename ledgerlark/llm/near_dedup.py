@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash
-from .clusters import components, cut
+from .clusters import bucket_links, components, cut
 from .textblocks import U64, Words, blocks, byte_class, mix, shingles
 
 BANDS, ROWS = 30, 6
@@ -56,14 +56,6 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, word_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_prepare(width, word_class, False), "doc_id long, grams array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets overlap by ``percent`` of their union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * shared >= percent * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, word_class: str = "space") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -74,9 +66,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are first folded into one class. Classes meet in banded buckets of a densified
     one-permutation signature (30 bands of 6: a link at 0.85 is missed by all bands with odds under
-    1e-6). A bucket gives star-shaped edges to its least class, not all pairs; where the confirmed
-    stars leave a bucket in several components, the members outside its largest component are
-    compared with the others, so that no link is lost to the star's choice of centre.
+    1e-6). A bucket gives star-shaped edges to its least class, not all pairs; ``bucket_links`` confirms
+    them and finds the links that the choice of centre would lose.
 
     Null or wordless texts have n_shingles 0 and link with nothing. A null id keeps its row, with a
     null component, and links with nothing. Rows that repeat an id share its component. An empty
@@ -87,15 +78,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = cut(usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     reps = usable.join(classes.select("d1", "d2", "n_shingles", F.col("rep").alias("doc_id")), ["d1", "d2", "n_shingles", "doc_id"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    keyed = reps.select("doc_id", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("most")).where("centre < most").select("band", "centre")
-    members = cut(keyed.join(buckets, "band"))
-    stars = cut(members.where("doc_id > centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct())
-    touched = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(shingle_sets(given.join(touched, "doc_id", "left_semi"), "doc_id", "text", width, word_class).join(reps.select("doc_id", "d1"), "doc_id", "left_semi"))
-    links = cut(_confirmed(stars, sets, percent))
-    found = components(links)
-    links = links.unionByName(_confirmed(_left_over(members, found), sets, percent))
+    keyed = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        texts = given.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+        return shingle_sets(texts, "doc_id", "text", width, word_class).withColumnRenamed("doc_id", "node").dropDuplicates(["node"])
+
+    links = bucket_links(keyed, sets_of, percent)
     same = usable.join(classes.where("n > 1"), ["d1", "d2", "n_shingles"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(same))
     out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -103,16 +92,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
-def _left_over(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of bucket mates in different components, each with one end outside the bucket's largest component."""
-    placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    counted = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    main = counted.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("top.component").alias("main"))
-    split = cut(placed.join(main, "band"))
-    rest = split.where("component != main").select("band", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-    return rest.join(split.select("band", F.col("doc_id").alias("y"), F.col("component").alias("cy")), "band").where("cx != cy").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-
-
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, less those whose component holds a smaller doc_id; of rows with one id, one stays."""
     kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
