@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm.clusters import fresh_path
+from ledgerlark.llm.decontaminate import clean
+from ledgerlark.llm.line_dedup import drop_duplicate_lines
 from ledgerlark.llm.near_dedup import keep_one
+from ledgerlark.llm.packing import pack
+from ledgerlark.llm.quality import keep_good
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, scores under 0.5 go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of fuzzy copies of a line (similarity 0.8 or more) the first stays; documents that lose all their lines go."""
+    return drop_duplicate_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +27,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item, or a shorter item as a whole, go."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, with their places in sequences of 2048 tokens."""
+    return pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("packing", packing)]
 
+#: The stages' models, signatures and tokens have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -117,22 +117,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Null ids and rows that repeat are kept as they are; a null text has no words. Items with a null
     id or text are skipped, items that repeat an id count once. Other columns are ignored.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").alias("body")).where("item is not null and body is not null")
-    total = items.agg(F.sum(F.octet_length("body") + 16)).first()[0] or 0
-    shares = -(-total // most_bytes) or 1
+    shares = _shares(benchmark, item_col, most_bytes)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if shares == 1:
-        return _pass(given, items, window)
+    if len(shares) == 1:
+        return _pass(given, shares[0], window)
     keyed = given.withColumn("row_key", F.xxhash64("doc_id", "text"))
     passes = []
-    for k in range(shares):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(shares)) == k)
+    for part in shares:
         passes.append(_pass(keyed.select(F.struct("doc_id", "row_key").alias("doc_id"), "text"), part, window).where("size(items) > 0").select("doc_id.doc_id", "doc_id.row_key", "items", "spans"))
     hits = passes[0]
     for more in passes[1:]:
         hits = hits.unionByName(more)
     merged = hits.groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans")).withColumn("spans", _merged("spans"))
-    none = given.sparkSession.createDataFrame([], items.schema)
+    none = given.sparkSession.createDataFrame([], shares[0].schema)
     counts = _pass(keyed.select(F.struct("doc_id", "row_key").alias("doc_id"), "text"), none, window).select("doc_id.doc_id", "doc_id.row_key", "n_words")
     empty = F.array().cast("array<string>"), F.array().cast("array<struct<first_word:long,end_word:long,start:long,end:long>>")
     return counts.join(merged, "row_key", "left").select("doc_id", "n_words", F.coalesce("items", empty[0]).alias("items"), F.coalesce("spans", empty[1]).alias("spans"))
@@ -149,20 +146,44 @@ def _merged(spans: str):
     return F.aggregate(spans, start, lambda done, x: F.when(joins(done, x), grown(done, x)).otherwise(F.concat(done, F.array(x))))
 
 
-def _pass(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+def _shares(benchmark: DataFrame, item_col: str, most_bytes: int) -> list[DataFrame]:
+    """(item, body) of the benchmark, as one table if its size allows, else dealt by hashed item."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").alias("body")).where("item is not null and body is not null")
+    total = items.agg(F.sum(F.octet_length("body") + 16)).first()[0] or 0
+    n = -(-total // most_bytes) or 1
+    return [items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
+
+
+def _shared(items: DataFrame):
     rows = items.distinct().collect()
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted((r["item"], r["body"]) for r in rows)))
+    return items.sparkSession.sparkContext.broadcast(tuple(sorted((r["item"], r["body"]) for r in rows)))
+
+
+def _pass(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_scan(shared, window), f"doc_id {kind}, {_OUT}")
+    return docs.mapInArrow(_scan(_shared(items), window), f"doc_id {kind}, {_OUT}")
+
+
+def _clean(shared, window: int, text: str):
+    def run(batches):
+        matcher = _matcher(shared.value, window)
+        for batch in batches:
+            for rows, data, offsets in blocks(batch, text):
+                keep = np.ones(len(offsets) - 1, dtype=bool)
+                keep[[row for row, _ in matcher.scan(data, offsets)[1]]] = False
+                yield rows.filter(pa.array(keep))
+
+    return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no benchmark window; a null id or text stays."""
-    dirty = contamination(docs, benchmark, **options).where("size(items) > 0").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no benchmark pattern; a null text stays."""
+    for part in _shares(benchmark, item_col, most_bytes):
+        docs = docs.mapInArrow(_clean(_shared(part), window, text_col), docs.schema)
+    return docs
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["first_word"])
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"), "spans")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))

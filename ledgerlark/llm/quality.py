@@ -147,7 +147,20 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is ``least`` or more; rows with a null id stay."""
-    bad = score_quality(docs, fit(docs, labels)).where(F.col("score") < least).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def _keep(shared, least: float):
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            for rows, data, offsets in blocks(batch, "text to score", most=BLOCK):
+                rows = rows.drop_columns(["text to score"])
+                for p in (slice(i, min(i + 512, len(offsets) - 1)) for i in range(0, len(offsets) - 1, 512)):
+                    score = model.score(term_counts(data[offsets[p.start] : offsets[p.stop]], offsets[p.start : p.stop + 1] - offsets[p.start]))
+                    yield rows.slice(p.start, p.stop - p.start).filter(pa.array(score >= least))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
+    return docs.withColumn("text to score", F.col(text_col)).mapInArrow(_keep(shared, least), docs.schema)

@@ -94,10 +94,10 @@ class Words:
         compact = np.cumsum(sizes) - sizes
         values = _BYTE_LOWER[self.data[self._inside]]
         place = np.arange(len(values)) - np.repeat(compact, sizes)
-        if sizes.max() <= len(_PLACE):
-            values *= _PLACE[place]
-        else:
-            values *= mix((place + 1).astype(U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+        values *= _PLACE[np.minimum(place, len(_PLACE) - 1)]
+        if sizes.max() > len(_PLACE):
+            far = place >= len(_PLACE)
+            values[far] *= mix(place[far].astype(U64)) | U64(1)
         return mix(np.add.reduceat(values, compact) + sizes.astype(U64))
 
 
