@@ -44,24 +44,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
-    mark = _mark(links)
-    while mark[0]:
+    while not _stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        links = cut(small)
-        now = _mark(links)
-        if now == mark:
-            break
-        mark = now
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        links = cut(small.where("u != v").distinct())
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _mark(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _stars(links: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u."""
+    ends = links.select("u", F.lit(1).alias("n")).unionByName(links.select(F.col("v").alias("u"), F.lit(None).cast("int").alias("n")))
+    seen = ends.groupBy("u").agg(F.count("n").alias("up"), F.count_if(F.col("n").isNull()).alias("down"))
+    return not seen.where((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") > 0)).limit(1).count()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -76,19 +76,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(given.mapInArrow(_prepare(width, word_class, True), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    reps = usable.join(classes.select("d1", "d2", "n_shingles", F.col("rep").alias("doc_id")), ["d1", "d2", "n_shingles", "doc_id"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    keyed = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
+    classes = usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    folded = cut(usable.join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
+    keyed = folded.select(F.col("rep").alias("node"), F.explode("bands").alias("band"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         texts = given.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
         return shingle_sets(texts, "doc_id", "text", width, word_class).withColumnRenamed("doc_id", "node").dropDuplicates(["node"])
 
     links = bucket_links(keyed, sets_of, percent)
-    same = usable.join(classes.where("n > 1"), ["d1", "d2", "n_shingles"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(same))
-    out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
+    twice = folded.groupBy("doc_id").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
+    found = components(links.unionByName(folded.join(twice, "doc_id").select(F.col("rep").alias("a"), F.col("first").alias("b"))))
+    placed = folded.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = placed.unionByName(alone)
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
