@@ -8,11 +8,14 @@ from .embedding_dedup import op2_embedding_dedup
 from .licenses import op8_license_scan
 from .line_dedup import op9_line_dedup
 from .near_dedup import op4_near_dedup
+from .oracle import ORACLE_SQL
 from .packing import op5_pack
 from .quality import op6_quality
 from .secrets import op3_secret_scan
 from .url_filter import op7_url_filter
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -25,5 +28,3 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
 }
-
-ORACLE_SQL: dict[str, str] = {}
