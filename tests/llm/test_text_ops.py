@@ -1,0 +1,328 @@
+import base64
+import collections
+import gzip
+import hashlib
+import re
+import urllib.parse
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from ledgerlark.llm import chat_format, licenses, packing, secrets, url_filter
+from ledgerlark.llm.decontaminate import clean, contamination
+from ledgerlark.llm.quality import fit, keep_good, score_quality
+from ledgerlark.llm.textblocks import Words, byte_class, hash_word
+
+from .helpers import WORDS, lower, prose, upper
+
+
+def by_key(df, key="doc_id"):
+    out = collections.defaultdict(list)
+    for r in df.collect():
+        out[r[key]].append(r)
+    return out
+
+
+def test_word_hashes_do_not_depend_on_neighbours():
+    texts = ["Über straße", "x" * 9000 + " über", "", "a"]
+    data = [t.encode() for t in texts]
+    words = Words(np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([0, *map(len, data)]), byte_class("alnum"))
+    assert np.diff(words.first).tolist() == [2, 2, 0, 1]
+    hashes = words.hashes()
+    assert hashes[1] == hash_word("straße".encode()) and hashes[3] == hash_word("über".encode()) and len(set(hashes.tolist())) == 5
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, 600])
+def test_contamination(spark, docs, most_bytes):
+    item = prose(40, 25)
+    short = "Öl, und 7!"
+    bench = spark.createDataFrame([(1, item, 1), (2, short, 2), (10, item, 3), (3, None, 4), (4, "...", 5), (None, "one", 6), (5, prose(41, 60), 7)], "item_id long, text string, doc_id int")
+    parts = item.split()
+    more = [
+        (100, f"{prose(42, 5)} {upper(' '.join(parts[3:14]))} end"), (101, f"öl und... 7 {item} {item}"), (102, " ".join(parts[:9])), (103, f"x{item}"), (104, "𝒳 " + " - ".join(parts)),
+    ]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    window = collections.defaultdict(set)
+    for i, t in [("1", item), ("2", short), ("10", item), ("5", prose(41, 60))]:
+        w = WORDS.findall(lower(t))
+        for k in range(max(len(w) - 9, 1)):
+            window[tuple(w[k : k + 10])].add(i)
+    rows, found = both.collect(), contamination(both, bench, most_bytes=most_bytes).collect()
+    assert len(found) == len(rows)
+    texts = collections.defaultdict(set)
+    for r in rows:
+        texts[r["doc_id"]].add(r["text"])
+    for r in found:
+        expected = []
+        for text in texts[r["doc_id"]]:
+            w = WORDS.findall(lower(text))
+            hit = [(k, k + n, window[tuple(w[k : k + n])]) for n in {len(x) for x in window} for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in window]
+            expected.append((len(w), sorted({i for _, _, x in hit for i in x}), len({p for a, b, _ in hit for p in range(a, b)})))
+        assert (r["n_words"], r["items"], sum(s["end_word"] - s["first_word"] for s in r["spans"])) in expected
+        if r["doc_id"] == 104:
+            text = next(iter(texts[104]))
+            assert [text[s["start"] : s["end"]] for s in r["spans"]] == [" - ".join(parts)]
+    left = {r["doc_id"] for r in clean(both, bench, most_bytes=most_bytes).collect()}
+    assert left == {r["doc_id"] for r in found if not r["items"]} and {100, 101, 104}.isdisjoint(left) and 102 in left
+
+
+def test_contamination_empty(spark, docs, no_docs):
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert contamination(no_docs, bench).count() == 0
+    assert not contamination(docs, bench.where("false")).where("size(items) > 0").count()
+    assert clean(docs, bench.where("false")).count() == docs.count()
+
+
+SECRET = "password=hunter2hunter2"
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda s: urllib.parse.quote(s, safe=""), lambda s: urllib.parse.quote(urllib.parse.quote(s, safe=""), safe=""), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"&#{ord(c)};" for c in s),
+        lambda s: base64.b64encode(s.encode()).decode(), lambda s: base64.urlsafe_b64encode(gzip.compress(s.encode())).decode(), lambda s: base64.b64encode(zlib.compress(s.encode())).decode(),
+        lambda s: urllib.parse.quote(base64.b64encode(gzip.compress(base64.b64encode(s.encode()))).decode(), safe=""), lambda s: base64.b64encode("".join(f"\\x{ord(c):02x}" for c in s).encode()).decode(),
+    ],
+)
+def test_layers(wrap):
+    coded = wrap(SECRET)
+    text = f"see {coded} end"
+    base = list(secrets.base_spans(text))
+    found = [s for s in secrets.all_spans(text, base) if s not in base]
+    assert any(s[0] == "assign" and text[s[1] : s[2]].strip("=") == coded.strip("=") for s in found), (coded, found)
+
+
+def test_layers_end():
+    assert secrets.all_spans("%25%2525 \\u005cu005c &amp;amp; QUFBQUFBQUFBQUFBQUFBQQ==", []) == []
+    bomb = base64.b64encode(zlib.compress(b" " * (5 << 20) + SECRET.encode())).decode()
+    assert [s[0] for s in secrets.all_spans(bomb, [])] == ["assign"]
+    assert secrets.all_spans("%41" * 20000, []) == []
+
+
+def test_secrets(spark, docs, no_docs):
+    texts = {1: 'Token = "abcdefgh" API_KEY:\'abc.def-12\' tokens=12345678 token=short', 2: "AKIA" + "A" * 11 + " AKIA" + "Z" * 12 + "AKIA", 3: "é" + "0" * 31 + " " + "a" * 40 + "g" + "f" * 32, 4: None, 5: "", 6: "ſecret=abcdefgh toKen=abcdefghi", 7: f"x {urllib.parse.quote(SECRET, safe='')}"}
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["layer"]) for s in r["spans"]] for r in secrets.find_secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found[1] == [("assign", 0, 17, "text"), ("assign", 19, 38, "text")]
+    assert found[2] == [("access", 16, 36, "text")]
+    assert found[3] == [("hex", 33, 73, "text"), ("hex", 74, 106, "text")]
+    assert found[4] == found[5] == []
+    assert [s[0] for s in found[6]] == ["assign"]
+    assert found[7] == [("assign", 2, len(texts[7]), "decoded")]
+    assert secrets.find_secrets(docs).count() == docs.count() and secrets.find_secrets(no_docs).count() == 0
+
+
+def test_licenses(spark, docs, no_docs):
+    apache = licenses.TEMPLATES["apache-2.0"]
+    texts = {1: f"code\n{apache}\nmore", 2: "All RIGHTS, reserved. cc by cc-by", 3: "general public", 4: None, 5: "all rights", 6: "reserved", 7: "Licensed under the Apache License, Version 2.0.", 8: apache.replace("compliance", "harmony")}
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    top = max(found[1]["spans"], key=lambda s: s["covered"])
+    assert (top["template"], top["covered"], top["first_word"]) == ("apache-2.0", len(WORDS.findall(lower(apache))), 1)
+    assert texts[1][top["start"] : top["end"]] == apache.rstrip(".") and found[1]["score"] == 1
+    assert (found[2]["n_base"], found[2]["first_word"], found[2]["last_word"], found[2]["base_labels"]) == (3, 0, 5, "cc-by,reserved")
+    for i in (3, 4, 5, 6):
+        assert (found[i]["n_base"], found[i]["first_word"], found[i]["labels"], found[i]["score"]) == (0, None, "", 0)
+    assert "apache-2.0" in found[7]["labels"] and 0 < found[7]["score"] < 1.01
+    assert 0.9 < found[8]["score"] < 1 and len([s for s in found[8]["spans"] if s["template"] == "apache-2.0"]) == 1
+    assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(no_docs).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=12), min_size=1, max_size=3), st.lists(st.integers(0, 4), max_size=15))
+def test_matching_statistics(lines, text):
+    automaton = licenses.SuffixAutomaton(lines)
+    inside = lambda part: [i for i, line in enumerate(lines) if any(line[k : k + len(part)] == part for k in range(len(line) - len(part) + 1))]
+    for end, (size, state) in enumerate(automaton.statistics(text), 1):
+        best = max(n for n in range(end + 1) if n == 0 or inside(text[end - n : end]))
+        assert size == best
+        if size:
+            assert [i for i in range(len(lines)) if automaton.owners[state] >> i & 1] == inside(text[end - size : end])
+
+
+def check_packing(found, texts, capacity):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    left = collections.Counter((i, t) for i, t in texts)
+    pieces = collections.defaultdict(list)
+    for r in found:
+        pieces[r["sequence_id"]].append(r)
+    for each in pieces.values():
+        at = 0
+        for r in sorted(each, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= capacity
+    expected = collections.Counter()
+    for i, t in left.elements():
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        first = (len(ids) - 1) % capacity + 1
+        cuts = [0, *range(first, len(ids) + 1, capacity)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            expected[i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert expected == collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found)
+    return len(pieces), sum(r["length"] for r in found)
+
+
+@pytest.mark.parametrize("capacity", [64, 2048])
+def test_packing(docs, no_docs, capacity):
+    rows = docs.where("length(text) < 200000 or text is null")
+    texts = [(r["doc_id"], r["text"]) for r in rows.collect()]
+    for rule in ("dot", "norm"):
+        n, tokens = check_packing(packing.pack(rows, capacity=capacity, rule=rule).collect(), texts, capacity)
+        assert n <= tokens / capacity * 1.02 + 2
+    assert packing.pack(no_docs).count() == 0
+
+
+def test_ids_are_the_tokenizers():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    for text in ("", " a  b\n\n  c ", "It's 12'345 don't'll", "<|endoftext|>", "ñ𝒳\u00a0 \u2028x", "a" * 3000, prose(50, 500), "*** !!&&& | x |\t\t"):
+        assert packing.token_ids(text) == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_plan_keeps_every_capacity():
+    rng = np.random.default_rng(6)
+    counts = {int(n): int(c) for n, c in zip(rng.integers(1, 101, 60), rng.integers(1, 50, 60), strict=True)}
+    for most_docs, most_cost, rule in ((100, 10_000, "dot"), (3, 10_000, "dot"), (100, 10_000, "norm"), (5, 10_001, "norm")):
+        slots = packing.plan(counts, 100, most_docs, most_cost, rule=rule)
+        bins, ranks = collections.defaultdict(list), collections.defaultdict(set)
+        for length, first, n, sequence, copies, offset in slots:
+            for r in range(n):
+                bins[sequence + r // copies].append((offset + r % copies * length, length))
+                assert first + r not in ranks[length]
+                ranks[length].add(first + r)
+        assert {k: len(v) for k, v in ranks.items()} == counts and all(v == set(range(len(v))) for v in ranks.values())
+        for each in bins.values():
+            assert len(each) <= most_docs and sum(n * n for _, n in each) <= most_cost and sum(n for _, n in each) <= 100
+            at = 0
+            for offset, n in sorted(each):
+                assert offset == at
+                at += n
+    with pytest.raises(ValueError):
+        packing.plan({101: 1}, 100, 10, 10_000)
+
+
+def test_quality(spark, no_docs):
+    good = [(i, prose(100 + i, 40)) for i in range(120)]
+    bad = [(1000 + i, " ".join(f"{w.upper()}!!" for w in prose(400 + i, 40).split())) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, 0.5, 1) for i, t in [*good, *bad, (5000, None), (5001, ""), (None, good[0][1]), (5002, prose(7, 30000))]], "doc_id long, text string, score double, quality int")
+    labels = spark.createDataFrame([*((i, 1) for i, _ in good[:80]), *((i, 0) for i, _ in bad[:40]), (None, 1), (7, None), (8, 5), (3, 1), (99999, 0)], "doc_id long, quality int")
+    scored = by_key(score_quality(docs, fit(docs, labels)))
+    assert all(scored[i][0]["score"] > 0.5 for i, _ in good[80:]) and all(scored[i][0]["score"] < 0.5 for i, _ in bad[40:])
+    assert all(0 <= r["score"] <= 1 for each in scored.values() for r in each) and sum(map(len, scored.values())) == docs.count()
+    kept = keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert {i for i, _ in good} | {None} <= ids and not {i for i, _ in bad} & ids
+    none = labels.where("false")
+    assert {r["score"] for r in score_quality(docs, fit(docs, none)).collect()} == {0.5} and keep_good(docs, none).count() == docs.count()
+    assert score_quality(no_docs, fit(no_docs, labels)).count() == 0
+
+
+def test_held_out_accuracy(spark):
+    """Over the small test tables: labels that the fit never saw."""
+    from ledgerlark.llm.quality import op6_quality
+
+    folder = "/root/testdata/sf0.01"
+    rows = op6_quality(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    assert {zlib.crc32(str(r["doc_id"]).encode()) % 3 for r in rows} == {1}
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
+
+
+def test_urls(spark):
+    urls = {1: "https://WWW.Example.com/en/71?x#y", 2: "http://a.b.com/en/", 3: "x://example.com/en", 4: None, 5: "nothing", 6: "http://x.example.net/de/8", 7: "http://net/de/1", 8: "http://notexample.com/en/1", 9: "a://b://c/d", 10: "http://m.ads-track.example.com/fr/1", 11: "http://Ünï.org/es/", 12: "://", 13: "http://ads-track.example.com?x"}
+    df = spark.createDataFrame([(i, u, "h", "r") for i, u in urls.items()] + [(None, urls[1], "h", "r")], "page_id long, url string, host string, rule string")
+    expected = {1: ("www.example.com", "/en/71", "example.com/en/7", "allow"), 2: ("a.b.com", "/en/", "com/en/", "block"), 3: ("example.com", "/en", None, "allow"), 4: ("", "", None, "allow"), 5: ("", "", None, "allow"), 6: ("x.example.net", "/de/8", "example.net/de/8", "block"), 7: ("net", "/de/1", "net/de/", "allow"), 8: ("notexample.com", "/en/1", "com/en/", "block"), 9: ("b:", "//c/d", None, "allow"), 10: ("m.ads-track.example.com", "/fr/1", None, "block"), 11: ("Ünï.org", "/es/", "org/es/", "block"), 12: ("", "", None, "allow"), 13: ("ads-track.example.com", "", None, "allow")}
+    listed = spark.createDataFrame([(e,) for e in (*url_filter.LISTED, None)], "entry string")
+    for options in ({}, {"listed": listed}, {"listed": listed, "most_bytes": 0}):
+        found = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge_urls(df, **options).collect()}
+        assert found == expected | {None: expected[1]}
+    assert url_filter.judge_urls(df.where("false")).count() == 0
+
+
+def test_digest_collisions(tmp_path, monkeypatch):
+    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: len(s) % 3)
+    strings = [f"host{i}/path" + "x" * (i % 7) for i in range(50)]
+    url_filter.DigestArray.write(str(tmp_path), "t", strings)
+    array = url_filter.DigestArray(str(tmp_path), "t")
+    found = array.find([s.encode() for s in [*strings, "absent/", "absent/x"]])
+    assert [array.text(int(k)) for k in found[:50]] == strings and found[50:].tolist() == [-1, -1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("<|>\\[]/INSTs\nturnedé ")), st.text(alphabet=st.sampled_from("ab\n\\<|>")))
+def test_escapes_round_trip(text, role):
+    formatted, at = chat_format.turn_text(role, text)
+    assert chat_format.unescape(chat_format.escape(text)) == text
+    assert not any(c in chat_format.escape(text) for c in chat_format.CONTROL)
+    assert list(chat_format.read_turns(formatted + formatted)) == [(role, text)] * 2
+    assert chat_format.unescape(formatted[at : -len(chat_format.CLOSE)]) == text
+
+
+@pytest.mark.parametrize(("budget", "history"), [(2048, 512), (60, 25), (1, 0), (90, 90)])
+def test_chat(spark, budget, history):
+    rows = []
+    for conv in range(12):
+        for turn in range(conv):
+            role = "system" if turn == 0 and conv % 2 else ("user", "assistant")[turn % 2]
+            rows.append((conv, turn * 3, role, None if turn == 5 else f"<|end|>\n{prose(conv * 50 + turn, 4 + turn * 3)}"))
+    rows += [(None, 1, "user", "q"), (None, 2, "assistant", "a"), (50, None, "user", "first"), (50, 1, "assistant", "x"), (50, 1, "assistant", "x"), (50, 1, None, "odd"), (60, 1, "system", "only"), (70, 1, "assistant", prose(9, 3000))]
+    df = spark.createDataFrame([(*r, "extra", 1) for r in rows], "conv_id long, turn long, role string, text string, formatted string, tokens int")
+    windows = chat_format.format_conversations(df, budget=budget, history=history)
+    found = {r[0]: r for r in windows.mapInArrow(chat_format._digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").collect()}
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")
+    for conv in {r[0] for r in rows}:
+        turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=key)]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert found[conv][1:5] == (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    for w in windows.collect():
+        turns = list(chat_format.read_turns(w["formatted"]))
+        assert w["tokens"] <= budget or len(turns) - len(w["repeats"]) <= 1 + (w["window"] == 0)
+        if w["conv_id"] is not None and w["conv_id"] % 2 and w["conv_id"] > 2:
+            assert turns[0][0] == "system"
+    assert chat_format.format_conversations(df.where("false")).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage on what the one before kept, against plain versions of what must and must not stay."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r for r in docs.collect()}
+        path = str(tmp_path / re.sub(r"\W", "_", name))
+        stage(spark, docs, folder).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if name != "packing":
+            assert docs.columns == columns
+            kept[name] = (before, {r["doc_id"]: r for r in docs.collect()})
+    before, after = kept["quality classifier"]
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    assert sum(i not in after for i, q in labels.items() if q) <= 1 and sum(i in after for i, q in labels.items() if not q) <= 1
+    before, after = kept["line dedup"]
+    lines = collections.Counter(lower(x).strip(" \t\x0b\x0c\r") for r in after.values() for x in (r["text"] or "").split("\n"))
+    assert max(n for x, n in lines.items() if x) == 1
+    before, after = kept["near-dedup"]
+    grams = {}
+    for i, r in before.items():
+        words = lower(r["text"]).split()
+        grams[i] = set(zip(*(words[k:] for k in range(5)), strict=False)) if len(words) >= 5 else {tuple(words)} if words else set()
+    near = [(a, b) for a in grams for b in grams if a < b and grams[a] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    assert set(after) == set(before) - {b for _, b in near}
+    before, after = kept["decontamination"]
+    windows = set()
+    for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+        w = WORDS.findall(lower(r["text"]))
+        windows |= {tuple(w[k : k + 10]) for k in range(len(w) - 9)}
+    dirty = {i for i, r in before.items() if any(tuple(w[k : k + 10]) in windows for w in [WORDS.findall(lower(r["text"]))] for k in range(len(w)))}
+    assert set(after) == set(before) - dirty
+    check_packing(docs.collect(), [(i, r["text"]) for i, r in after.items()], 2048)
+    whole = corpus_pipeline.run(spark, folder)
+    assert whole.agg(F.sum("length")).first()[0] == docs.agg(F.sum("length")).first()[0]
