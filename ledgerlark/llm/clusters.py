@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -9,7 +10,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let shuffle files go that no live plan reads; Spark frees them once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
 
@@ -61,20 +67,50 @@ def _stars(links: DataFrame) -> bool:
     return not seen.where((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") > 0)).limit(1).count()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose whole sets (node, grams) overlap by ``percent`` hundredths of their union."""
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * shared >= percent * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
+#: Texts of a batch to (grams, row of each): 64-bit hashes of the sets that links compare, sorted and distinct by row.
+Expand = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def distinct_by_row(grams: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((grams, row))
+    grams, row = grams[order], row[order]
+    new = np.ones(len(grams), dtype=bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
+    return grams[new], row[new]
+
+
+def _compared(expand: Expand, percent: int):
+    """Arrow function: (a, b, x, y) to those (a, b) whose texts' sets overlap by ``percent`` hundredths of their union."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                (left, i), (right, j) = expand(part.column(2)), expand(part.column(3))
+                n = part.num_rows
+                grams, row = np.concatenate([left, right]), np.concatenate([i, j])
+                order = np.lexsort((grams, row))
+                grams, row = grams[order], row[order]
+                both = np.bincount(row[1:][(grams[1:] == grams[:-1]) & (row[1:] == row[:-1])], minlength=n)
+                size = np.bincount(row, minlength=n)
+                yield part.select([0, 1]).filter(pa.array(100 * both >= percent * (size - both)))
+
+    return run
+
+
+def confirmed(pairs: DataFrame, bodies: DataFrame, expand: Expand, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose bodies (node, body) have sets that overlap enough."""
+    left = bodies.select(F.col("node").alias("a"), F.col("body").alias("x"))
+    right = bodies.select(F.col("node").alias("b"), F.col("body").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_compared(expand, percent), "a long, b long")
 
 
-def bucket_links(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def bucket_links(keyed: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], expand: Expand, percent: int) -> DataFrame:
     """Confirmed links (a, b) that join all nodes of ``keyed`` (node, band) that share a bucket and overlap enough.
 
     A bucket gives star-shaped candidate edges, each node to the bucket's least one, not all pairs.
-    ``sets_of`` gives (node, grams) for the nodes of stars, and the stars are confirmed on these whole
-    sets. Nodes that candidate edges connect are a family. Where the confirmed stars leave a family in
+    ``bodies_of`` gives (node, body) for the nodes of stars, ``expand`` their whole sets, on which the
+    stars are confirmed. Nodes that candidate edges connect are a family. Where the confirmed stars leave a family in
     several components, the nodes outside its largest one are compared with the others in blocks of a
     bounded size, so that no link hangs on the choice of centre; a block returns no more links than
     join its components.
@@ -83,38 +119,36 @@ def bucket_links(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pe
     spread = keyed.select("node", "band", F.min("node").over(bucket).alias("centre"))
     stars = cut(spread.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
     family = cut(components(stars).select(F.col("id").alias("node"), F.col("component").alias("family")))
-    sets = cut(sets_of(family.select("node")))
-    links = cut(confirmed(stars, sets, percent))
+    bodies = cut(bodies_of(family.select("node")))
+    links = cut(confirmed(stars, bodies, expand, percent))
     placed = family.join(components(links).withColumnRenamed("id", "node"), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
-    sized = cut(placed.join(sets.select("node", F.size("grams").alias("size")), "node"))
-    parts = sized.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
-    total = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("grams").alias("grams"), F.count("*").alias("parts")).where("parts > 1")
-    block = lambda n, grams: F.ceil(F.greatest(n / F.lit(BLOCK_NODES), grams / F.lit(BLOCK_GRAMS), F.lit(1.0))).cast("int")
-    outside = parts.join(total.select("family", F.col("top.component").alias("main")), "family").where("component != main").groupBy("family").agg(F.sum("n").alias("n"), F.sum("grams").alias("grams"))
-    total = total.select("family", F.col("top.component").alias("main"), block(F.col("n"), F.col("grams")).alias("columns")).join(outside.select("family", block(F.col("n"), F.col("grams")).alias("rows")), "family")
-    rows = cut(sized.select("node", "family", "component").join(total, "family")).join(sets, "node")
+    sized = cut(placed.join(bodies.select("node", F.octet_length("body").alias("size")), "node"))
+    parts = sized.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    total = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).where("parts > 1")
+    block = lambda n, size: F.ceil(F.greatest(n / F.lit(BLOCK_NODES), size / F.lit(BLOCK_BYTES), F.lit(1.0))).cast("int")
+    outside = parts.join(total.select("family", F.col("top.component").alias("main")), "family").where("component != main").groupBy("family").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    total = total.select("family", F.col("top.component").alias("main"), block(F.col("n"), F.col("bytes")).alias("columns")).join(outside.select("family", block(F.col("n"), F.col("bytes")).alias("rows")), "family")
+    rows = cut(sized.select("node", "family", "component").join(total, "family")).join(bodies, "node")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("component != main").select("*", every("columns").alias("other"))
     right = rows.select("*", every("rows").alias("other"))
-    shown = lambda df, side, i, j: df.select("family", i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "node", "component", "grams")
+    shown = lambda df, side, i, j: df.select("family", i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "node", "component", "body")
     dealt = shown(left, 0, mine("rows"), F.col("other")).unionByName(shown(right, 1, F.col("other"), mine("columns")))
-    return links.unionByName(dealt.groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a long, b long"))
+    return links.unionByName(dealt.groupBy("family", "i", "j").applyInArrow(_block_links(expand, percent), "a long, b long"))
 
 
-BLOCK_NODES, BLOCK_GRAMS, _COLUMNS = 512, 1 << 20, 4096
+BLOCK_NODES, BLOCK_BYTES, _COLUMNS = 512, 4 << 20, 4096
 
 
-def _block_links(percent: int):
+def _block_links(expand: Expand, percent: int):
     """Arrow function over one block: links between components, as few as join them."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         side, node, component = (table.column(c).to_numpy() for c in ("side", "node", "component"))
-        lists = table.column("grams").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(node)), size)
+        flat, owner = expand(table.column("body").combine_chunks())
+        size = np.bincount(owner, minlength=len(node))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         place = np.empty(len(node), dtype=np.int64)
         place[left], place[right] = np.arange(len(left)), np.arange(len(right))

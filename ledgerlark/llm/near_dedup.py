@@ -8,40 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash
-from .clusters import bucket_links, components, cut
+from .clusters import bucket_links, components, cut, distinct_by_row, release
 from .textblocks import U64, Words, blocks, byte_class, mix, shingles
 
 BANDS, ROWS = 30, 6
 
 
-def _prepare(width: int, word_class: str, keys: bool):
-    """Arrow function: (doc_id, text) to set size, set digest and band keys, or to the whole set."""
+def _sets(data: np.ndarray, offsets: np.ndarray, width: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each row, sorted by row and hash, and their rows."""
+    words = Words(data, offsets, table)
+    grams, bounds = shingles(words.hashes(), words.first, width)
+    return distinct_by_row(grams, np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)))
+
+
+def _prepare(width: int, word_class: str):
+    """Arrow function: (doc_id, text) to set size, set digest and band keys."""
     table = byte_class(word_class)
 
     def run(batches):
         for batch in batches:
             for rows, data, offsets in blocks(batch):
-                words = Words(data, offsets, table)
-                grams, bounds = shingles(words.hashes(), words.first, width)
+                grams, row = _sets(data, offsets, width, table)
                 n = len(offsets) - 1
-                row = np.repeat(np.arange(n), np.diff(bounds))
-                order = np.lexsort((grams, row))
-                grams, row = grams[order], row[order]
-                new = np.ones(len(grams), dtype=bool)
-                new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
-                grams, row = grams[new], row[new]
                 size = np.bincount(row, minlength=n)
-                if not keys:
-                    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                    sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([rows.column(0), sets], ["doc_id", "grams"])
-                    continue
+                ends = np.concatenate([[0], np.cumsum(size)])
                 digest = []
                 for salt in (0x51ED270B, 0x2545F491):
-                    total = np.zeros(n + 1, dtype=U64)
-                    total[1:] = np.cumsum(np.bincount(row, minlength=n))
                     sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(mix(grams + U64(salt)))])
-                    digest.append((sums[total[1:].astype(np.int64)] - sums[total[:-1].astype(np.int64)]).view(np.int64))
+                    digest.append((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64))
                 signature, some = minhash.signatures(grams, row, n, BANDS * ROWS)
                 keyed = minhash.bands(signature, ROWS).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
@@ -51,9 +45,19 @@ def _prepare(width: int, word_class: str, keys: bool):
     return run
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, word_class: str) -> DataFrame:
-    """(doc_id, grams): each text's distinct word shingles as sorted 64-bit hashes."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_prepare(width, word_class, False), "doc_id long, grams array<long>")
+def _expand(width: int, word_class: str):
+    """Function: texts to their distinct shingle hashes and rows."""
+    table = byte_class(word_class)
+
+    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts, at = [], 0
+        for rows, data, offsets in blocks(pa.RecordBatch.from_arrays([texts], ["text"])):
+            grams, row = _sets(data, offsets, width, table)
+            parts.append((grams, row + at))
+            at += rows.num_rows
+        return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else (np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64))
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, word_class: str = "space") -> DataFrame:
@@ -74,17 +78,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows; extra columns are ignored.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(given.mapInArrow(_prepare(width, word_class, True), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
+    signed = cut(given.mapInArrow(_prepare(width, word_class), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     folded = cut(usable.join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
     keyed = folded.select(F.col("rep").alias("node"), F.explode("bands").alias("band"))
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
+    def bodies_of(nodes: DataFrame) -> DataFrame:
         texts = given.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        return shingle_sets(texts, "doc_id", "text", width, word_class).withColumnRenamed("doc_id", "node").dropDuplicates(["node"])
+        return texts.select(F.col("doc_id").alias("node"), F.col("text").alias("body")).dropDuplicates(["node"])
 
-    links = bucket_links(keyed, sets_of, percent)
+    links = bucket_links(keyed, bodies_of, _expand(width, word_class), percent)
+    release(docs.sparkSession)
     twice = folded.groupBy("doc_id").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
     found = components(links.unionByName(folded.join(twice, "doc_id").select(F.col("rep").alias("a"), F.col("first").alias("b"))))
     placed = folded.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
