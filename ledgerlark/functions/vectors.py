@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text import tokens
+from .text import STOP_WORDS
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,7 +34,16 @@ def l2_normalized(a: Column) -> Column:
 
 
 def hashed_embedding(text: Column, width: int = 64) -> Column:
-    """A deterministic embedding: counts of hashed tokens, normalised."""
-    slots = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(width)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return l2_normalized(counts)
+    """A deterministic embedding in Arrow batches: counts of hashed words, normalised; a null text is empty."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        out = np.zeros((len(texts), width))
+        for i, t in enumerate(texts):
+            for word in re.findall("[a-z0-9]+", (t or "").lower()):
+                if word not in STOP_WORDS:
+                    out[i, zlib.crc32(word.encode()) % width] += 1
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+        return pd.Series(list(out))
+
+    return embed(text)

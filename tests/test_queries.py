@@ -5,10 +5,11 @@ import os
 import duckdb
 import pytest
 
-from ledgerlark.plans import catalog_queries, text_queries
+from ledgerlark.plans import catalog_queries, pipeline_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = catalog_queries.QUERIES | text_queries.QUERIES, catalog_queries.ORACLE | text_queries.ORACLE
+QUERIES = catalog_queries.QUERIES | text_queries.QUERIES | pipeline_queries.QUERIES
+ORACLE = catalog_queries.ORACLE | text_queries.ORACLE | pipeline_queries.ORACLE
 
 
 @pytest.fixture(scope="module")
