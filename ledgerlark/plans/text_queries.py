@@ -260,7 +260,10 @@ def rerank_overlap(c):
     return ret.rerank(ret.lexical(c.chunk, _ASK), c.chunk, "license version public").select("course_id", "rank", "new_rank")
 
 
-@query(_LEX + ", x AS (SELECT l.id, l.course_id, lex.rank, row_number() OVER (ORDER BY lex.rank, l.term_rank DESC, l.id) AS k FROM listing_view l JOIN lex ON l.course_id = lex.course_id WHERE NOT is_gone AND status = 'open' AND campus = 'Newark') SELECT id, course_id FROM x WHERE k <= 8")
+@query(
+    _LEX + ", y AS (SELECT l.id, l.course_id, l.term_rank, lex.rank AS r FROM listing_view l LEFT JOIN lex ON l.course_id = lex.course_id WHERE NOT is_gone AND status = 'open' AND campus = 'Newark'), "
+    "x AS (SELECT *, row_number() OVER (ORDER BY r, term_rank DESC, id) AS k FROM y WHERE r IS NOT NULL OR (SELECT count(r) FROM y) = 0) SELECT id, course_id FROM x WHERE k <= 8"
+)
 def intersect_search_filter(c):
     view = flt.listing_view(c.listing, c.course, c.unit)
     filtered = flt.filter_listings(view, ListingFilter(status="open", campus="Newark"), TODAY)
