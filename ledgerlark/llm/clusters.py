@@ -162,10 +162,11 @@ def _block_links(expand: Expand, percent: int):
         order = np.argsort(column, kind="stable")
         column, owner, on_left = column[order], owner[order], on_left[order]
         overlap = np.zeros((len(left), len(right)), dtype=np.float32)
-        for at in range(0, int(shared.sum()), _COLUMNS):
+        for at in range(0, total := int(shared.sum()), _COLUMNS):
             cut_ = slice(*np.searchsorted(column, [at, at + _COLUMNS]))
             c, o, l = column[cut_] - at, owner[cut_], on_left[cut_]  # noqa: E741
-            x, y = np.zeros((len(left), _COLUMNS), dtype=np.float32), np.zeros((len(right), _COLUMNS), dtype=np.float32)
+            wide = min(_COLUMNS, total - at)
+            x, y = np.zeros((len(left), wide), dtype=np.float32), np.zeros((len(right), wide), dtype=np.float32)
             x[place[o[l]], c[l]] = 1
             y[place[o[~l]], c[~l]] = 1
             overlap += x @ y.T

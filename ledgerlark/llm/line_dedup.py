@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash
-from .clusters import bucket_links, components, cut
-from .textblocks import LOWER, U64, Words, blocks, mix
+from .clusters import bucket_links, components, cut, distinct_by_row, release
+from .textblocks import LOWER, U64, Words, blocks, mix, runs, windows
 
 SHINGLE, BANDS, ROWS, PERCENT = 8, 8, 3, 80
 
@@ -25,31 +24,27 @@ class Lines:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         raw = Words(data, offsets, _NOT_NEWLINE)
-        visible = np.flatnonzero(_VISIBLE[data])
-        low, high = np.searchsorted(visible, raw.starts), np.searchsorted(visible, raw.ends)
-        some = low < high
-        self.starts, self.ends = visible[low[some]], visible[high[some] - 1] + 1
+        starts, ends = raw.starts, raw.ends
+        while len(loose := np.flatnonzero((starts < ends) & ~_VISIBLE[data[np.minimum(starts, len(data) - 1)]])):
+            starts[loose] += 1
+        while len(loose := np.flatnonzero((starts < ends) & ~_VISIBLE[data[ends - 1]])):
+            ends[loose] -= 1
+        some = starts < ends
+        self.starts, self.ends = starts[some], ends[some]
         self.row = np.searchsorted(offsets, self.starts, "right") - 1
         breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
         self.number = breaks[self.starts] - breaks[offsets[self.row]]
-        self.lower = LOWER[data]
-        inside = np.zeros(len(data) + 1, dtype=np.int8)
-        inside[self.starts] += 1
-        inside[self.ends] -= 1
-        self.hashes = Words.spanning(data, self.starts, self.ends, np.cumsum(inside[:-1]).astype(bool)).hashes()
+        self.data = data
+        self.hashes = Words.spanning(data, self.starts, self.ends).hashes()
 
     def grams(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash, index into which) of each shingle of eight UTF-8 bytes; a shorter line has one."""
         starts, sizes = self.starts[which], self.ends[which] - self.starts[which]
-        padded = np.concatenate([self.lower, np.zeros(8, dtype=np.uint8)])
-        windows = np.ndarray((len(self.lower),), dtype="<u8", buffer=padded, strides=(1,))
         number = np.maximum(sizes - SHINGLE + 1, 1)
-        owner = np.repeat(np.arange(len(which)), number)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number) + starts[owner]
-        values = windows[at]
-        short = sizes[owner] < SHINGLE
-        values[short] &= (U64(1) << (U64(8) * sizes[owner][short].astype(U64))) - U64(1)
-        return mix(values + U64(99)), owner
+        values = windows(LOWER[self.data])[runs(starts, number)]
+        short = np.flatnonzero(sizes < SHINGLE)
+        values[(np.cumsum(number) - number)[short]] &= (U64(1) << (U64(8) * sizes[short].astype(U64))) - U64(1)
+        return mix(values + U64(99)), np.repeat(np.arange(len(which)), number)
 
 
 def _occurrences(batches):
@@ -70,21 +65,26 @@ def _banded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS).view(np.int64)), pa.array(keys.ravel().view(np.int64))], ["node", "band"])
 
 
-def _wanted_sets(batches):
+def _wanted_bodies(batches):
+    """Arrow function: (doc_id, text, wanted) to (node, body) of the lines that are wanted."""
     for batch in batches:
         for rows, data, offsets in blocks(batch):
             lines = Lines(data, offsets)
-            asked = rows.column(rows.schema.get_field_index("wanted"))
-            flat, owner = asked.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(asked)), pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False))
-            have = {(int(r), int(h)): i for i, (r, h) in enumerate(zip(lines.row, lines.hashes.view(np.int64), strict=True))}
-            pairs = [(h, have[r, h]) for r, h in zip(owner.tolist(), flat.tolist(), strict=True) if (r, h) in have]
-            grams, of = lines.grams(np.array([i for _, i in pairs], dtype=np.int64))
-            order = np.lexsort((grams, of))
-            grams, of = grams[order], of[order]
-            new = np.ones(len(grams), dtype=bool)
-            new[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
-            ends = np.concatenate([[0], np.cumsum(np.bincount(of[new], minlength=len(pairs)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in pairs], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[new].view(np.int64)))], ["node", "grams"])
+            place = {(int(r), int(h)): i for i, (r, h) in enumerate(zip(lines.row, lines.hashes.view(np.int64), strict=True))}
+            asked = ((h, place[r, h]) for r, each in enumerate(rows.column(rows.schema.get_field_index("wanted")).to_pylist()) for h in each if (r, h) in place)
+            found = [(h, data[lines.starts[i] : lines.ends[i]].tobytes().decode()) for h, i in asked]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], ["node", "body"])
+
+
+def _expand(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lines to their distinct shingle hashes and rows; each body is one line."""
+    parts, at = [], 0
+    for rows, data, offsets in blocks(pa.RecordBatch.from_arrays([bodies], ["text"])):
+        lines = Lines(data, offsets)
+        grams, owner = lines.grams(np.arange(len(lines.starts)))
+        parts.append(distinct_by_row(grams, lines.row[owner] + at))
+        at += rows.num_rows
+    return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else (np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64))
 
 
 def _rewrite(text_at: int, dropped_at: int):
@@ -122,11 +122,12 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     keyed = given.mapInArrow(_banded, "node long, band long")
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
+    def bodies_of(nodes: DataFrame) -> DataFrame:
         homes = lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("node").alias("wanted"))
-        return given.join(homes, "doc_id").mapInArrow(_wanted_sets, "node long, grams array<long>").dropDuplicates(["node"])
+        return given.join(homes, "doc_id").mapInArrow(_wanted_bodies, "node long, body string").dropDuplicates(["node"])
 
-    found = cut(components(bucket_links(keyed, sets_of, percent)).withColumnRenamed("id", "node"))
+    found = cut(components(bucket_links(keyed, bodies_of, _expand, percent)).withColumnRenamed("id", "node"))
+    release(docs.sparkSession)
     grouped = first.join(found, "node", "left")
     keepers = grouped.where("component is not null").groupBy("component").agg(F.min("first").alias("keeper"))
     drop = cut(grouped.where("n > 1 or component is not null").join(keepers, "component", "left").select("node", F.coalesce("keeper", "first").alias("keeper")))

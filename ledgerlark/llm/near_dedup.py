@@ -74,8 +74,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     them and finds the links that the choice of centre would lose.
 
     Null or wordless texts have n_shingles 0 and link with nothing. A null id keeps its row, with a
-    null component, and links with nothing. Rows that repeat an id share its component. An empty
-    table gives no rows; extra columns are ignored.
+    null component, and links with nothing. Rows that repeat an id share its component; if several
+    different texts of one id each lead their class, near links of that id are confirmed on one of
+    them. An empty table gives no rows; extra columns are ignored.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(given.mapInArrow(_prepare(width, word_class), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from .textblocks import U64, Words, blocks, byte_class, mix
 
 #: Bounds of the fit: labelled rows, hashed terms, latent dimensions, voters, and bytes in a block.
-MOST_LABELLED, TERMS, RANK, NEIGHBOURS, BLOCK = 4096, 2048, 64, 15, 1 << 20
+MOST_LABELLED, TERMS, RANK, NEIGHBOURS, BLOCK = 4096, 1024, 64, 15, 1 << 20
 _SHAPE = 64  # the last terms stand for the shape of a text: repetition, word and line lengths
 
 
@@ -43,10 +45,14 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         repeated = 1 - distinct / np.maximum(number, 1)
         long = np.bincount(owner, weights=words.ends - words.starts, minlength=n) / np.maximum(number, 1)
         shape[np.arange(n), at + np.minimum((repeated * 8).astype(int), 7)] = 4
+        if not at:
+            again = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+            again = np.bincount(owner[1:][again], minlength=n) / np.maximum(number, 1)
+            shape[np.arange(n), 56 + np.minimum((again * 16).astype(int), 7)] = 12
         shape[np.arange(n), at + 8 + np.minimum(np.log2(long + 1).astype(int), 7)] = 2
     upper = np.bincount(row, weights=(data >= 0x41) & (data <= 0x5A), minlength=n) / np.maximum(np.diff(offsets), 1)
     shape[np.arange(n), 32 + np.minimum((upper * 8).astype(int), 7)] = 4
-    shape[np.arange(n), 40 + np.minimum(np.log2(np.diff(offsets) + 1).astype(int), 23)] = 1
+    shape[np.arange(n), 40 + np.minimum(np.log2(np.diff(offsets) + 1).astype(int), 15)] = 1
     return np.concatenate([counts, shape], axis=1)
 
 
@@ -70,13 +76,14 @@ class Model:
         self.projection = np.zeros((counts.shape[1], 1), dtype=np.float32)
         if len(counts):
             x = self._weighted(counts)
-            values, vectors = np.linalg.eigh(x.T @ x)
+            _, vectors = np.linalg.eigh(x.T @ x)
             self.projection = np.ascontiguousarray(vectors[:, ::-1][:, : min(rank, len(counts))], dtype=np.float32)
         self.vectors = self.latent(counts)
 
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
         x = counts * self.weight
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        return x
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
         y = self._weighted(counts) @ self.projection
@@ -108,7 +115,7 @@ def _score(shared):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED) -> Model:
     """Fit on at most ``most_labelled`` labelled rows, those of least hashed id; null labels and ids are skipped.
 
-    The bound holds what reaches the driver: a label and 4 KB of term counts for each row.
+    The bound holds what reaches the driver: a label and 2 KB of term counts for each row.
     """
     known = labels.select(F.col(id_col).cast("long").alias("key"), F.col("quality").cast("int").alias("quality")).where("key is not null and quality in (0, 1)")
     known = known.groupBy("key").agg(F.min("quality").alias("quality"))
@@ -117,9 +124,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     small = spark.createDataFrame([(r["key"], r["quality"]) for r in chosen], "key long, quality int")
     text = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     rows = text.join(F.broadcast(small), "key").select("quality", "text").mapInArrow(_features, "quality int, counts binary").limit(2 * most_labelled).collect()
-    rows.sort(key=lambda r: (bytes(r["counts"]), r["quality"]))
-    counts = np.stack([np.frombuffer(r["counts"], dtype=np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, TERMS), dtype=np.float32)
-    return Model(counts, np.array([r["quality"] for r in rows]))
+    rows.sort(key=lambda r: (zlib.crc32(r["counts"]), r["quality"]))
+    counts = np.zeros((len(rows), TERMS), dtype=np.float32)
+    for i, r in enumerate(rows):
+        counts[i] = np.frombuffer(r["counts"], dtype=np.float16)
+    quality = np.array([r["quality"] for r in rows])
+    del rows
+    return Model(counts, quality)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

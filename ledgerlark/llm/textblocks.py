@@ -18,10 +18,11 @@ BLOCK_BYTES = 4 << 20
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every output bit depends on every input bit."""
     x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
-    return x ^ (x >> U64(32))
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(32)
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(32)
+    return x
 
 
 def stream(seed: int, n: int) -> np.ndarray:
@@ -42,9 +43,19 @@ def byte_class(word: str) -> np.ndarray:
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-_BYTE = stream(11, 256)
-_BYTE_LOWER = _BYTE[LOWER]
-_PLACE = stream(12, 4096) | U64(1)
+_PLACE = stream(12, 4096)
+
+
+def windows(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each offset on, as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray((len(data),), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def runs(starts: np.ndarray, counts: np.ndarray, step: int = 1) -> np.ndarray:
+    """starts[0], starts[0] + step, ..., counts[0] numbers in all; then the same of starts[1], and so on."""
+    first = np.cumsum(counts) - counts
+    return np.arange(counts.sum()) * step + np.repeat(starts - first * step, counts)
 
 
 def blocks(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -77,28 +88,30 @@ class Words:
         self.data, self.offsets = data, offsets
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self._inside = inside
 
     @classmethod
-    def spanning(cls, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> Words:
-        """Given spans in place of words; ``inside`` marks their bytes."""
+    def spanning(cls, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Words:
+        """Given spans, none of them empty, in place of words."""
         out = cls.__new__(cls)
-        out.data, out.starts, out.ends, out._inside = data, starts, ends, inside
+        out.data, out.starts, out.ends = data, starts, ends
         return out
 
     def hashes(self) -> np.ndarray:
-        """64-bit hashes of the words with A-Z lower-cased."""
+        """64-bit hashes of the words with A-Z lower-cased: mixed eight-byte parts, summed, with the length."""
         if not len(self.starts):
             return np.zeros(0, dtype=U64)
         sizes = self.ends - self.starts
-        compact = np.cumsum(sizes) - sizes
-        values = _BYTE_LOWER[self.data[self._inside]]
-        place = np.arange(len(values)) - np.repeat(compact, sizes)
-        values *= _PLACE[np.minimum(place, len(_PLACE) - 1)]
-        if sizes.max() > len(_PLACE):
+        parts = (sizes + 7) // 8
+        first = np.cumsum(parts) - parts
+        values = windows(LOWER[self.data])[runs(self.starts, parts, 8)]
+        tail = first + parts - 1
+        values[tail] &= ~U64(0) >> (U64(8) * ((-sizes) % 8).astype(U64))
+        place = runs(np.zeros_like(parts), parts)
+        values += _PLACE[np.minimum(place, len(_PLACE) - 1)]
+        if parts.max() > len(_PLACE):
             far = place >= len(_PLACE)
-            values[far] *= mix(place[far].astype(U64)) | U64(1)
-        return mix(np.add.reduceat(values, compact) + sizes.astype(U64))
+            values[far] = mix(values[far]) + place[far].astype(U64) * U64(0x9E3779B97F4A7C15)
+        return mix(np.add.reduceat(mix(values), first) + sizes.astype(U64))
 
 
 def hash_word(word: bytes) -> int:
