@@ -113,7 +113,8 @@ def bucket_links(keyed: DataFrame, bodies_of: Callable[[DataFrame], DataFrame],
     stars are confirmed. Nodes that candidate edges connect are a family. Where the confirmed stars leave a family in
     several components, the nodes outside its largest one are compared with the others in blocks of a
     bounded size, so that no link hangs on the choice of centre; a block returns no more links than
-    join its components.
+    join its components. A family of two has no pair but its star, which is compared already. Families
+    of one block share a task's call in packs of about a block's size.
     """
     bucket = Window.partitionBy("band")
     spread = keyed.select("node", "band", F.min("node").over(bucket).alias("centre"))
@@ -124,54 +125,63 @@ def bucket_links(keyed: DataFrame, bodies_of: Callable[[DataFrame], DataFrame],
     placed = family.join(components(links).withColumnRenamed("id", "node"), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
     sized = cut(placed.join(bodies.select("node", F.octet_length("body").alias("size")), "node"))
     parts = sized.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    total = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).where("parts > 1")
+    total = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
     block = lambda n, size: F.ceil(F.greatest(n / F.lit(BLOCK_NODES), size / F.lit(BLOCK_BYTES), F.lit(1.0))).cast("int")
     outside = parts.join(total.select("family", F.col("top.component").alias("main")), "family").where("component != main").groupBy("family").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     total = total.select("family", F.col("top.component").alias("main"), block(F.col("n"), F.col("bytes")).alias("columns")).join(outside.select("family", block(F.col("n"), F.col("bytes")).alias("rows")), "family")
-    rows = cut(sized.select("node", "family", "component").join(total, "family")).join(bodies, "node")
+    placed = cut(sized.select("node", "family", "component", "size").join(total, "family"))
+    single = (F.col("rows") == 1) & (F.col("columns") == 1)
+    small = placed.where(single).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    packs = F.lit(1 + max(small["n"] // BLOCK_NODES, small["bytes"] // BLOCK_BYTES)).cast("long")
+    pack = F.when(single, -1 - F.pmod(F.xxhash64("family"), packs)).otherwise(F.pmod("family", F.lit(2**63 - 1).cast("long")))
+    rows = placed.drop("size").withColumn("pack", pack).join(bodies, "node")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("component != main").select("*", every("columns").alias("other"))
     right = rows.select("*", every("rows").alias("other"))
-    shown = lambda df, side, i, j: df.select("family", i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "node", "component", "body")
+    shown = lambda df, side, i, j: df.select("pack", "family", i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "node", "component", "body")
     dealt = shown(left, 0, mine("rows"), F.col("other")).unionByName(shown(right, 1, F.col("other"), mine("columns")))
-    return links.unionByName(dealt.groupBy("family", "i", "j").applyInArrow(_block_links(expand, percent), "a long, b long"))
+    return links.unionByName(dealt.groupBy("pack", "i", "j").applyInArrow(_block_links(expand, percent), "a long, b long"))
 
 
 BLOCK_NODES, BLOCK_BYTES, _COLUMNS = 512, 4 << 20, 4096
 
 
+def _overlaps(left: np.ndarray, right: np.ndarray, grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of rows ``left`` with those of rows ``right``."""
+    n = len(left) + len(right)
+    side, place = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
+    side[left] = True
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    on_left = side[owner]
+    both, number = np.unique(grams, return_inverse=True)
+    shared = (np.bincount(number[on_left], minlength=len(both)) > 0) & (np.bincount(number[~on_left], minlength=len(both)) > 0)
+    use = shared[number]
+    column, owner, on_left = (np.cumsum(shared) - 1)[number[use]], owner[use], on_left[use]
+    order = np.argsort(column, kind="stable")
+    column, owner, on_left = column[order], owner[order], on_left[order]
+    overlap = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, total := int(shared.sum()), _COLUMNS):
+        cut_ = slice(*np.searchsorted(column, [at, at + _COLUMNS]))
+        c, o, l = column[cut_] - at, owner[cut_], on_left[cut_]  # noqa: E741
+        wide = min(_COLUMNS, total - at)
+        x, y = np.zeros((len(left), wide), dtype=np.float32), np.zeros((len(right), wide), dtype=np.float32)
+        x[place[o[l]], c[l]] = 1
+        y[place[o[~l]], c[~l]] = 1
+        overlap += x @ y.T
+    return overlap.astype(np.int64)
+
+
 def _block_links(expand: Expand, percent: int):
-    """Arrow function over one block: links between components, as few as join them."""
+    """Arrow function over one block, or a pack of families of one block each: links between components, as few as join them."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        side, node, component = (table.column(c).to_numpy() for c in ("side", "node", "component"))
+        table = table.sort_by("family").combine_chunks()
+        family, side, node, component = (table.column(c).to_numpy() for c in ("family", "side", "node", "component"))
         flat, owner = expand(table.column("body").combine_chunks())
         size = np.bincount(owner, minlength=len(node))
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        place = np.empty(len(node), dtype=np.int64)
-        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
-        on_left = side[owner] == 0
-        both, number = np.unique(flat, return_inverse=True)
-        shared = np.zeros(len(both), dtype=bool)
-        shared[np.intersect1d(number[on_left], number[~on_left])] = True
-        renumbered = np.cumsum(shared) - 1
-        use = shared[number]
-        column, owner, on_left = renumbered[number[use]], owner[use], on_left[use]
-        order = np.argsort(column, kind="stable")
-        column, owner, on_left = column[order], owner[order], on_left[order]
-        overlap = np.zeros((len(left), len(right)), dtype=np.float32)
-        for at in range(0, total := int(shared.sum()), _COLUMNS):
-            cut_ = slice(*np.searchsorted(column, [at, at + _COLUMNS]))
-            c, o, l = column[cut_] - at, owner[cut_], on_left[cut_]  # noqa: E741
-            wide = min(_COLUMNS, total - at)
-            x, y = np.zeros((len(left), wide), dtype=np.float32), np.zeros((len(right), wide), dtype=np.float32)
-            x[place[o[l]], c[l]] = 1
-            y[place[o[~l]], c[~l]] = 1
-            overlap += x @ y.T
-        overlap = overlap.astype(np.int64)
-        enough = 100 * overlap >= percent * (size[left][:, None] + size[right][None, :] - overlap)
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(family)) + 1, [len(family)]])
+        inside = np.searchsorted(owner, bounds)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -180,11 +190,15 @@ def _block_links(expand: Expand, percent: int):
             return x
 
         out = []
-        for i, j in zip(*np.nonzero(enough & (component[left][:, None] != component[right][None, :])), strict=True):
-            x, y = root(int(component[left[i]])), root(int(component[right[j]]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((int(node[left[i]]), int(node[right[j]])))
+        for start, end, first, last in zip(bounds[:-1], bounds[1:], inside[:-1], inside[1:], strict=True):
+            left, right = start + np.flatnonzero(side[start:end] == 0), start + np.flatnonzero(side[start:end] == 1)
+            overlap = _overlaps(left - start, right - start, flat[first:last], owner[first:last] - start)
+            enough = 100 * overlap >= percent * (size[left][:, None] + size[right][None, :] - overlap)
+            for i, j in zip(*np.nonzero(enough & (component[left][:, None] != component[right][None, :])), strict=True):
+                x, y = root(int(component[left[i]])), root(int(component[right[j]]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((int(node[left[i]]), int(node[right[j]])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +37,10 @@ class Lines:
         breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
         self.number = breaks[self.starts] - breaks[offsets[self.row]]
         self.data = data
-        self.hashes = Words.spanning(data, self.starts, self.ends).hashes()
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return Words.spanning(self.data, self.starts, self.ends).hashes()
 
     def grams(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash, index into which) of each shingle of eight UTF-8 bytes; a shorter line has one."""
