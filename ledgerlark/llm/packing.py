@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from functools import lru_cache
 
@@ -21,14 +22,21 @@ END_ID = 0
 
 @lru_cache(maxsize=2)
 def _encoder(ranks_path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of ``byte_bpe_50k.json`` from its rank file; both give the same ids."""
+    """The byte-level BPE of ``byte_bpe_50k.json`` from its rank file, with the json's added tokens."""
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens that take in more than their own text")
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
 
 
-def token_ids(text: str, ranks_path: str | None = None) -> list[int]:
-    return [*_encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_ordinary(text), END_ID]
+def token_ids(text: str, ranks_path: str | None = None, added: bool = False) -> list[int]:
+    """The ids and an end id. With ``added``, the json's added tokens (<|endoftext|>) get their ids wherever
+    they stand, as by default in the tokenizers library; without, they are text like any other."""
+    encoder = _encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return [*(encoder.encode(text, allowed_special="all") if added else encoder.encode_ordinary(text)), END_ID]
 
 
 def _pieces(capacity: int, ranks_path: str | None):
@@ -36,7 +44,7 @@ def _pieces(capacity: int, ranks_path: str | None):
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(1)):
-                ids = np.array(token_ids(text.as_py() or "", ranks_path), dtype="<u4")
+                ids = np.array(token_ids(text.as_py() or "", ranks_path, added=True), dtype="<u4")
                 first = (len(ids) - 1) % capacity + 1
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 rows += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]

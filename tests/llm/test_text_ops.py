@@ -185,6 +185,19 @@ def test_ids_are_the_tokenizers():
         assert packing.token_ids(text) == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_added_tokens_have_their_ids(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  <|endoftext|>\n x", "a   <|endoftext|>   b", "<|endoftext|", "<|ENDOFTEXT|>", "ñ<|endoftext|>" + prose(9, 3000)]
+    found = collections.defaultdict(list)
+    for r in sorted(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r["piece"]):
+        found[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+    for k, text in enumerate(texts):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        assert packing.token_ids(text, added=True) == ids
+        data = np.array(ids, dtype="<u4")
+        assert sum(n for _, n, _ in found[k]) == len(ids) and all(zlib.crc32(data[a : a + n].tobytes()) == crc for a, n, crc in found[k])
+
+
 def test_plan_keeps_every_capacity():
     rng = np.random.default_rng(6)
     counts = {int(n): int(c) for n, c in zip(rng.integers(1, 101, 60), rng.integers(1, 50, 60), strict=True)}
