@@ -98,6 +98,18 @@ def test_layers(wrap):
     assert any(s[0] == "assign" and text[s[1] : s[2]].strip("=") == coded.strip("=") for s in found), (coded, found)
 
 
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ('"password": "\\u0068unter2222"', "assign", 'password": "\\u0068unter2222'), ('password%3D "hunter2222"', "assign", 'password%3D "hunter2222'), ("token: %61bcdefgh12", "assign", "token: %61bcdefgh12"),
+        ('see &#112;assword = "hunter2222"', "assign", '&#112;assword = "hunter2222'), ("password &#58; hunter2222 é", "assign", "password &#58; hunter2222"), ("password&quot;: hunter2222", "assign", "password&quot;: hunter2222"),
+        ("%2525252570assword : hunter2222 %41", "assign", "%2525252570assword : hunter2222"), ("pass\\u005cu0077ord = &amp;#104;unter2222", "assign", "pass\\u005cu0077ord = &amp;#104;unter2222"), ("AKIA%41BCD EFG AKIAABCDEF%47HIJKL", "access", "AKIAABCDEF%47HIJKL"),
+    ],
+)
+def test_escapes_in_place(text, kind, part):
+    assert [(k, text[a:b]) for k, a, b in secrets.all_spans(text, [])] == [(kind, part)]
+
+
 def test_layers_end():
     assert secrets.all_spans("%25%2525 \\u005cu005c &amp;amp; QUFBQUFBQUFBQUFBQUFBQQ==", []) == []
     bomb = base64.b64encode(zlib.compress(b" " * (5 << 20) + SECRET.encode())).decode()
