@@ -136,6 +136,29 @@ def test_base64_parts(text, part):
     assert part is None or text[found[0][1] : found[0][2]] == part
 
 
+def test_each_secret_in_a_layer():
+    keys = [f"AKIA{k:04d}" + "ABCDEFGHIJKL" for k in range(50)]
+    coded = base64.b64encode("\n".join(keys).encode()).decode()
+    found = secrets.all_spans(coded, [])
+    assert len(found) == len(set(found)) == 50
+    assert all(key.encode() in base64.b64decode(coded[a // 4 * 4 : -(-b // 4) * 4]) and b - a <= 28 for key, (_, a, b) in zip(keys, found, strict=True))
+    packed = base64.b64encode(gzip.compress("\n".join(keys).encode())).decode()
+    assert secrets.all_spans(f"{packed} {packed}", []) == [("access", 0, len(packed))] * 50 + [("access", len(packed) + 1, 2 * len(packed) + 1)] * 50
+
+
+def test_compressed_bytes_are_no_text():
+    coded = base64.b64encode(zlib.compress(b"lorem ipsum, " * (1 << 20) + KEY)).decode()
+    assert secrets.all_spans(coded, []) == [("access", 0, len(coded))]
+
+
+@pytest.mark.parametrize("before", [0, (1 << 20) - 30_000, (1 << 20) - 20])
+@pytest.mark.parametrize("wrap", [lambda d: d, base64.b64encode, base64.encodebytes, lambda d: base64.b64encode(gzip.compress(d)), gzip.compress], ids=str)
+def test_parts_across_windows(before, wrap):
+    noise = prose(11, 15_000).encode()
+    inside = b"lorem ipsum, " * (before // 13) + b" " + wrap(noise + b" " + KEY + b" " + noise) + b" tail"
+    assert [s[0] for s in secrets.all_spans(base64.b64encode(gzip.compress(inside)).decode(), [])] == ["access"]
+
+
 def test_secrets(spark, docs, no_docs):
     texts = {1: 'Token = "abcdefgh" API_KEY:\'abc.def-12\' tokens=12345678 token=short', 2: "AKIA" + "A" * 11 + " AKIA" + "Z" * 12 + "AKIA", 3: "é" + "0" * 31 + " " + "a" * 40 + "g" + "f" * 32, 4: None, 5: "", 6: "ſecret=abcdefgh toKen=abcdefghi", 7: f"x {urllib.parse.quote(SECRET, safe='')}"}
     found = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["layer"]) for s in r["spans"]] for r in secrets.find_secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
