@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,48 @@ def knn(vectors: DataFrame, query: list[float], limit: int = POOL) -> DataFrame:
     return ranked(near, [F.col("distance"), F.col("course_id")], limit)
 
 
+def _nearest(limit: int, step: int = 4096):
+    def unit(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids = block.column("id").to_numpy()
+        rows = block.column("embedding").combine_chunks().flatten().to_numpy().astype(float).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+        size = np.sqrt((rows * rows).sum(axis=1))
+        return ids[size > 0], rows[size > 0] / size[size > 0, None]
+
+    def run(asked: pa.Table, block: pa.Table) -> pa.Table:
+        (query_ids, queries), (ids, rows) = unit(asked), unit(block)
+        best = [(np.array([], dtype="i8"), np.array([], dtype="f8"))] * len(query_ids)
+        for at in range(0, len(ids) if len(query_ids) else 0, step):
+            part, of = rows[at : at + step], ids[at : at + step]
+            k = min(limit, len(of))
+            for i, row in enumerate(queries @ part.T):
+                # the product picks all rows about the k-th; their distance doesn't depend on the block
+                some = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-8)
+                near = np.concatenate([best[i][0], of[some]])
+                distance = np.concatenate([best[i][1], np.round(1 - (part[some] * queries[i]).sum(axis=1), 9) + 0.0])
+                first = np.lexsort((near, distance))[:limit]
+                best[i] = near[first], distance[first]
+        flat = lambda arrays, kind: np.concatenate([np.array([], dtype=kind), *arrays])
+        return pa.table({"query_id": flat([np.full(len(near), q) for q, (near, _) in zip(query_ids, best, strict=True)], "i8"), "course_id": flat([x for x, _ in best], "i8"), "distance": flat([x for _, x in best], "f8")})
+
+    return run
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, limit: int = POOL, block: int = 65536, query_block: int = 512) -> DataFrame:
+    """Exact nearest rows of every query (query_id, embedding): distance to nine places, ties by id, zero vectors out.
+
+    Each block of queries meets each block of vectors in one task, which keeps the best ``limit`` rows a
+    query over products of smaller parts; the blocks' rows are merged by query. The work is that of all
+    queries against all rows.
+    """
+    n, asked = vectors.count(), queries.count()
+    blocks, query_blocks = -(-n // block) or 1, -(-asked // query_block) or 1
+    deal = lambda df, key, name, k, other, m: df.where("embedding is not null").select(F.col(key).alias("id"), "embedding", F.pmod(F.xxhash64(key), F.lit(k)).alias(name), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
+    left = deal(queries, "query_id", "q", query_blocks, "v", blocks).groupBy("q", "v")
+    right = deal(vectors, "course_id", "v", blocks, "q", query_blocks).groupBy("q", "v")
+    near = left.cogroup(right).applyInArrow(_nearest(limit), "query_id long, course_id long, distance double")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "course_id"))).where(F.col("rank") <= limit)
+
+
 def parsed_query(text: str) -> dict[str, list]:
     """Web-search syntax: words and "phrases" must all stand, '-word' must not, 'or' joins its neighbours."""
     out: dict[str, list] = {"all": [], "none": [], "phrases": []}

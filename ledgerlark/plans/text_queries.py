@@ -221,6 +221,12 @@ def knn_exact_top50(c):
     return ret.knn(c.chunk_embedding, _Q).select("course_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query("SELECT q.vec_id AS query_id, v.vec_id AS course_id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) + 0.0 AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 QUALIFY rank <= 50")
+def knn_batch_top50(c):
+    vectors = c.chunk_embedding
+    return ret.knn_batch(vectors, vectors.where("course_id % 20 = 0").select(F.col("course_id").alias("query_id"), "embedding"))
+
+
 @query("SELECT vec_id AS course_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) / list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS length FROM embeddings")
 def l2_normalize(c):
     unit = l2_normalized(F.col("embedding"))

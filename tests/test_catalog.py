@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 
 import pytest
@@ -54,6 +55,18 @@ def test_relax(spark):
     assert flt.relax_label("max_fee_cents", f) == "under $2000"
 
 
+def test_knn_batch(spark):
+    rows = [(i, [float(i % 7 - 3), float(i % 5 - 2), 1.0 if i % 35 else 0.0]) for i in range(300)] + [(900, [0.0, 0.0, 0.0]), (901, None)]
+    vectors = spark.createDataFrame(rows, "course_id long, embedding array<float>")
+    queries = vectors.where("course_id % 20 = 0").withColumnRenamed("course_id", "query_id")
+    found = collections.defaultdict(list)
+    for r in ret.knn_batch(vectors, queries, limit=7, block=64, query_block=4).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["course_id"])
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    live = [(i, v) for i, v in rows if v and any(v)]
+    assert found == {q: [i for _, i in sorted((round(1 - cos(v, w), 9), i) for i, v in live)[:7]] for q, w in live if q % 20 == 0}
+
+
 def test_hybrid(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0])], "course_id long, embedding array<float>")
     chunk = spark.createDataFrame([(1, "cybersecurity basics"), (2, "grant writing for nonprofits"), (3, "watercolor painting")], "course_id long, text string")
