@@ -69,13 +69,22 @@ def golden_set_reconcile(c):
     return new.select(F.lit("new").alias("kind"), "item_id").unionByName(orphans.select(F.lit("orphan").alias("kind"), "item_id"))
 
 
-@query(", f AS (SELECT listing_id, count(*) AS n_fees FROM listing_fee GROUP BY listing_id) SELECT course_id, course_title, string_agg(id || ':' || term || ':' || status || ':' || coalesce(n_fees, 0), ',' ORDER BY id) AS listings FROM listing_view LEFT JOIN f ON id = listing_id WHERE NOT is_gone AND course_id % 50 = 1 GROUP BY course_id, course_title")
-def get_course(c):
-    found = idx.get_course(flt.listing_view(c.listing, c.course, c.unit), c.listing_fee, c.course.where("id % 50 = 1").select(F.col("id").alias("course_id")))
+def _course_lines(c, courses):
+    found = idx.get_course(flt.listing_view(c.listing, c.course, c.unit), c.listing_fee, courses.select(F.col("id").alias("course_id")))
     line = lambda x: F.concat_ws(":", x["id"].cast("string"), x["term"], x["status"], x["n_fees"].cast("string"))
     return found.select("course_id", "course_title", F.array_join(F.transform("listings", line), ",").alias("listings"))
 
 
+@query(", f AS (SELECT listing_id, count(*) AS n_fees FROM listing_fee GROUP BY listing_id) SELECT course_id, course_title, string_agg(id || ':' || term || ':' || status || ':' || coalesce(n_fees, 0), ',' ORDER BY id) AS listings FROM listing_view LEFT JOIN f ON id = listing_id WHERE NOT is_gone AND course_id % 50 = 1 GROUP BY course_id, course_title")
+def get_course(c):
+    return _course_lines(c, c.course.where("id % 50 = 1"))
+
+
+@query(", f AS (SELECT listing_id, count(*) AS n_fees FROM listing_fee GROUP BY listing_id) SELECT course_id, course_title, string_agg(id || ':' || term || ':' || status || ':' || coalesce(n_fees, 0), ',' ORDER BY id) AS listings FROM listing_view LEFT JOIN f ON id = listing_id WHERE NOT is_gone GROUP BY course_id, course_title")
+def get_course_all(c):
+    return _course_lines(c, c.course)
+
+
 @query("SELECT c.id AS course_id, CASE WHEN c.id % 7 = 0 THEN 'own ' || c.id ELSE 'unit ' || u.name END AS policy FROM course c LEFT JOIN unit u ON c.unit_id = u.id")
 def course_policy(c):
     course = c.course.select(F.col("id").alias("course_id"), "unit_id", F.when(F.col("id") % 7 == 0, F.concat(F.lit("own "), F.col("id").cast("string"))).alias("refund_policy_override"))

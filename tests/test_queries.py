@@ -42,6 +42,12 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_every_course_with_listings_is_hydrated(spark):
+    live = QUERIES["compact_index"](spark, SF).count()
+    found = [len(r["listings"].split(",")) for r in QUERIES["get_course_all"](spark, SF).collect()]
+    assert sum(found) == live and len(found) > QUERIES["get_course"](spark, SF).count()
+
+
 def test_crossover_exact_enough(spark):
     row = QUERIES["crossover_recall"](spark, SF).first()
     assert row["n"] == 2000 and 0 < row["recall"] <= 1
