@@ -6,19 +6,24 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .textblocks import U64, blocks, mix
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset, as in tests, a local one is set once."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset a local one is set once, in local mode only."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getpid()}"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getpid()}"))
     return context.getCheckpointDir()
 
 
@@ -38,11 +43,16 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
+#: A vertex with more than one in HUBS of all edge ends is a hub. By arithmetic there are fewer than HUBS, so they can be broadcast.
+HUBS = 500
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable over ``edges``; ids without an edge to another id are absent.
 
-    Alternating large-star and small-star steps: each is one aggregation and one join on the node, so
-    no component meets in one task, and the number of steps grows with the logarithm of its size.
+    Alternating large-star and small-star steps: each is one aggregation and one join on the node, and the
+    number of steps grows with the logarithm of the components' size. Edges of hubs meet the hub's least
+    neighbour by a broadcast of at most 500 hubs, so that neither a component nor a hub's edges meet in one task.
     Null ends are ignored, repeated edges and loops change nothing, and an empty input gives no rows.
     """
     links = cut(
@@ -51,15 +61,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct()
     )
     while not _stars(links):
+        total = links.count()
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        large = _beside_least(both, 2 * total, F.least(F.min("v"), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _beside_least(large, total, F.min("v")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         links = cut(small.where("u != v").distinct())
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _beside_least(ends: DataFrame, total: int, least: Column) -> DataFrame:
+    """``ends`` (u, v), each with m, the ``least`` of its u; there are ``total`` rows, or a few less."""
+    known = ends.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(known.where(F.col("n") > total // HUBS + 8))
+    return ends.join(hubs, "u").select("u", "v", "m").unionByName(ends.join(hubs.select("u"), "u", "left_anti").join(known, "u").select("u", "v", "m"))
+
+
 def _stars(links: DataFrame) -> bool:
     """Whether each u has one v, and no v is a u."""
     ends = links.select("u", F.lit(1).alias("n")).unionByName(links.select(F.col("v").alias("u"), F.lit(None).cast("int").alias("n")))
@@ -79,68 +95,123 @@ def distinct_by_row(grams: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.
     return grams[new], row[new]
 
 
+#: Rows of the buckets that ``combined`` gives.
+BUCKETS = "band long, node long, others array<long>"
+#: Nodes whose bands are grouped before the shuffle; star members that meet their centre in one stretch of a task.
+GROUPED_NODES, STAR_MEMBERS = 1 << 16, 4096
+
+
+def combined(signed: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(nodes, keys of each node's bands) to rows (band, node, others): one for each band of a stretch of a task.
+
+    ``node`` is the least of the stretch's nodes with that band, ``others`` the others, null without any. This
+    is the combination before the shuffle: a band that many nodes share sends one row per stretch.
+    """
+    nodes, keys, size = [], [], 0
+    for some, their in signed:
+        nodes.append(some)
+        keys.append(their)
+        size += len(some)
+        if size >= GROUPED_NODES:
+            yield _grouped(np.concatenate(nodes), np.concatenate(keys))
+            nodes, keys, size = [], [], 0
+    if size:
+        yield _grouped(np.concatenate(nodes), np.concatenate(keys))
+
+
+def _grouped(nodes: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    nodes, which = np.unique(nodes.astype(np.int64), return_index=True)
+    flat = keys[which].ravel()
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], nodes[order // keys.shape[1]]
+    first = np.ones(len(flat), dtype=bool)
+    first[1:] = flat[1:] != flat[:-1]
+    rest = np.diff(np.append(np.flatnonzero(first), len(flat))) - 1
+    ends = np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)
+    others = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(rest == 0, False)), pa.array(owner[~first]))
+    return pa.RecordBatch.from_arrays([pa.array(flat[first].view(np.int64)), pa.array(owner[first]), others], ["band", "node", "others"])
+
+
 def _compared(expand: Expand, percent: int):
-    """Arrow function: (a, b, x, y) to those (a, b) whose texts' sets overlap by ``percent`` hundredths of their union."""
+    """Arrow function: (centre, share, head, node, body), a centre's own row before its members', to confirmed (a, b)."""
 
     def run(batches):
+        held, centre = np.zeros(0, dtype=U64), None  # grams of the centre that the next rows may belong to
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                (left, i), (right, j) = expand(part.column(2)), expand(part.column(3))
-                n = part.num_rows
-                grams, row = np.concatenate([left, right]), np.concatenate([i, j])
-                order = np.lexsort((grams, row))
-                grams, row = grams[order], row[order]
-                both = np.bincount(row[1:][(grams[1:] == grams[:-1]) & (row[1:] == row[:-1])], minlength=n)
+            for rows, _, offsets in blocks(batch, "body", most=1 << 19):
+                heads, centres = rows.column(2).to_numpy(zero_copy_only=False), rows.column(0).to_numpy()
+                grams, row = expand(rows.column(4))
+                n = rows.num_rows
+                group = np.cumsum(heads)  # 0: the centre held
                 size = np.bincount(row, minlength=n)
-                yield part.select([0, 1]).filter(pa.array(100 * both >= percent * (size - both)))
+                of_head = heads[row]
+                salt = mix(np.arange(group[-1] + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(5))
+                known = np.sort(np.concatenate([held ^ salt[0], grams[of_head] ^ salt[group[row[of_head]]]]))
+                mine = grams[~of_head] ^ salt[group[row[~of_head]]]
+                at = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
+                both = np.bincount(row[~of_head][known[at] == mine] if len(known) else [], minlength=n)
+                sizes = np.concatenate([[len(held)], size[heads]])
+                enough = ~heads & (100 * both >= percent * (size + sizes[group] - both))
+                assert not (~heads & (group == 0)).any() or centre == centres[0]
+                yield pa.RecordBatch.from_arrays([rows.column(3).filter(pa.array(enough)), rows.column(0).filter(pa.array(enough))], ["a", "b"])
+                if heads.any():
+                    last = int(np.flatnonzero(heads)[-1])
+                    held, centre = grams[row == last], int(centres[last])
 
     return run
 
 
-def confirmed(pairs: DataFrame, bodies: DataFrame, expand: Expand, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose bodies (node, body) have sets that overlap enough."""
-    left = bodies.select(F.col("node").alias("a"), F.col("body").alias("x"))
-    right = bodies.select(F.col("node").alias("b"), F.col("body").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_compared(expand, percent), "a long, b long")
+def confirmed(stars: DataFrame, bodies: DataFrame, expand: Expand, percent: int) -> DataFrame:
+    """Those star edges (a, b), b the centre, whose nodes' bodies (node, body) have sets that overlap enough.
+
+    A body goes once to each centre it may link with, and a centre's own body once to each 4096 of its members.
+    """
+    shares = stars.groupBy("b").agg(F.ceil(F.count("*") / F.lit(STAR_MEMBERS)).cast("int").alias("shares"))
+    members = stars.join(shares, "b").select(F.col("a").alias("node"), F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("head"))
+    centres = shares.select(F.col("b").alias("node"), F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(True).alias("head"))
+    dealt = members.unionByName(centres).join(bodies, "node").select("centre", "share", "head", "node", "body")
+    return dealt.repartition("centre", "share").sortWithinPartitions("centre", "share", F.desc("head")).mapInArrow(_compared(expand, percent), "a long, b long")
 
 
-def bucket_links(keyed: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], expand: Expand, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that join all nodes of ``keyed`` (node, band) that share a bucket and overlap enough.
+def bucket_links(buckets: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], expand: Expand, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join all nodes of ``buckets`` (``combined``) that share a band and overlap enough.
 
     A bucket gives star-shaped candidate edges, each node to the bucket's least one, not all pairs.
     ``bodies_of`` gives (node, body) for the nodes of stars, ``expand`` their whole sets, on which the
-    stars are confirmed. Nodes that candidate edges connect are a family. Where the confirmed stars leave a family in
-    several components, the nodes outside its largest one are compared with the others in blocks of a
-    bounded size, so that no link hangs on the choice of centre; a block returns no more links than
-    join its components. A family of two has no pair but its star, which is compared already. Families
-    of one block share a task's call in packs of about a block's size.
+    stars are confirmed. Where that leaves a bucket's other nodes in several components, those outside its
+    largest one are compared with the rest of the same bucket in blocks of a bounded size, so that no link
+    hangs on the choice of centre; a block returns no more links than join its components. Of buckets with
+    the same nodes one is compared, and buckets of one block share a task's call in packs.
     """
     bucket = Window.partitionBy("band")
-    spread = keyed.select("node", "band", F.min("node").over(bucket).alias("centre"))
+    shared = buckets.select("*", F.min("node").over(bucket).alias("centre"), F.max("node").over(bucket).alias("top")).where("centre < top or others is not null")
+    every_node = F.explode(F.concat(F.array("node"), F.coalesce("others", F.array().cast("array<long>")))).alias("node")
+    spread = cut(shared.select("band", "centre", every_node).distinct())
     stars = cut(spread.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
-    family = cut(components(stars).select(F.col("id").alias("node"), F.col("component").alias("family")))
-    bodies = cut(bodies_of(family.select("node")))
-    links = cut(confirmed(stars, bodies, expand, percent))
-    placed = family.join(components(links).withColumnRenamed("id", "node"), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
-    sized = cut(placed.join(bodies.select("node", F.octet_length("body").alias("size")), "node"))
-    parts = sized.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    total = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
+    bodies = cut(bodies_of(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()))
+    release(buckets.sparkSession)
+    star_of = cut(components(confirmed(stars, bodies, expand, percent)).withColumnRenamed("id", "node"))
+    links = star_of.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    left = spread.where("node != centre").join(star_of, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    several = left.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(20,0)")).alias("y"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
+    chosen = several.groupBy("n", "x", "y").agg(F.min("band").alias("band"))
+    sized = cut(left.join(chosen.select("band"), "band").join(bodies.select("node", F.octet_length("body").alias("size")), "node"))
+    parts = sized.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    total = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("n", "component")).alias("main_bytes"))
     block = lambda n, size: F.ceil(F.greatest(n / F.lit(BLOCK_NODES), size / F.lit(BLOCK_BYTES), F.lit(1.0))).cast("int")
-    outside = parts.join(total.select("family", F.col("top.component").alias("main")), "family").where("component != main").groupBy("family").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    total = total.select("family", F.col("top.component").alias("main"), block(F.col("n"), F.col("bytes")).alias("columns")).join(outside.select("family", block(F.col("n"), F.col("bytes")).alias("rows")), "family")
-    placed = cut(sized.select("node", "family", "component", "size").join(total, "family"))
+    total = total.select("band", F.col("top.component").alias("main"), block(F.col("n"), F.col("bytes")).alias("columns"), block(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("main_bytes")).alias("rows"))
+    placed = cut(sized.join(total, "band"))
     single = (F.col("rows") == 1) & (F.col("columns") == 1)
     small = placed.where(single).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     packs = F.lit(1 + max(small["n"] // BLOCK_NODES, small["bytes"] // BLOCK_BYTES)).cast("long")
-    pack = F.when(single, -1 - F.pmod(F.xxhash64("family"), packs)).otherwise(F.pmod("family", F.lit(2**63 - 1).cast("long")))
+    pack = F.when(single, -1 - F.pmod(F.xxhash64("band"), packs)).otherwise(F.pmod("band", F.lit(2**63 - 1).cast("long")))
     rows = placed.drop("size").withColumn("pack", pack).join(bodies, "node")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("component != main").select("*", every("columns").alias("other"))
-    right = rows.select("*", every("rows").alias("other"))
-    shown = lambda df, side, i, j: df.select("pack", "family", i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "node", "component", "body")
-    dealt = shown(left, 0, mine("rows"), F.col("other")).unionByName(shown(right, 1, F.col("other"), mine("columns")))
+    outside = rows.where("component != main").select("*", every("columns").alias("other"))
+    whole = rows.select("*", every("rows").alias("other"))
+    shown = lambda df, side, i, j: df.select("pack", "band", i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "node", "component", "body")
+    dealt = shown(outside, 0, mine("rows"), F.col("other")).unionByName(shown(whole, 1, F.col("other"), mine("columns")))
     return links.unionByName(dealt.groupBy("pack", "i", "j").applyInArrow(_block_links(expand, percent), "a long, b long"))
 
 
@@ -173,14 +244,14 @@ def _overlaps(left: np.ndarray, right: np.ndarray, grams: np.ndarray, owner: np.
 
 
 def _block_links(expand: Expand, percent: int):
-    """Arrow function over one block, or a pack of families of one block each: links between components, as few as join them."""
+    """Arrow function over one block, or a pack of buckets of one block each: links between components, as few as join them."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("family").combine_chunks()
-        family, side, node, component = (table.column(c).to_numpy() for c in ("family", "side", "node", "component"))
+        table = table.sort_by("band").combine_chunks()
+        band, side, node, component = (table.column(c).to_numpy() for c in ("band", "side", "node", "component"))
         flat, owner = expand(table.column("body").combine_chunks())
         size = np.bincount(owner, minlength=len(node))
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(family)) + 1, [len(family)]])
+        bounds = np.concatenate([[0], np.flatnonzero(band[1:] != band[:-1]) + 1, [len(band)]])
         inside = np.searchsorted(owner, bounds)
         parent: dict[int, int] = {}
 

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash
-from .clusters import bucket_links, components, cut, distinct_by_row, release
-from .textblocks import LOWER, U64, Words, blocks, mix, runs, windows
+from .clusters import BUCKETS, bucket_links, combined, components, cut, distinct_by_row, release
+from .textblocks import LOWER, U64, Words, blocks, code_points, mix, runs, stream
 
-SHINGLE, BANDS, ROWS, PERCENT = 8, 8, 3, 80
+SHINGLE, BANDS, ROWS, PERCENT = 8, 12, 4, 80
 
 _NOT_NEWLINE = np.ones(256, dtype=bool)
 _NOT_NEWLINE[0x0A] = False
@@ -42,14 +42,33 @@ class Lines:
     def hashes(self) -> np.ndarray:
         return Words.spanning(self.data, self.starts, self.ends).hashes()
 
+    @cached_property
+    def _shingles(self) -> tuple[np.ndarray, np.ndarray | None]:
+        """The hash of the eight characters from each character of the block on, and each byte's character number (None: the same)."""
+        data = LOWER[self.data]
+        place = None
+        if len(data) and data.max() > 0x7F:
+            place = code_points(self.data)
+            data = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+        value = np.concatenate([data, np.zeros(SHINGLE, dtype=data.dtype)]).astype(U64)
+        for k, factor in enumerate(_FACTORS):  # 2, then 4, then 8 characters
+            value[: -1 << k] = value[: -1 << k] * factor + value[1 << k :]
+        return mix(value[: len(data)]), place
+
     def grams(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, index into which) of each shingle of eight UTF-8 bytes; a shorter line has one."""
-        starts, sizes = self.starts[which], self.ends[which] - self.starts[which]
-        number = np.maximum(sizes - SHINGLE + 1, 1)
-        values = windows(LOWER[self.data])[runs(starts, number)]
-        short = np.flatnonzero(sizes < SHINGLE)
-        values[(np.cumsum(number) - number)[short]] &= (U64(1) << (U64(8) * sizes[short].astype(U64))) - U64(1)
-        return mix(values + U64(99)), np.repeat(np.arange(len(which)), number)
+        """(hash, index into which) of each shingle of eight characters; a shorter line has one, of itself."""
+        value, place = self._shingles
+        starts, ends = self.starts[which], self.ends[which]
+        if place is not None:
+            starts, ends = place[starts], place[ends]
+        number = np.maximum(ends - starts - SHINGLE + 1, 1)
+        values = value[runs(starts, number)]
+        short = np.flatnonzero(ends - starts < SHINGLE)
+        values[(np.cumsum(number) - number)[short]] = mix(self.hashes[which[short]] + U64(99))
+        return values, np.repeat(np.arange(len(which)), number)
+
+
+_FACTORS = stream(41, 3) | U64(1)
 
 
 def _occurrences(batches):
@@ -60,14 +79,16 @@ def _occurrences(batches):
 
 
 def _banded(batches):
-    for batch in batches:
-        for _, data, offsets in blocks(batch, most=1 << 20):
-            lines = Lines(data, offsets)
-            nodes, which = np.unique(lines.hashes, return_index=True)
-            grams, owner = lines.grams(which)
-            signature, _ = minhash.signatures(grams, owner, len(which), BANDS * ROWS)
-            keys = minhash.bands(signature, ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS).view(np.int64)), pa.array(keys.ravel().view(np.int64))], ["node", "band"])
+    def signed():
+        for batch in batches:
+            for _, data, offsets in blocks(batch, most=1 << 20):
+                lines = Lines(data, offsets)
+                nodes, which = np.unique(lines.hashes, return_index=True)
+                grams, owner = lines.grams(which)
+                signature, _ = minhash.signatures(grams, owner, len(which), BANDS * ROWS)
+                yield nodes.view(np.int64), minhash.bands(signature, ROWS)
+
+    yield from combined(signed())
 
 
 def _wanted_bodies(batches):
@@ -75,10 +96,19 @@ def _wanted_bodies(batches):
     for batch in batches:
         for rows, data, offsets in blocks(batch):
             lines = Lines(data, offsets)
-            place = {(int(r), int(h)): i for i, (r, h) in enumerate(zip(lines.row, lines.hashes.view(np.int64), strict=True))}
-            asked = ((h, place[r, h]) for r, each in enumerate(rows.column(rows.schema.get_field_index("wanted")).to_pylist()) for h in each if (r, h) in place)
-            found = [(h, data[lines.starts[i] : lines.ends[i]].tobytes().decode()) for h, i in asked]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], ["node", "body"])
+            wanted = rows.column(rows.schema.get_field_index("wanted"))
+            asked = wanted.flatten().to_numpy().view(U64)
+            asked_row = np.repeat(np.arange(rows.num_rows), wanted.value_lengths().to_numpy())
+            # a line is asked for if its hash is, in the same row
+            keys = mix(asked + asked_row.astype(U64) * U64(0x9E3779B97F4A7C15))
+            mine = mix(lines.hashes + lines.row.astype(U64) * U64(0x9E3779B97F4A7C15))
+            which = np.flatnonzero(np.isin(mine, keys))
+            _, one = np.unique(lines.hashes[which], return_index=True)
+            which = which[one]
+            starts, sizes = lines.starts[which], lines.ends[which] - lines.starts[which]
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            body = pa.Array.from_buffers(pa.large_string(), len(which), [None, pa.py_buffer(ends), pa.py_buffer(data[runs(starts, sizes)])])
+            yield pa.RecordBatch.from_arrays([pa.array(lines.hashes[which].view(np.int64)), body.cast(pa.string())], ["node", "body"])
 
 
 def _expand(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,30 +143,29 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, dropped): the numbers, from 0, of each document's lines that another line stands for.
 
     Lines are compared with A-Z lower-cased and without white space at their ends; blank ones are left
-    alone. Two lines link when their sets of eight-byte shingles overlap by ``percent`` hundredths of
-    their union, confirmed on the whole sets of lines that share one of 8 bands of 3 bins (a link at
-    0.8 is missed with odds of 0.3 %). Of each component of lines the first by (doc_id, line number)
-    stays. Equal lines are folded before, so a line that stands in a third of all documents costs a
-    count; only hashes and counts of lines are shuffled, and texts only for lines with a candidate.
+    alone. Two lines link when their sets of eight-character shingles (a shorter line is its own) overlap by
+    ``percent`` hundredths of their union, confirmed on the whole sets of lines that share one of 12 bands of
+    4 bins (a link at 0.8 is missed with odds of 0.2 %). Of each component of lines the first by (doc_id,
+    line number) stays. Equal lines are folded before, so a line that stands in a third of all documents
+    costs a count; only hashes and counts of lines are shuffled, and texts only for lines with a candidate.
 
     Documents without such lines, and those with a null id or text, have no row. Rows that repeat an
-    id and a text count as one document.
+    id and a text count as one document. An empty table gives no rows; other columns are ignored.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     lines = cut(given.mapInArrow(_occurrences, "doc_id long, line_no long, node long"))
-    first = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    keyed = given.mapInArrow(_banded, "node long, band long")
+    first = cut(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")))
 
     def bodies_of(nodes: DataFrame) -> DataFrame:
-        homes = lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("node").alias("wanted"))
-        return given.join(homes, "doc_id").mapInArrow(_wanted_bodies, "node long, body string").dropDuplicates(["node"])
+        homes = first.join(nodes, "node").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("node").alias("wanted"))
+        return given.join(homes.hint("shuffle_hash"), "doc_id").mapInArrow(_wanted_bodies, "node long, body string").dropDuplicates(["node"])
 
-    found = cut(components(bucket_links(keyed, bodies_of, _expand, percent)).withColumnRenamed("id", "node"))
+    found = cut(components(bucket_links(given.mapInArrow(_banded, BUCKETS), bodies_of, _expand, percent)).withColumnRenamed("id", "node").join(first, "node"))
     release(docs.sparkSession)
-    grouped = first.join(found, "node", "left")
-    keepers = grouped.where("component is not null").groupBy("component").agg(F.min("first").alias("keeper"))
-    drop = cut(grouped.where("n > 1 or component is not null").join(keepers, "component", "left").select("node", F.coalesce("keeper", "first").alias("keeper")))
-    gone = lines.join(drop, "node").where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("line_no") != F.col("keeper.line_no")))
+    keepers = found.groupBy("component").agg(F.min("first").alias("keeper"))
+    linked = found.join(keepers, "component").select("node", "keeper")
+    repeated = first.where("n > 1").join(linked, "node", "left_anti").select("node", F.col("first").alias("keeper"))
+    gone = lines.join(linked.unionByName(repeated), "node").where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("line_no") != F.col("keeper.line_no")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
@@ -146,7 +175,7 @@ def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
         raise ValueError(f"{dropped_col} is a column of the table; name another dropped_col")
     gone = duplicate_lines(docs, id_col, text_col, **options).withColumnRenamed("dropped", dropped_col)
     key = next(f"key{i}" for i in range(len(docs.columns) + 2) if f"key{i}" not in [*docs.columns, dropped_col])
-    joined = docs.join(gone.withColumnRenamed("doc_id", key), F.col(id_col).cast("long") == F.col(key), "left").select(*docs.columns, dropped_col)
+    joined = docs.join(gone.withColumnRenamed("doc_id", key).hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(key), "left").select(*docs.columns, dropped_col)
     return joined.mapInArrow(_rewrite(docs.columns.index(text_col), len(docs.columns)), joined.schema)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash
-from .clusters import bucket_links, components, cut, distinct_by_row, release
+from .clusters import BUCKETS, bucket_links, combined, components, cut, distinct_by_row, release
 from .textblocks import U64, Words, blocks, byte_class, mix, shingles
 
 BANDS, ROWS = 30, 6
@@ -45,6 +45,11 @@ def _prepare(width: int, word_class: str):
     return run
 
 
+def _combined(batches):
+    """Arrow function: (node, bands) to the buckets of ``combined``."""
+    return combined((batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().view(U64).reshape(-1, BANDS)) for batch in batches if batch.num_rows)
+
+
 def _expand(width: int, word_class: str):
     """Function: texts to their distinct shingle hashes and rows."""
     table = byte_class(word_class)
@@ -83,13 +88,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     folded = cut(usable.join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
-    keyed = folded.select(F.col("rep").alias("node"), F.explode("bands").alias("band"))
+    buckets = folded.where("bands is not null").select("rep", "bands").mapInArrow(_combined, BUCKETS)
 
     def bodies_of(nodes: DataFrame) -> DataFrame:
         texts = given.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
         return texts.select(F.col("doc_id").alias("node"), F.col("text").alias("body")).dropDuplicates(["node"])
 
-    links = bucket_links(keyed, bodies_of, _expand(width, word_class), percent)
+    links = bucket_links(buckets, bodies_of, _expand(width, word_class), percent)
     release(docs.sparkSession)
     twice = folded.groupBy("doc_id").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
     found = components(links.unionByName(folded.join(twice, "doc_id").select(F.col("rep").alias("a"), F.col("first").alias("b"))))
