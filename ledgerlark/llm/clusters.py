@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textblocks import U64, blocks, mix
+from .textblocks import U64, blocks
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,16 +83,25 @@ def _stars(links: DataFrame) -> bool:
     return not seen.where((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") > 0)).limit(1).count()
 
 
-#: Texts of a batch to (grams, row of each): 64-bit hashes of the sets that links compare, sorted and distinct by row.
+#: Texts of a batch to (grams, row of each): hashes of the sets that links compare, as ``distinct_by_row`` gives them.
 Expand = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
+_KEY_BITS = U64(48)
+_ROWS = 1 << 16
+
+
 def distinct_by_row(grams: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((grams, row))
-    grams, row = grams[order], row[order]
-    new = np.ones(len(grams), dtype=bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
-    return grams[new], row[new]
+    """The distinct hashes of each row, sorted by row (as given) and hash. Their upper 48 bits count, the others become zero."""
+    parts = []
+    for at in range(0, int(row[-1]) + 1 if len(row) else 0, _ROWS):
+        inside = slice(*np.searchsorted(row, [at, at + _ROWS]))
+        keys = np.sort((row[inside] - at).astype(U64) << _KEY_BITS | grams[inside] >> U64(16))
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = keys[1:] != keys[:-1]
+        keys = keys[new]
+        parts.append((keys << U64(16), (keys >> _KEY_BITS).astype(np.int64) + at))
+    return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else (grams, row)
 
 
 #: Rows of the buckets that ``combined`` gives.
@@ -138,16 +147,16 @@ def _compared(expand: Expand, percent: int):
     def run(batches):
         held, centre = np.zeros(0, dtype=U64), None  # grams of the centre that the next rows may belong to
         for batch in batches:
-            for rows, _, offsets in blocks(batch, "body", most=1 << 19):
+            for rows in (part.slice(at, _ROWS >> 1) for part, _, _ in blocks(batch, "body", most=1 << 19) for at in range(0, part.num_rows, _ROWS >> 1)):
                 heads, centres = rows.column(2).to_numpy(zero_copy_only=False), rows.column(0).to_numpy()
                 grams, row = expand(rows.column(4))
                 n = rows.num_rows
                 group = np.cumsum(heads)  # 0: the centre held
                 size = np.bincount(row, minlength=n)
                 of_head = heads[row]
-                salt = mix(np.arange(group[-1] + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(5))
-                known = np.sort(np.concatenate([held ^ salt[0], grams[of_head] ^ salt[group[row[of_head]]]]))
-                mine = grams[~of_head] ^ salt[group[row[~of_head]]]
+                keys = group[row].astype(U64) << _KEY_BITS | grams >> U64(16)
+                known = np.concatenate([held >> U64(16), keys[of_head]])  # sorted, as groups and each row's hashes are
+                mine = keys[~of_head]
                 at = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
                 both = np.bincount(row[~of_head][known[at] == mine] if len(known) else [], minlength=n)
                 sizes = np.concatenate([[len(held)], size[heads]])
@@ -187,6 +196,7 @@ def bucket_links(buckets: DataFrame, bodies_of: Callable[[DataFrame], DataFrame]
     shared = buckets.select("*", F.min("node").over(bucket).alias("centre"), F.max("node").over(bucket).alias("top")).where("centre < top or others is not null")
     every_node = F.explode(F.concat(F.array("node"), F.coalesce("others", F.array().cast("array<long>")))).alias("node")
     spread = cut(shared.select("band", "centre", every_node).distinct())
+    release(buckets.sparkSession)
     stars = cut(spread.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
     bodies = cut(bodies_of(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()))
     release(buckets.sparkSession)

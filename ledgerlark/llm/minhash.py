@@ -32,7 +32,8 @@ def densify(signature: np.ndarray, filled: np.ndarray) -> np.ndarray:
 
 
 def bin_of(hashes: np.ndarray, bins: int) -> np.ndarray:
-    return ((hashes >> U64(32)) * U64(bins) >> U64(32)).astype(np.int64)
+    """By the upper 20 bits; there are fewer than 4096 bins."""
+    return (hashes >> U64(44)).astype(np.int32) * np.int32(bins) >> np.int32(20) if bins < 2048 else ((hashes >> U64(44)).astype(np.int64) * bins >> 20)
 
 
 def signatures(hashes: np.ndarray, row: np.ndarray, rows: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
