@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -14,36 +15,61 @@ from .textblocks import Words, blocks, byte_class, code_points, hash_word
 # Phrases whose words, standing together, give a label of themselves.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Wording of public licences' notices.
+# Notices of public licences, as their authors tell users to write them.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
     "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
     "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0. This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0. This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3. This program is free software: you can redistribute it and/or modify it "
-    "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "mit": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
-    "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
-    "distribute, sublicense, and/or sell copies of the Software",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: Least words of a match that counts, words between two matches of one span, and least words of a span.
-MATCH, GAP, SPAN = 4, 6, 5
+# One-line notices.
+SHORT = {
+    "apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "bsd-3-clause": "Licensed under the BSD 3-Clause License",
+    "cc-by-4.0": "Licensed under CC BY 4.0",
+    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
+    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
+    "gpl-2.0": "Licensed under the GNU General Public License, version 2",
+    "gpl-3.0": "Licensed under the GNU General Public License, version 3",
+    "mit": "Released under the MIT License",
+    "mpl-2.0": "Licensed under the Mozilla Public License, version 2.0",
+}
+#: Least words of a match that counts, most words between two matches of a span (in the text and in the
+#: template), and the least share of the template, and of the span, that the matches cover.
+MATCH, GAP, SHARE = 4, 12, 0.75
+
+
+def default_templates() -> dict[str, tuple[str, ...]]:
+    """The texts of each label: notices, one-line notices, and the licences in full, from ``licence_texts``."""
+    out: dict[str, tuple[str, ...]] = {}
+    full = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in files(__package__).joinpath("licence_texts").iterdir() if f.name.endswith(".txt")}
+    for texts in (TEMPLATES, SHORT, full):
+        for label, text in texts.items():
+            out[label] = (*out.get(label, ()), text)
+    return out
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over word numbers; each state knows the templates in which its strings occur."""
+    """Generalised suffix automaton over word numbers; each state knows the templates in which its strings occur, and where."""
 
     def __init__(self, lines: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.owners = [-1], [0], [0]
+        self.ends: list[list[tuple[int, int]]] = [[]]
         for i, line in enumerate(lines):
             last = 0
-            for word in line:
+            for at, word in enumerate(line, 1):
                 last = self._extend(last, word, 1 << i)
+                self.ends[last].append((i, at))
+        self.longer: list[list[int]] = [[] for _ in self.link]
+        for state in range(1, len(self.link)):
+            self.longer[self.link[state]].append(state)
+        self.places = lru_cache(maxsize=None)(self._places)
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
             if self.link[state] > 0:
                 self.owners[self.link[state]] |= self.owners[state]
@@ -53,6 +79,7 @@ class SuffixAutomaton:
         self.link.append(link)
         self.length.append(length)
         self.owners.append(owner)
+        self.ends.append([])
         return len(self.next) - 1
 
     def _split(self, p: int, word: int, q: int) -> int:
@@ -81,6 +108,15 @@ class SuffixAutomaton:
             self.link[now] = q if self.length[q] == self.length[p] + 1 else self._split(p, word, q)
         return now
 
+    def _places(self, state: int) -> tuple[tuple[int, int], ...]:
+        """(template, words before its end) of each place where the state's strings stand."""
+        out, work = [], [state]
+        while work:
+            now = work.pop()
+            out += self.ends[now]
+            work += self.longer[now]
+        return tuple(out)
+
     def statistics(self, words: list[int]) -> list[tuple[int, int]]:
         """For each word, the length of the longest template substring that ends there, and its state."""
         out, state, size = [], 0, 0
@@ -102,7 +138,7 @@ class Scanner:
     def __init__(self, templates: tuple, phrases: tuple):
         self.table = byte_class("alnum")
         lines = []
-        for _, text in templates:
+        for _, text in templates:  # a label may have several
             data = np.frombuffer(text.encode(), dtype=np.uint8)
             lines.append(Words(data, np.array([0, len(data)]), self.table).hashes())
         self.known = np.unique(np.concatenate(lines)) if lines else np.zeros(0, dtype=np.uint64)
@@ -122,13 +158,13 @@ class Scanner:
             out.append((at[at + len(phrase) <= words.first[row]], label) if len(at) else (at, label))
         return out
 
-    def spans(self, words: Words, hashes: np.ndarray) -> dict[int, list[tuple[int, int, int, str]]]:
-        """By row: (first word, word after the last, words matched, template) of each chained span.
+    def spans(self, words: Words, hashes: np.ndarray) -> dict[int, list[tuple[int, int, int, float, str]]]:
+        """By row: (first word, word after the last, words covered, share, template) of each span.
 
         A match lies within a run of words that occur in some template, so only runs of MATCH or
         more such words are streamed through the automaton.
         """
-        found: dict[int, list[tuple[int, int, int, str]]] = {}
+        found: dict[int, list[tuple[int, int, int, float, str]]] = {}
         if not len(self.known) or not len(hashes):
             return found
         number = np.searchsorted(self.known, hashes)
@@ -145,19 +181,44 @@ class Scanner:
             stats = self.automaton.statistics(number[a:b].tolist())
             for i, (size, state) in enumerate(stats):
                 if size >= MATCH and (i + 1 == len(stats) or stats[i + 1][0] != size + 1):
-                    matches.setdefault(row, []).append((a + i + 1 - size, a + i + 1, self.automaton.owners[state]))
+                    matches.setdefault(row, []).append((a + i + 1 - size, a + i + 1, state))
         for row, each in matches.items():
-            base = int(words.first[row])
-            for i, name in enumerate(self.names):
-                chain: list[list[int]] = []
-                for a, b in ((a, b) for a, b, owners in each if owners >> i & 1):
-                    if chain and a - chain[-1][1] <= GAP:
-                        chain[-1][2] += b - max(a, chain[-1][1])
-                        chain[-1][1] = b
-                    else:
-                        chain.append([a, b, b - a])
-                found.setdefault(row, []).extend((a - base, b - base, n, name) for a, b, n in chain if n >= SPAN)
-        return {row: sorted(x) for row, x in found.items() if x}
+            anchors: dict[int, list[tuple[int, int, int]]] = {}  # by template: text start, text end, template end
+            for a, b, state in each:
+                for k, end in self.automaton.places(state):
+                    anchors.setdefault(k, []).append((a, b, end))
+            spans = [span for k, those in anchors.items() for span in self._chains(those, self.lengths[k], self.names[k])]
+            kept: list[tuple[int, int, int, float, str]] = []
+            for span in sorted(spans, key=lambda s: (-s[2], -s[3], s[0], s[4])):
+                if all(span[1] <= x[0] or span[0] >= x[1] for x in kept):
+                    kept.append(span)
+            if kept:
+                base = int(words.first[row])
+                found[row] = sorted((a - base, b - base, n, share, name) for a, b, n, share, name in kept)
+        return found
+
+    @staticmethod
+    def _chains(anchors: list[tuple[int, int, int]], length: int, name: str) -> list[tuple[int, int, int, float, str]]:
+        """Chains of matches that advance in the text and in the template, with small gaps, and cover enough of both."""
+        anchors.sort()
+        best: list[tuple[int, int]] = []  # words covered by the best chain that ends here, and where it starts
+        out, oldest = [], 0
+        reach = 0
+        for i, (a, b, end) in enumerate(anchors):
+            begin, top = end - (b - a), (b - a, a)
+            reach = max(reach, b - a)
+            while anchors[oldest][0] + reach + GAP < a:
+                oldest += 1
+            for j in range(oldest, i):
+                _, b0, end0 = anchors[j]
+                overlap = max(0, b0 - a, end0 - begin)
+                if overlap < b - a and a - b0 <= GAP and begin - end0 <= GAP and end0 < end and best[j][0] + b - a - overlap > top[0]:
+                    top = (best[j][0] + b - a - overlap, best[j][1])
+            best.append(top)
+            share = top[0] / max(length, b - top[1])
+            if share >= SHARE:
+                out.append((top[1], b, top[0], share, name))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -165,7 +226,7 @@ def _scanner(templates: tuple, phrases: tuple) -> Scanner:
     return Scanner(templates, phrases)
 
 
-_SPANS = pa.list_(pa.struct([("template", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("covered", pa.int64())]))
+_SPANS = pa.list_(pa.struct([("template", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("covered", pa.int64()), ("share", pa.float64())]))
 
 
 def _scan(templates: tuple, phrases: tuple):
@@ -195,9 +256,9 @@ def _scan(templates: tuple, phrases: tuple):
                 for r, found in spans.items():
                     w, o = int(words.first[r]), int(offsets[r])
                     all_spans[r] = [
-                        {"template": t, "first_word": a, "end_word": b, "start": int(place[words.starts[w + a]] - place[o]), "end": int(place[words.ends[w + b - 1]] - place[o]), "covered": c} for a, b, c, t in found
+                        {"template": t, "first_word": a, "end_word": b, "start": int(place[words.starts[w + a]] - place[o]), "end": int(place[words.ends[w + b - 1]] - place[o]), "covered": c, "share": x} for a, b, c, x, t in found
                     ]
-                    score[r] = max(min(1.0, c / (b - a)) * min(1.0, c / 8) for a, b, c, _ in found)
+                    score[r] = max(x for _, _, _, x, _ in found)
                 score = np.where((count > 0) & (score < 0.5), 0.5, score)
                 labels = [sorted(base[r] | {s["template"] for s in all_spans[r]}) for r in range(n)]
                 yield pa.RecordBatch.from_arrays(
@@ -208,24 +269,29 @@ def _scan(templates: tuple, phrases: tuple):
     return run
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str | tuple[str, ...]] | None = None, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     Texts are lower-cased (A-Z) and split into runs of ASCII letters, digits and non-ASCII characters.
     ``n_base`` counts the places where a phrase's words stand consecutively; ``first_word`` and
     ``last_word`` are the least and greatest start, null without any. Matching statistics against the
-    templates' suffix automaton give maximal matches of 4 or more words; those of one template with at
-    most 6 words between them form a span, which counts from 5 matched words on. ``score`` is the best
-    span's matched share of its words, reduced for spans under 8 matched words, and at least 0.5
-    where a phrase stands; 0 with neither. Labels are distinct, sorted and comma-joined, '' without any.
-
-    Templates and phrases are arguments of fixed size. A null or empty text has no words. Null ids,
-    repeated rows and ties keep a row each; an empty table gives none; other columns are ignored.
+    templates' suffix automaton give maximal matches of 4 or more words, with their places in the templates.
+    Matches that advance both in the text and in one template, with at most 12 words between two in either,
+    are chained; a chain is a span if it covers 0.75 of the template's words and of its own. Of spans that
+    overlap, whatever their template, the one that covers most words stays (then the greater share, the
+    earlier, the lesser name). ``score`` is the greatest share, at least 0.5 where a phrase stands; 0 with
+    neither. Labels are distinct, sorted and comma-joined, '' without any.
+
+    Templates (by default notices and full texts; a label may have several) and phrases are arguments of
+    fixed size. A null or empty text has no words; a text of any length is scanned whole. Null ids, repeated
+    rows and ties keep a row each; an empty table gives none; other columns are ignored.
     """
+    given = default_templates() if templates is None else templates
+    texts = tuple(sorted((label, text) for label, each in given.items() for text in ((each,) if isinstance(each, str) else each)))
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = "array<struct<template:string,first_word:long,end_word:long,start:long,end:long,covered:long>>"
+    spans = "array<struct<template:string,first_word:long,end_word:long,start:long,end:long,covered:long,share:double>>"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _scan(tuple(sorted(templates.items())), tuple(phrases.items())), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {spans}"
+        _scan(texts, tuple(phrases.items())), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {spans}"
     )
 
 
