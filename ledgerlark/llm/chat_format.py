@@ -93,7 +93,8 @@ class Windows:
         repeats = retained + [shift + k for k in range(self.repeated)]
         assert len(repeats) == old
         self.number += 1
-        return {"window": self.number - 1, "formatted": "".join(p[0] for p in parts), "loss": loss, "repeats": repeats, "tokens": self.sums[-1] + (self.system[2] if self.system else 0)}
+        tokens = self.sums[-1] + (self.system[2] if self.system else 0)
+        return {"window": self.number - 1, "formatted": "".join(p[0] for p in parts), "loss": loss, "repeats": repeats, "tokens": tokens, "over_budget": tokens > self.budget}
 
     def end(self) -> Iterator[dict]:
         if len(self.turns) > self.repeated or self.system and not self.number:
@@ -101,8 +102,8 @@ class Windows:
 
 
 _LOSS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_WINDOW = [("window", pa.int64()), ("formatted", pa.string()), ("loss", _LOSS), ("repeats", pa.list_(pa.int64())), ("tokens", pa.int64())]
-_WINDOW_SQL = "conv_id long, window long, formatted string, loss array<struct<start:long,end:long>>, repeats array<long>, tokens long"
+_WINDOW = [("window", pa.int64()), ("formatted", pa.string()), ("loss", _LOSS), ("repeats", pa.list_(pa.int64())), ("tokens", pa.int64()), ("over_budget", pa.bool_())]
+_WINDOW_SQL = "conv_id long, window long, formatted string, loss array<struct<start:long,end:long>>, repeats array<long>, tokens long, over_budget boolean"
 
 
 def _format(budget: int, history: int):
@@ -115,7 +116,7 @@ def _format(budget: int, history: int):
         for batch in batches:
             for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 done = []
-                if now is run or conv != now:
+                if now is run or conv != now or conv is None:
                     done += [(now, w) for w in windows.end()]
                     now, windows = conv, Windows(budget, history)
                 done += [(conv, w) for w in windows.add(role or "", text or "")]
@@ -132,23 +133,24 @@ def _format(budget: int, history: int):
 
 
 def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row per window: conv_id, window, formatted, loss, repeats, tokens; those of a conversation stand together, in order.
+    """One row per window: conv_id, window, formatted, loss, repeats, tokens, over_budget; those of a conversation stand together, in order.
 
     A conversation's rows are taken by turn (null first; of equal turns by role, then text). Each turn
     is marked by its role and an end, with control strings inside role and text escaped reversibly. A
     window holds the conversation's system turn, if its first turn is one, then earlier turns repeated
     up to ``history`` tokens, then new turns up to ``budget`` tokens in all, as prefix sums of the
-    turns' tokens allow; a turn that no window has room for gets one of its own. ``loss`` has the
+    turns' tokens allow; a turn that no window has room for gets one of its own, which is ``over_budget``,
+    and so are all windows of a conversation whose system turn alone has more tokens. ``loss`` has the
     character spans of the new assistant texts: each is a target once, and repeated ones are masked.
     ``repeats`` numbers the window's turns that an earlier window has.
 
     Rows are dealt and sorted by conversation and streamed through each task, which holds one window
-    at a time, so a conversation of any length fits. A null text or role is empty; rows with a null
-    conv_id form one conversation; repeated rows are turns of their own; an empty table gives no rows;
+    at a time, so a conversation of any length fits. A null text or role is empty; each row with a null
+    conv_id is a conversation of its own; repeated rows are turns of their own; an empty table gives no rows;
     other columns are ignored.
     """
     given = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
-    ordered = given.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ordered = given.repartition(F.coalesce("conv_id", F.xxhash64("turn", "role", "text"))).sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(_format(budget, history), _WINDOW_SQL)
 
 

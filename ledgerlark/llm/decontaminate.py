@@ -10,17 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textblocks import Words, blocks, byte_class, code_points
+from .clusters import cut
+from .textblocks import LOWER, Words, blocks, byte_class, code_points
 
 WINDOW = 10
-#: A benchmark of more bytes is scanned for in several passes, each with the automaton of one share of its items.
-MOST_BYTES = 64 << 20
+#: Bytes of benchmark texts that one automaton holds, about 300 MB in a task; a larger benchmark is dealt into shares
+#: of that size. Texts of 4 MB can't hold more distinct words than there are word numbers.
+MOST_BYTES = 4 << 20
 
 
 class Matcher:
     """Automaton over windows of word numbers. Numbers start above the surrogates, so that a text is a Python string."""
 
     BASE = 0xE000
+    MOST_WORDS = 0x10FFFF - BASE
     OTHER = 0x20 - BASE  # stands for a word of no benchmark text
 
     def __init__(self, items: list[tuple[str, str]], window: int):
@@ -28,10 +31,11 @@ class Matcher:
         texts = [text.encode() for _, text in items]
         offsets = np.cumsum([0, *map(len, texts)])
         words = Words(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets, self.table)
-        hashes = words.hashes()
-        self.known, number = np.unique(hashes, return_inverse=True)
-        if len(self.known) > 0x10FFFF - self.BASE:
+        self.known, example, number = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(self.known) > self.MOST_WORDS:
             raise ValueError("too many distinct benchmark words for one automaton; lower most_bytes")
+        low = LOWER[words.data]
+        self.words = [low[words.starts[i] : words.ends[i]].tobytes() for i in example]
         line = self._string(number)
         owners: dict[str, set[int]] = {}
         for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
@@ -49,17 +53,30 @@ class Matcher:
         return (numbers + self.BASE).astype("<u4").tobytes().decode("utf-32-le")
 
     def scan(self, data: np.ndarray, offsets: np.ndarray):
-        """The block's words, and for each row with matches (row, [(first word, word after the last, window number)])."""
+        """The block's words, and for each row with matches (row, [(first word, word after the last, window number)]).
+
+        Words get their numbers by hash; where a window matches they are compared as they stand.
+        """
         words = Words(data, offsets, self.table)
         found = []
         if self.windows and len(words.starts):
             hashes = words.hashes()
             number = np.searchsorted(self.known, hashes)
             number[number == len(self.known)] = 0
-            line = self._string(np.where(self.known[number] == hashes, number, self.OTHER))
-            for row in np.unique(np.searchsorted(words.first, np.flatnonzero(self.known[number] == hashes), "right") - 1):
+            known = self.known[number] == hashes
+            line = self._string(np.where(known, number, self.OTHER))
+            low = LOWER[data]
+            same: dict[int, bool] = {}
+
+            def stands(k: int) -> bool:
+                if k not in same:
+                    same[k] = low[words.starts[k] : words.ends[k]].tobytes() == self.words[number[k]]
+                return same[k]
+
+            for row in np.unique(np.searchsorted(words.first, np.flatnonzero(known), "right") - 1):
                 start, end = int(words.first[row]), int(words.first[row + 1])
-                if hits := [(at - self.windows[k][0] + 1 - start, at + 1 - start, k) for at, k in self.automaton.iter(line, start, end)]:
+                hits = [(at - self.windows[k][0] + 1, at + 1, k) for at, k in self.automaton.iter(line, start, end)]
+                if hits := [(a - start, b - start, k) for a, b, k in hits if all(map(stands, range(a, b)))]:
                     found.append((int(row), hits))
         return words, found
 
@@ -69,37 +86,55 @@ def _matcher(items: tuple, window: int) -> Matcher:
     return Matcher(list(items), window)
 
 
+def _joined(spans: list[dict]) -> list[dict]:
+    """Spans in order, those that touch or overlap as one."""
+    out: list[dict] = []
+    for span in sorted(spans, key=lambda s: (s["first_word"], s["end_word"])):
+        if out and span["first_word"] <= out[-1]["end_word"]:
+            if span["end_word"] > out[-1]["end_word"]:
+                out[-1] |= {"end_word": span["end_word"], "end": span["end"]}
+        else:
+            out.append(dict(span))
+    return out
+
+
 def _scan(shared, window: int):
+    """Arrow function: (doc_id, text, n_words, items, spans) with the share's hits added."""
+
     def run(batches):
         matcher = _matcher(shared.value, window)
         for batch in batches:
             for rows, data, offsets in blocks(batch):
                 words, found = matcher.scan(data, offsets)
-                n = len(offsets) - 1
-                items: list[list[str]] = [[] for _ in range(n)]
-                spans: list[list[dict]] = [[] for _ in range(n)]
+                items, spans = ({} for _ in range(2))
                 place = code_points(data) if found else None
                 for row, hits in found:
-                    items[row] = sorted({matcher.ids[i] for _, _, k in hits for i in matcher.windows[k][1]})
-                    merged: list[list[int]] = []
-                    for a, b, _ in sorted(hits):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(b, merged[-1][1])
-                        else:
-                            merged.append([a, b])
-                    w = words.first[row]
-                    spans[row] = [
-                        {"first_word": a, "end_word": b, "start": int(place[words.starts[w + a]] - place[offsets[row]]), "end": int(place[words.ends[w + b - 1]] - place[offsets[row]])} for a, b in merged
-                    ]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(np.diff(words.first)), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)], ["doc_id", "n_words", "items", "spans"]
-                )
+                    items[row] = sorted({matcher.ids[i] for _, _, k in hits for i in matcher.windows[k][1]} | set(rows.column(3)[row].as_py()))
+                    w, start = words.first[row], place[offsets[row]]
+                    ends = {(a, b) for a, b, _ in hits}
+                    mine = [{"first_word": a, "end_word": b, "start": int(place[words.starts[w + a]] - start), "end": int(place[words.ends[w + b - 1]] - start)} for a, b in ends]
+                    spans[row] = _joined(mine + rows.column(4)[row].as_py())
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(words.first)), _with(rows.column(3), items), _with(rows.column(4), spans)], _COLUMNS)
 
     return run
 
 
+def _with(column: pa.Array, new: dict[int, list]) -> pa.Array:
+    """The column with some rows replaced."""
+    if not new:
+        return column
+    at = sorted(new)
+    mask = np.zeros(len(column), dtype=bool)
+    mask[at] = True
+    kept, put = np.where(mask, 0, np.arange(len(column))), np.full(len(column), -1)
+    put[at] = np.arange(len(at))
+    both = pa.concat_arrays([column, pa.array([new[i] for i in at], column.type)])
+    return both.take(pa.array(np.where(mask, len(column) + put, kept)))
+
+
+_COLUMNS = ["doc_id", "text", "n_words", "items", "spans"]
 _SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-_OUT = "n_words long, items array<string>, spans array<struct<first_word:long,end_word:long,start:long,end:long>>"
+_SPANS_SQL = "array<struct<first_word:long,end_word:long,start:long,end:long>>"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -110,44 +145,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pattern as a whole, a wordless one none. ``items`` are the sorted ids (as text) whose patterns
     occur, ``spans`` the merged hit ranges as word numbers and as character offsets into the text.
 
-    The benchmark's size is checked: up to ``most_bytes`` its texts are broadcast and one automaton
-    scans each document once. Beyond, its items are dealt into shares of that size, the documents are
-    scanned once for each share, and hits are merged by row.
+    The benchmark's size is checked: each ``most_bytes`` of its texts are one share, broadcast and scanned
+    for by one automaton in one pass; a benchmark of one share (the usual case) means one scan of the
+    documents. Passes follow one another and each adds its hits to the row, with a checkpoint between
+    two, so that no executor holds more than one automaton for each of its tasks.
 
     Null ids and rows that repeat are kept as they are; a null text has no words. Items with a null
-    id or text are skipped, items that repeat an id count once. Other columns are ignored.
+    id or text are skipped, items that repeat an id count once. An empty table gives no rows, an empty
+    benchmark no hits. Other columns are ignored.
     """
-    shares = _shares(benchmark, item_col, most_bytes)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if len(shares) == 1:
-        return _pass(given, shares[0], window)
-    keyed = given.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    passes = []
-    for part in shares:
-        passes.append(_pass(keyed.select(F.struct("doc_id", "row_key").alias("doc_id"), "text"), part, window).where("size(items) > 0").select("doc_id.doc_id", "doc_id.row_key", "items", "spans"))
-    hits = passes[0]
-    for more in passes[1:]:
-        hits = hits.unionByName(more)
-    merged = hits.groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans")).withColumn("spans", _merged("spans"))
-    none = given.sparkSession.createDataFrame([], shares[0].schema)
-    counts = _pass(keyed.select(F.struct("doc_id", "row_key").alias("doc_id"), "text"), none, window).select("doc_id.doc_id", "doc_id.row_key", "n_words")
-    empty = F.array().cast("array<string>"), F.array().cast("array<struct<first_word:long,end_word:long,start:long,end:long>>")
-    return counts.join(merged, "row_key", "left").select("doc_id", "n_words", F.coalesce("items", empty[0]).alias("items"), F.coalesce("spans", empty[1]).alias("spans"))
-
-
-def _merged(spans: str):
-    """Sorted spans with those that touch joined."""
-    joins = lambda done, x: (F.size(done) > 0) & (x["first_word"] <= F.element_at(done, -1)["end_word"])
-    grown = lambda done, x: F.concat(
-        F.slice(done, 1, F.size(done) - 1),
-        F.array(F.struct(F.element_at(done, -1)["first_word"].alias("first_word"), F.greatest(F.element_at(done, -1)["end_word"], x["end_word"]).alias("end_word"), F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))),
-    )
-    start = F.array().cast("array<struct<first_word:long,end_word:long,start:long,end:long>>")
-    return F.aggregate(spans, start, lambda done, x: F.when(joins(done, x), grown(done, x)).otherwise(F.concat(done, F.array(x))))
+    kind = given.schema["doc_id"].dataType.simpleString()
+    found = given.withColumns({"n_words": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "spans": F.array().cast(_SPANS_SQL)})
+    for number, share in enumerate(_shares(benchmark, item_col, most_bytes)):
+        found = (cut(found) if number else found).mapInArrow(_scan(_shared(share), window), f"doc_id {kind}, text string, n_words long, items array<string>, spans {_SPANS_SQL}")
+    return found.drop("text")
 
 
 def _shares(benchmark: DataFrame, item_col: str, most_bytes: int) -> list[DataFrame]:
-    """(item, body) of the benchmark, as one table if its size allows, else dealt by hashed item."""
+    """(item, body) of the benchmark, dealt by hashed item into shares of about ``most_bytes``."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").alias("body")).where("item is not null and body is not null")
     total = items.agg(F.sum(F.octet_length("body") + 16)).first()[0] or 0
     n = -(-total // most_bytes) or 1
@@ -159,11 +175,6 @@ def _shared(items: DataFrame):
     return items.sparkSession.sparkContext.broadcast(tuple(sorted((r["item"], r["body"]) for r in rows)))
 
 
-def _pass(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_scan(_shared(items), window), f"doc_id {kind}, {_OUT}")
-
-
 def _clean(shared, window: int, text: str):
     def run(batches):
         matcher = _matcher(shared.value, window)
@@ -177,9 +188,9 @@ def _clean(shared, window: int, text: str):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no benchmark pattern; a null text stays."""
-    for part in _shares(benchmark, item_col, most_bytes):
-        docs = docs.mapInArrow(_clean(_shared(part), window, text_col), docs.schema)
+    """The rows of ``docs``, with all their columns, that hold no benchmark pattern; a null text stays. The benchmark is dealt as in ``contamination``."""
+    for number, share in enumerate(_shares(benchmark, item_col, most_bytes)):
+        docs = (cut(docs) if number else docs).mapInArrow(_clean(_shared(share), window, text_col), docs.schema)
     return docs
 
 

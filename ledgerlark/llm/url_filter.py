@@ -2,54 +2,71 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .clusters import cut
+
 # The stated rules, host and path in one string.
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 # The method's own list: hosts of advertising and tracking, blocked with all subdomains.
 LISTED = ("ads-track.example.com/", "ads-track.example.net/", "ads-track.example.org/")
-#: A list of more bytes isn't sent as a file but joined as a table.
-MOST_BYTES = 256 << 20
+#: A list of up to so many bytes is one array that each executor maps; a larger one is dealt into arrays of that size,
+#: and what is looked up goes to the array that may hold it.
+MOST_BYTES = 64 << 20
 
 
 class DigestArray:
     """Sorted xxhash64 keys in one file, full strings and their starts in two more; all are memory-mapped."""
 
+    PARTS = ("keys", "starts", "strings")
+
     def __init__(self, folder: str, name: str):
-        self.keys = np.load(os.path.join(folder, f"{name}.keys.npy"), mmap_mode="r")
-        self.starts = np.load(os.path.join(folder, f"{name}.starts.npy"), mmap_mode="r")
-        self.strings = np.load(os.path.join(folder, f"{name}.strings.npy"), mmap_mode="r")
+        self.keys, self.starts, self.strings = (np.load(os.path.join(folder, f"{name}.{part}.npy"), mmap_mode="r") for part in self.PARTS)
 
     @staticmethod
-    def write(folder: str, name: str, strings: list[str]) -> list[str]:
+    def packed(strings: list[str]) -> dict[str, bytes]:
+        """The three files' contents."""
         entries = sorted((xxhash.xxh64_intdigest(s), s) for s in {x.encode() for x in strings})
         arrays = {
             "keys": np.array([k for k, _ in entries], dtype=np.uint64),
             "starts": np.cumsum([0, *(len(s) for _, s in entries)]),
             "strings": np.frombuffer(b"".join(s for _, s in entries), dtype=np.uint8),
         }
-        paths = []
+        out = {}
         for part, array in arrays.items():
-            np.save(path := os.path.join(folder, f"{name}.{part}.npy"), array)
-            paths.append(path)
-        return paths
+            np.save(file := io.BytesIO(), array)
+            out[part] = file.getvalue()
+        return out
+
+    @classmethod
+    def write(cls, folder: str, name: str, strings: list[str]) -> None:
+        cls.unpack(folder, name, cls.packed(strings))
+
+    @staticmethod
+    def unpack(folder: str, name: str, files: dict[str, bytes]) -> None:
+        for part, content in files.items():
+            with open(own := os.path.join(folder, f"{name}.{part}.{uuid.uuid4().hex}"), "wb") as file:
+                file.write(content)
+            os.replace(own, os.path.join(folder, f"{name}.{part}.npy"))
 
     def find(self, probes: list[bytes]) -> np.ndarray:
         """The number of each probe's entry, or -1; equal digests of other strings don't count."""
         digests = np.array([xxhash.xxh64_intdigest(p) for p in probes], dtype=np.uint64)
         at = np.searchsorted(self.keys, digests)
         out = np.full(len(probes), -1)
-        for i in np.flatnonzero(at < len(self.keys)):
+        for i in np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == digests) if len(self.keys) else []):
             k = int(at[i])
             while k < len(self.keys) and self.keys[k] == digests[i]:
                 if self.strings[self.starts[k] : self.starts[k + 1]].tobytes() == probes[i]:
@@ -63,43 +80,64 @@ class DigestArray:
 
 
 @lru_cache(maxsize=4)
-def _opened(name: str) -> DigestArray:
-    return DigestArray(SparkFiles.getRootDirectory(), name)
+def _opened(name: str, shared) -> DigestArray:
+    """The broadcast array, written once to the executor's own working folder and mapped by all its tasks."""
+    folder = SparkFiles.getRootDirectory()
+    if not all(os.path.exists(os.path.join(folder, f"{name}.{part}.npy")) for part in DigestArray.PARTS):
+        DigestArray.unpack(folder, name, shared.value)
+    return DigestArray(folder, name)
+
+
+def _probes(hosts: pa.Array, paths: pa.Array, lengths: tuple[int, ...]) -> Iterator[pa.Array]:
+    """For each parent domain, the host first, and each length: domain and start of the path as one string, null where there is none."""
+    size = pc.utf8_length(paths)
+    starts = [pc.if_else(pc.greater_equal(size, n), pc.utf8_slice_codeunits(paths, 0, n), None) for n in lengths]
+    domain = hosts
+    while domain.null_count < len(domain):
+        for start in starts:
+            yield pc.binary_join_element_wise(domain, start, "")
+        domain = pc.if_else(pc.match_substring(domain, "."), pc.replace_substring_regex(domain, r"^[^.]*\.", ""), None)
 
 
-def host_suffixes(host: str) -> list[str]:
-    """The host and its parent domains, the longest first."""
-    parts = host.split(".")
-    return [".".join(parts[i:]) for i in range(len(parts))]
+def _look_up(array: DigestArray, probes: pa.Array) -> np.ndarray:
+    """The number of each probe's entry, or -1; each distinct string is digested once."""
+    coded = pc.dictionary_encode(probes)
+    found = np.append(array.find([p.encode() for p in coded.dictionary.to_pylist()]), -1)
+    return found[pc.fill_null(coded.indices, len(found) - 1).to_numpy(zero_copy_only=False)]
 
 
-def _judge(name: str, lengths: tuple[int, ...], verdicts: dict[str, str]):
+def _judge(name: str, shared, lengths: tuple[int, ...], verdicts: dict[str, str]):
     def run(batches):
-        array = _opened(name)
+        array = _opened(name, shared)
+        rules = sorted(verdicts, key=len)
+        number = array.find([r.encode() for r in rules])
+        names, says = pa.array([*rules, None], pa.string()), pa.array([*(verdicts[r] for r in rules), None], pa.string())
         for batch in batches:
-            hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            probes, owner = [], []
-            for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-                for suffix in host_suffixes(host):
-                    for n in lengths:
-                        if n <= len(path):
-                            probes.append((suffix + path[:n]).encode())
-                            owner.append(i)
-            best: list[str | None] = [None] * len(hosts)
-            listed = [False] * len(hosts)
-            found = array.find(probes)
-            for at in np.flatnonzero(found >= 0):
-                entry, i = array.text(int(found[at])), owner[at]
-                if entry not in verdicts:
-                    listed[i] = True
-                elif best[i] is None or len(entry) > len(best[i]):
-                    best[i] = entry
-            verdict = [verdicts[b] if b is not None else "block" if l else "allow" for b, l in zip(best, listed, strict=True)]  # noqa: E741
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(verdict, pa.string())], [*batch.schema.names, "rule", "verdict"])
+            hosts, paths = (batch.column(i).cast(pa.string()) for i in (1, 2))
+            best, listed = np.full(batch.num_rows, -1), np.zeros(batch.num_rows, dtype=bool)
+            for probes in _probes(hosts, paths, lengths):
+                found = _look_up(array, probes)
+                for i, k in enumerate(number):  # the rules, the longest last
+                    best[(found == k) & (best < i)] = i
+                listed |= (found >= 0) & ~np.isin(found, number)
+            which = pa.array(np.where(best < 0, len(rules), best))
+            verdict = pc.coalesce(says.take(which), pa.array(np.where(listed, "block", "allow")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, names.take(which), verdict], [*batch.schema.names, "rule", "verdict"])
 
     return run
 
 
+def _in_share(key, entries: pa.Table, probes: pa.Table) -> pa.Table:
+    """One share of a large list: the probes that it holds, by its own mapped array."""
+    folder, name = SparkFiles.getRootDirectory(), f"share-{uuid.uuid4().hex}"
+    DigestArray.write(folder, name, entries.column("entry").to_pylist())
+    array = DigestArray(folder, name)
+    for part in DigestArray.PARTS:
+        os.remove(os.path.join(folder, f"{name}.{part}.npy"))  # the maps stay open
+    found = _look_up(array, probes.column("entry").combine_chunks())
+    return probes.select(["host", "path"]).filter(pa.array(found >= 0))
+
+
 def parsed(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     """(page_id, host, path); a null url, or one without '://', has both empty."""
     rest = F.when(F.instr(url_col, "://") > 0, F.expr(f"substr(`{url_col}`, instr(`{url_col}`, '://') + 3)")).otherwise("")
@@ -118,36 +156,49 @@ def judge_urls(pages: DataFrame, rules: dict[str, str] = RULES, listed: DataFram
     ``listed``, of the same form, fits, else 'allow'.
 
     Entries are looked up by all parent domains of the host and all path lengths that entries have, in a
-    sorted array of 64-bit digests that executors receive as files and map into memory. ``listed`` may be
-    a table of one string column; up to ``most_bytes`` it goes into the array, beyond it is joined by
-    digest and string. A null url, or one without '://', has an empty host and path, which no entry with
-    a host fits. Null ids and repeated rows keep a row each; an empty table gives none; other columns
-    are ignored.
+    sorted array of 64-bit digests, memory-mapped, by binary search, with the full string against collisions.
+    ``listed`` may be a table of one string column (null and repeated entries are skipped). Up to
+    ``most_bytes`` it goes into one array, which is broadcast; a larger one is dealt by hashed entry into
+    arrays of about that size, and the distinct look-ups go to the array that may hold them.
+
+    A null url, or one without '://', has an empty host and path, which no entry with a host fits. Null ids
+    and repeated rows keep a row each; an empty table gives none; other columns are ignored.
     """
     spark, rest = pages.sparkSession, None
     if isinstance(listed, DataFrame):
-        column = listed.select(F.col(listed.columns[0]).alias("entry")).where("entry is not null")
-        if (column.agg(F.sum(F.octet_length("entry") + 16)).first()[0] or 0) <= most_bytes:
-            listed = tuple(r["entry"] for r in column.distinct().collect())
-        else:
-            listed, rest = (), column.distinct()
+        column = cut(listed.select(F.col(listed.columns[0]).alias("entry")).where("entry is not null").distinct())
+        total = column.agg(F.sum(F.octet_length("entry") + 16)).first()[0] or 0
+        listed, rest = (tuple(r["entry"] for r in column.collect()), None) if total <= most_bytes else ((), column)
     entries = [*rules, *listed]
-    folder, name = tempfile.mkdtemp(), f"urls-{uuid.uuid4().hex}"
-    for path in DigestArray.write(folder, name, entries):
-        spark.sparkContext.addFile(path)
     lengths = tuple(sorted({len(e) - e.find("/") if "/" in e else 0 for e in entries}))
+    shared = spark.sparkContext.broadcast(DigestArray.packed(entries))
     rows = parsed(pages, id_col, url_col)
     kind = rows.schema["page_id"].dataType.simpleString()
-    judged = rows.mapInArrow(_judge(name, lengths, dict(rules)), f"page_id {kind}, host string, path string, rule string, verdict string")
+    judged = rows.mapInArrow(_judge(f"urls-{uuid.uuid4().hex}", shared, lengths, dict(rules)), f"page_id {kind}, host string, path string, rule string, verdict string")
     if rest is None:
         return judged
-    sizes = [r["n"] for r in rest.select((F.length("entry") - F.instr("entry", "/") + 1).alias("n")).distinct().collect()]
-    hosts = F.transform(F.sequence(F.lit(1), F.size(F.split("host", "[.]"))), lambda i: F.array_join(F.slice(F.split("host", "[.]"), i, F.size(F.split("host", "[.]"))), "."))
-    paths = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sizes])
-    probes = judged.select("host", "path").distinct().select("host", "path", F.explode(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))).alias("entry")).where("entry is not null")
-    hit = probes.withColumn("digest", F.xxhash64("entry")).join(rest.withColumn("digest", F.xxhash64("entry")), ["digest", "entry"], "left_semi").select("host", "path", F.lit(True).alias("hit")).distinct()
+    sizes = tuple(r["n"] for r in rest.select(F.when(F.instr("entry", "/") > 0, F.length("entry") - F.instr("entry", "/") + 1).otherwise(0).alias("n")).distinct().collect())
+    asked = rows.select("host", "path").distinct().mapInArrow(_asked(sizes), "host string, path string, entry string")
+    shares = F.lit(1 + total // max(most_bytes, 1 << 16) + asked.count() // SHARE_PROBES)
+    dealt = lambda df: df.withColumn("share", F.pmod(F.xxhash64("entry"), shares)).groupBy("share")
+    hit = dealt(rest).cogroup(dealt(asked)).applyInArrow(_in_share, "host string, path string").distinct().withColumn("hit", F.lit(True))
     return judged.join(hit, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.when(F.col("rule").isNull() & F.col("hit"), "block").otherwise(F.col("verdict")).alias("verdict"))
 
 
+#: Look-ups that meet one share of a large list.
+SHARE_PROBES = 1 << 20
+
+
+def _asked(sizes: tuple[int, ...]):
+    def run(batches):
+        for batch in batches:
+            hosts, paths = (batch.column(i).cast(pa.string()) for i in (0, 1))
+            for probes in _probes(hosts, paths, sizes):
+                some = pc.is_valid(probes)
+                yield pa.RecordBatch.from_arrays([x.filter(some) for x in (hosts, paths, probes)], ["host", "path", "entry"])
+
+    return run
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -343,13 +343,16 @@ def test_chat(spark, budget, history):
     windows = chat_format.format_conversations(df, budget=budget, history=history)
     found = {r[0]: r for r in windows.mapInArrow(chat_format._digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").collect()}
     key = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")
-    for conv in {r[0] for r in rows}:
+    alone = [r for r in windows.mapInArrow(chat_format._digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").collect() if r[0] is None]
+    assert sorted(r[1:4] for r in alone) == sorted((1, hashlib.sha256(f"{a}\n{b}\n".encode()).hexdigest(), n) for a, b, n in (("user", "q", 0), ("assistant", "a", 1)))
+    for conv in {r[0] for r in rows} - {None}:
         turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=key)]
         loss = "".join(t for role, t in turns if role == "assistant")
         assert found[conv][1:5] == (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     for w in windows.collect():
         turns = list(chat_format.read_turns(w["formatted"]))
         assert w["tokens"] <= budget or len(turns) - len(w["repeats"]) <= 1 + (w["window"] == 0)
+        assert w["over_budget"] == (w["tokens"] > budget) and w["tokens"] == len(packing.token_ids(w["formatted"])) - 1
         if w["conv_id"] is not None and w["conv_id"] % 2 and w["conv_id"] > 2:
             assert turns[0][0] == "system"
     assert chat_format.format_conversations(df.where("false")).count() == 0
