@@ -43,7 +43,7 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
-#: A vertex with more than one in HUBS of all edge ends is a hub. By arithmetic there are fewer than HUBS, so they can be broadcast.
+#: A key with more than one in HUBS of all rows is a hub. By arithmetic there are fewer than HUBS, so they can be broadcast.
 HUBS = 500
 
 
@@ -71,9 +71,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _beside_least(ends: DataFrame, total: int, least: Column) -> DataFrame:
     """``ends`` (u, v), each with m, the ``least`` of its u; there are ``total`` rows, or a few less."""
-    known = ends.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
+    return hub_join(ends, ends.groupBy("u").agg(least.alias("m"), F.count("*").alias("n")), "u", total).select("u", "v", "m")
+
+
+def hub_join(rows: DataFrame, known: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) joined with ``known``, one row of each key with n, its number of rows.
+
+    Keys with more than one in HUBS of all rows, of which there can't be more than HUBS, come by broadcast, so that
+    their rows stay where they are; the others meet by a shuffle. ``rows`` is read twice.
+    """
     hubs = F.broadcast(known.where(F.col("n") > total // HUBS + 8))
-    return ends.join(hubs, "u").select("u", "v", "m").unionByName(ends.join(hubs.select("u"), "u", "left_anti").join(known, "u").select("u", "v", "m"))
+    return rows.join(hubs, key).unionByName(rows.join(hubs.select(key), key, "left_anti").join(known, key))
 
 
 def _stars(links: DataFrame) -> bool:

@@ -7,26 +7,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .clusters import components, cut
+from .clusters import components, cut, hub_join
 
-THRESHOLD, TILE = 0.98, 1024
+THRESHOLD, TILE = 0.98, 4096
+_STRIPE = 512  # rows of a tile whose products are held at once
 
 
-def _unit(batches):
-    """Arrow function: (vec_id, label, embedding) to unit vectors in double precision, int8 codes, scale and error."""
-    for batch in batches:
-        ids, labels, kept = [], [], []
-        for key, label, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            values = vector.values if vector.is_valid else None
-            if key is None or label is None or values is None or not len(values) or values.null_count:
-                continue
-            x = values.to_numpy(zero_copy_only=False).astype(np.float64)
-            norm = np.sqrt((x * x).sum()) if np.isfinite(x).all() else 0.0
-            if np.isfinite(norm) and norm > 0:
-                ids.append(key)
-                labels.append(label)
-                kept.append((x / norm).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, batch.schema.field(1).type), pa.array(kept, pa.binary())], ["vec_id", "label", "unit"])
+def _matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors as unit vectors in double precision) for each width; vectors that can't link are left out.
+
+    A vector is divided by its greatest component first, so that its norm neither over- nor underflows.
+    """
+    column = column.cast(pa.large_list(pa.float64())) if len(column) else column
+    if not len(column):
+        return []
+    values = column.flatten()
+    width = column.value_lengths().fill_null(0).to_numpy()
+    start = np.cumsum(width) - width
+    plain = values.fill_null(np.nan).to_numpy()
+    out = []
+    for w in np.unique(width[width > 0]):
+        rows = np.flatnonzero(width == w)
+        x = plain[start[rows][:, None] + np.arange(w)]
+        top = np.abs(x).max(axis=1)
+        good = np.isfinite(top) & (top > 0)
+        x = x[good] / top[good][:, None]
+        out.append((rows[good], x / np.sqrt((x * x).sum(axis=1))[:, None]))
+    return out
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,50 +43,110 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes.astype(np.int8), scale, np.linalg.norm(unit - scale[:, None] * codes, axis=1)
 
 
-def _links(threshold: float):
-    """Arrow function over one pair of tiles: direct links of each vector, and as few edges as join the linked."""
+def _coded(batches):
+    """Arrow function: (vec_id, label, embedding) to those that can link, with int8 codes, their scale and error."""
+    for batch in batches:
+        usable = batch.column(0).is_valid().to_numpy(zero_copy_only=False) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        for rows, unit in _matrices(batch.column(2)):
+            rows, unit = rows[usable[rows]], unit[usable[rows]]
+            codes, scale, error = quantised(unit)
+            kept = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(error)], ["vec_id", "label", "embedding", "codes", "scale", "error"])
+
+
+class _Found:
+    """Links of a task: a count for each vector, and no more edges than join the linked."""
+
+    def __init__(self):
+        self.total: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+        self.parent: dict[int, int] = {}
+
+    def _root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = a[a != b], b[a != b]
+        for k, count in zip(*np.unique(np.concatenate([a, b]), return_counts=True), strict=True):
+            self.total[int(k)] = self.total.get(int(k), 0) + int(count)
+        for u, v in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = self._root(u), self._root(v)
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+                self.edges.append((u, v))
+
+
+def _tiles(table: pa.Table):
+    """For each width in a pair of tiles: (rows on the left, on the right, stripes). A stripe is (row on the left from,
+    products of codes, their slack) for up to 512 rows; within one tile only pairs above the diagonal are to be used."""
+    side, scale, error = (table.column(c).to_numpy() for c in ("side", "scale", "error"))
+    codes = table.column("codes").combine_chunks()
+    width = np.diff(np.frombuffer(codes.buffers()[1], dtype=np.int32)[codes.offset : codes.offset + len(codes) + 1])
+    one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+
+    def stripes(left, right, w):
+        # codes and their sums are whole numbers that single precision holds for widths up to 1040
+        kind = np.float32 if w <= 1040 else np.float64
+        p, q = (np.frombuffer(b"".join(codes.take(pa.array(x)).to_pylist()), dtype=np.int8).reshape(-1, w).astype(kind) for x in (left, right))
+        for at in range(0, len(left), _STRIPE):
+            m = left[at : at + _STRIPE]
+            rough = (p[at : at + _STRIPE] @ q.T).astype(np.float64) * (scale[m][:, None] * scale[right][None, :])
+            # |u.v - (s p).(t q)| <= |u - s p| |t q| + |u| |v - t q|, and |t q| <= 1 + |v - t q|; both
+            # numbers are the same whichever of the two is on the left
+            slack = (error[m][:, None] + error[right][None, :]) + error[m][:, None] * error[right][None, :] + 1e-12
+            if one:
+                rough[np.arange(len(m))[:, None] + at >= np.arange(len(right))[None, :]] = -np.inf
+            yield at, rough, slack
+
+    for w in np.unique(width):
+        left, right = np.flatnonzero((width == w) & (side == 0)), np.flatnonzero((width == w) & (side == (0 if one else 1)))
+        if len(left) and len(right):
+            yield left, right, stripes(left, right, int(w))
+
+
+def _output(table: pa.Table, found: _Found, still_open: np.ndarray) -> pa.Table:
+    out = [(k, None, n) for k, n in found.total.items()] + [(u, v, 0) for u, v in found.edges]
+    rows = table.select(["label", "i", "j", "side", "row"]).take(pa.array(still_open))
+    blank = pa.nulls(len(out)), pa.nulls(len(still_open), pa.int64())
+    columns = [pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x, blank[0].cast(x.type)]) for x in rows.columns]
+    rest = [pa.concat_arrays([blank[1], pa.array([x[c] for x in out], pa.int64())]) for c in range(3)]
+    return pa.table([*columns, *rest], names=["label", "i", "j", "side", "row", "a", "b", "n"])
+
+
+def _sure(threshold: float):
+    """Arrow function over the codes of a pair of tiles: links that the bounds prove, and the rows with a pair that they leave open."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found, ids = _Found(), table.column("vec_id").to_numpy()
+        still_open = np.zeros(table.num_rows, dtype=bool)
+        for left, right, stripes in _tiles(table):
+            for at, rough, slack in stripes:
+                x, y = np.nonzero(rough - slack >= threshold)
+                found.add(ids[left[at + x]], ids[right[y]])
+                x, y = np.nonzero((rough + slack >= threshold) & (rough - slack < threshold))
+                still_open[left[at + x]] = still_open[right[y]] = True
+        return _output(table, found, np.flatnonzero(still_open))
+
+    return run
+
+
+def _exact(threshold: float):
+    """Arrow function over the open rows of a pair of tiles, with their vectors: the links among the pairs left open."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        side, ids, i, j = (table.column(c).to_numpy() for c in ("side", "vec_id", "i", "j"))
-        unit = [np.frombuffer(x, dtype=np.float64) for x in table.column("unit").to_pylist()]
-        total: dict[int, int] = {}
-        edges: list[tuple[int, int]] = []
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(up, up)
-            return x
-
-        for width in sorted({len(x) for x in unit}):
-            of = np.array([len(x) == width for x in unit])
-            left, right = np.flatnonzero(of & (side == 0)), np.flatnonzero(of & (side == (1 if i[0] != j[0] else 0)))
-            if not len(left) or not len(right):
-                continue
-            a, b = np.stack([unit[k] for k in left]), np.stack([unit[k] for k in right])
-            (p, ps, pe), (q, qs, qe) = quantised(a), quantised(b)
-            # |u.v - (s p).(t q)| <= |u - s p| |t q| + |u| |v - t q|, and |t q| <= 1 + |v - t q|; codes
-            # and their sums are whole numbers that single precision holds for widths up to 1040
-            kind = np.float32 if width <= 1040 else np.float64
-            rough = (p.astype(kind) @ q.T.astype(kind)).astype(np.float64) * ps[:, None] * qs[None, :]
-            slack = pe[:, None] * (1 + qe[None, :]) + qe[None, :] + 1e-12
-            x, y = np.nonzero(rough + slack >= threshold)
-            if i[0] == j[0]:
-                x, y = x[x < y], y[x < y]
-            for at in range(0, len(x), 1 << 16):
-                m, n = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-                linked = np.einsum("ij,ij->i", a[m], b[n]) >= threshold
-                m, n = ids[left[m[linked]]], ids[right[n[linked]]]
-                for k, count in zip(*np.unique(np.concatenate([m[m != n], n[m != n]]), return_counts=True), strict=True):
-                    total[int(k)] = total.get(int(k), 0) + int(count)
-                for u, v in zip(m.tolist(), n.tolist(), strict=True):
-                    r, t = root(u), root(v)
-                    if r != t:
-                        parent[max(r, t)] = min(r, t)
-                        edges.append((u, v))
-        out = [(k, None, n) for k, n in total.items()] + [(u, v, 0) for u, v in edges]
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "n": pa.array([x[2] for x in out], pa.int64())})
+        found, ids = _Found(), table.column("vec_id").to_numpy()
+        unit = {int(row): vector for rows, vectors in _matrices(table.column("embedding").combine_chunks()) for row, vector in zip(rows, vectors, strict=True)}
+        for left, right, stripes in _tiles(table):
+            a, b = np.stack([unit[k] for k in left.tolist()]), np.stack([unit[k] for k in right.tolist()])
+            for at, rough, slack in stripes:
+                x, y = np.nonzero((rough + slack >= threshold) & (rough - slack < threshold))
+                for part in range(0, len(x), 1 << 16):
+                    m, n = at + x[part : part + (1 << 16)], y[part : part + (1 << 16)]
+                    linked = np.einsum("ij,ij->i", a[m], b[n]) >= threshold
+                    found.add(ids[left[m[linked]]], ids[right[n[linked]]])
+        return _output(table, found, np.zeros(0, dtype=np.int64))
 
     return run
 
@@ -91,11 +158,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     double precision is ``threshold`` or more. Vectors that are null, empty, zero, or hold a null or
     non-finite component link with nothing, nor do those with a null id or label.
 
-    The vectors of a label are dealt by hashed id into tiles of about ``tile``, so a label of any size
-    spreads over many tasks, each of which holds two tiles. A task multiplies int8 codes; each vector
-    carries the exact norm of its quantisation error, which bounds how far a product can be from the
-    cosine, and only pairs that the bound leaves possible are computed again from the double precision
-    vectors. A task returns a count for each vector and no more edges than join the linked ones.
+    The vectors of a label are dealt by hashed row into tiles of about ``tile``, so a label of any size
+    spreads over many tasks, each of which holds two tiles. Only int8 codes are dealt, with each vector's
+    scale and the exact norm of its quantisation error, which bounds how far a product of codes can be from
+    the cosine. Pairs that the bound proves are counted there; of pairs it leaves open, only the vectors,
+    never the pairs, are listed, fetched and multiplied in double precision in a second round. A task
+    returns a count for each vector and no more edges than join the linked ones.
 
     ``n_links`` counts the other vectors linked directly; ``component_id`` is the least id reachable,
     the row's own included (null for a null id). Rows that repeat an id are one vertex: their vectors'
@@ -103,13 +171,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     ignored.
     """
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
-    kind = given.schema["label"].dataType.simpleString()
-    units = given.mapInArrow(_unit, f"vec_id long, label {kind}, unit binary")
-    sizes = given.where("label is not null").groupBy("label").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
-    tiled = units.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
+    kind, listed = (given.schema[c].dataType.simpleString() for c in ("label", "embedding"))
+    coded = cut(given.mapInArrow(_coded, f"vec_id long, label {kind}, embedding {listed}, codes binary, scale double, error double").withColumn("row", F.monotonically_increasing_id()))
+    sizes = cut(coded.groupBy("label").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles")))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tiled = hub_join(coded.drop("embedding"), sizes, "label", total).withColumn("own", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
     dealt = tiled.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "vec_id", "unit")
-    found = cut(dealt.groupBy("label", "i", "j").applyInArrow(_links(threshold), "a long, b long, n long"))
+    dealt = dealt.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "row", "vec_id", "codes", "scale", "error")
+    out = f"label {kind}, i int, j int, side int, row long, a long, b long, n long"
+    sure = cut(dealt.groupBy("label", "i", "j").applyInArrow(_sure(threshold), out))
+    fetched = sure.where("row is not null").select("label", "i", "j", "side", "row").join(coded.drop("label"), "row")
+    found = sure.unionByName(cut(fetched.groupBy("label", "i", "j").applyInArrow(_exact(threshold), out))).where("row is null")
     counts = found.where("b is null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     groups = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "vec_id")
     out = given.select("vec_id").join(counts, "vec_id", "left").join(groups, "vec_id", "left")
