@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .textblocks import U64, blocks
@@ -60,18 +60,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
-    while not _stars(links):
-        total = links.count()
+    while not (state := _state(links))["stars"]:
+        total, parts = state["links"], 1 + state["links"] // LINKS_IN_PART
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _beside_least(both, 2 * total, F.least(F.min("v"), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = _beside_least(large, total, F.min("v")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        links = cut(small.where("u != v").distinct())
+        large = _beside_least(both, 2 * total, state["most"], F.least(F.min("v"), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
+        small = _beside_least(large, total, state["most_up"], F.min("v")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        links = cut(small.where("u != v").coalesce(parts).distinct().coalesce(parts))
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _beside_least(ends: DataFrame, total: int, least: Column) -> DataFrame:
-    """``ends`` (u, v), each with m, the ``least`` of its u; there are ``total`` rows, or a few less."""
-    return hub_join(ends, ends.groupBy("u").agg(least.alias("m"), F.count("*").alias("n")), "u", total).select("u", "v", "m")
+#: Links of a partition, at least; fewer links than shuffle partitions would make files of a few bytes.
+LINKS_IN_PART = 1 << 18
+
+
+def _state(links: DataFrame) -> Row:
+    """stars: whether each u has one v and no v is a u; the number of links; the most that a vertex has, in all and as u."""
+    ends = links.select("u", F.lit(1).alias("n")).unionByName(links.select(F.col("v").alias("u"), F.lit(None).cast("int").alias("n")))
+    seen = ends.groupBy("u").agg(F.count("n").alias("up"), F.count_if(F.col("n").isNull()).alias("down"))
+    crossed = F.count_if((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") > 0))
+    most = lambda x: F.coalesce(F.max(x), F.lit(0))
+    return seen.agg((crossed == 0).alias("stars"), F.coalesce(F.sum("up"), F.lit(0)).alias("links"), most(F.col("up") + F.col("down")).alias("most"), most("up").alias("most_up")).first()
+
+
+def _beside_least(ends: DataFrame, total: int, most: int, least: Column) -> DataFrame:
+    """``ends`` (u, v), each with m, the ``least`` of its u; there are at most ``total`` rows, and at most ``most`` of one u."""
+    known = ends.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
+    joined = hub_join(ends, known, "u", total) if most > _hub(total) else ends.join(known, "u")
+    return joined.select("u", "v", "m")
+
+
+def _hub(total: int) -> int:
+    return total // HUBS + 8
 
 
 def hub_join(rows: DataFrame, known: DataFrame, key: str, total: int) -> DataFrame:
@@ -80,17 +99,10 @@ def hub_join(rows: DataFrame, known: DataFrame, key: str, total: int) -> DataFra
     Keys with more than one in HUBS of all rows, of which there can't be more than HUBS, come by broadcast, so that
     their rows stay where they are; the others meet by a shuffle. ``rows`` is read twice.
     """
-    hubs = F.broadcast(known.where(F.col("n") > total // HUBS + 8))
+    hubs = F.broadcast(known.where(F.col("n") > _hub(total)))
     return rows.join(hubs, key).unionByName(rows.join(hubs.select(key), key, "left_anti").join(known, key))
 
 
-def _stars(links: DataFrame) -> bool:
-    """Whether each u has one v, and no v is a u."""
-    ends = links.select("u", F.lit(1).alias("n")).unionByName(links.select(F.col("v").alias("u"), F.lit(None).cast("int").alias("n")))
-    seen = ends.groupBy("u").agg(F.count("n").alias("up"), F.count_if(F.col("n").isNull()).alias("down"))
-    return not seen.where((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") > 0)).limit(1).count()
-
-
 #: Texts of a batch to (grams, row of each): hashes of the sets that links compare, as ``distinct_by_row`` gives them.
 Expand = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -179,12 +191,12 @@ def _compared(expand: Expand, percent: int):
 
 
 def confirmed(stars: DataFrame, bodies: DataFrame, expand: Expand, percent: int) -> DataFrame:
-    """Those star edges (a, b), b the centre, whose nodes' bodies (node, body) have sets that overlap enough.
+    """Those star edges (a, b), b the centre (a table that is cut, as it is read twice), whose nodes' bodies (node, body) have sets that overlap enough.
 
     A body goes once to each centre it may link with, and a centre's own body once to each 4096 of its members.
     """
-    shares = stars.groupBy("b").agg(F.ceil(F.count("*") / F.lit(STAR_MEMBERS)).cast("int").alias("shares"))
-    members = stars.join(shares, "b").select(F.col("a").alias("node"), F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("head"))
+    shares = stars.groupBy("b").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(STAR_MEMBERS)).cast("int").alias("shares"))
+    members = hub_join(stars, shares, "b", stars.count()).select(F.col("a").alias("node"), F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("head"))
     centres = shares.select(F.col("b").alias("node"), F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(True).alias("head"))
     dealt = members.unionByName(centres).join(bodies, "node").select("centre", "share", "head", "node", "body")
     return dealt.repartition("centre", "share").sortWithinPartitions("centre", "share", F.desc("head")).mapInArrow(_compared(expand, percent), "a long, b long")
@@ -195,10 +207,11 @@ def bucket_links(buckets: DataFrame, bodies_of: Callable[[DataFrame], DataFrame]
 
     A bucket gives star-shaped candidate edges, each node to the bucket's least one, not all pairs.
     ``bodies_of`` gives (node, body) for the nodes of stars, ``expand`` their whole sets, on which the
-    stars are confirmed. Where that leaves a bucket's other nodes in several components, those outside its
-    largest one are compared with the rest of the same bucket in blocks of a bounded size, so that no link
-    hangs on the choice of centre; a block returns no more links than join its components. Of buckets with
-    the same nodes one is compared, and buckets of one block share a task's call in packs.
+    stars are confirmed. Where that leaves a bucket's other nodes in several components, those outside the
+    largest one are compared with the rest in blocks of a bounded size, so that no link hangs on the choice
+    of centre; a block returns no more links than join its components. Buckets of one centre (one for each
+    band at most) are compared as one, of those with the same nodes only one is, and those of one block
+    share a task's call in packs.
     """
     bucket = Window.partitionBy("band")
     shared = buckets.select("*", F.min("node").over(bucket).alias("centre"), F.max("node").over(bucket).alias("top")).where("centre < top or others is not null")
@@ -210,25 +223,26 @@ def bucket_links(buckets: DataFrame, bodies_of: Callable[[DataFrame], DataFrame]
     release(buckets.sparkSession)
     star_of = cut(components(confirmed(stars, bodies, expand, percent)).withColumnRenamed("id", "node"))
     links = star_of.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    left = spread.where("node != centre").join(star_of, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    several = left.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(20,0)")).alias("y"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
-    chosen = several.groupBy("n", "x", "y").agg(F.min("band").alias("band"))
-    sized = cut(left.join(chosen.select("band"), "band").join(bodies.select("node", F.octet_length("body").alias("size")), "node"))
-    parts = sized.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    total = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("n", "component")).alias("main_bytes"))
+    members = spread.where("node != centre").select("centre", "node").distinct()
+    left = members.join(star_of, "node", "left").select("centre", "node", F.coalesce("component", "node").alias("component"))
+    several = left.groupBy("centre").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(20,0)")).alias("y"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
+    chosen = several.groupBy("n", "x", "y").agg(F.min("centre").alias("centre"))
+    sized = cut(left.join(chosen.select("centre"), "centre").join(bodies.select("node", F.octet_length("body").alias("size")), "node"))
+    parts = sized.groupBy("centre", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    total = parts.groupBy("centre").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("n", "component")).alias("main_bytes"))
     block = lambda n, size: F.ceil(F.greatest(n / F.lit(BLOCK_NODES), size / F.lit(BLOCK_BYTES), F.lit(1.0))).cast("int")
-    total = total.select("band", F.col("top.component").alias("main"), block(F.col("n"), F.col("bytes")).alias("columns"), block(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("main_bytes")).alias("rows"))
-    placed = cut(sized.join(total, "band"))
+    total = total.select("centre", F.col("top.component").alias("main"), block(F.col("n"), F.col("bytes")).alias("columns"), block(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("main_bytes")).alias("rows"))
+    placed = cut(sized.join(total, "centre"))
     single = (F.col("rows") == 1) & (F.col("columns") == 1)
     small = placed.where(single).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     packs = F.lit(1 + max(small["n"] // BLOCK_NODES, small["bytes"] // BLOCK_BYTES)).cast("long")
-    pack = F.when(single, -1 - F.pmod(F.xxhash64("band"), packs)).otherwise(F.pmod("band", F.lit(2**63 - 1).cast("long")))
+    pack = F.when(single, -1 - F.pmod(F.xxhash64("centre"), packs)).otherwise(F.pmod("centre", F.lit(2**63 - 1).cast("long")))
     rows = placed.drop("size").withColumn("pack", pack).join(bodies, "node")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outside = rows.where("component != main").select("*", every("columns").alias("other"))
     whole = rows.select("*", every("rows").alias("other"))
-    shown = lambda df, side, i, j: df.select("pack", "band", i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "node", "component", "body")
+    shown = lambda df, side, i, j: df.select("pack", "centre", i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "node", "component", "body")
     dealt = shown(outside, 0, mine("rows"), F.col("other")).unionByName(shown(whole, 1, F.col("other"), mine("columns")))
     return links.unionByName(dealt.groupBy("pack", "i", "j").applyInArrow(_block_links(expand, percent), "a long, b long"))
 
@@ -265,11 +279,11 @@ def _block_links(expand: Expand, percent: int):
     """Arrow function over one block, or a pack of buckets of one block each: links between components, as few as join them."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("band").combine_chunks()
-        band, side, node, component = (table.column(c).to_numpy() for c in ("band", "side", "node", "component"))
+        table = table.sort_by("centre").combine_chunks()
+        centre, side, node, component = (table.column(c).to_numpy() for c in ("centre", "side", "node", "component"))
         flat, owner = expand(table.column("body").combine_chunks())
         size = np.bincount(owner, minlength=len(node))
-        bounds = np.concatenate([[0], np.flatnonzero(band[1:] != band[:-1]) + 1, [len(band)]])
+        bounds = np.concatenate([[0], np.flatnonzero(centre[1:] != centre[:-1]) + 1, [len(centre)]])
         inside = np.searchsorted(owner, bounds)
         parent: dict[int, int] = {}
 
