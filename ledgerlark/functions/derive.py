@@ -12,7 +12,13 @@ SENTINELS = ("", "n/a", "na", "n\\a", "-", "--", "tbd", "tba", "none", "null")
 STATUS = {"registration available": "open", "course full": "full", "waitlist": "waitlist", "registration closed": "closed"}
 # Words for the day counts of deadline rules.
 NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "seven": 7, "ten": 10}
-NEW_BRUNSWICK = "new brunswick|piscataway|busch|livingston|cook|douglass|college avenue"
+# Wordings of a place that name its campus, read in this order.
+CAMPUS = {
+    "Online": r"\bonline\b|\bon-line\b|distance education",
+    "Newark": r"\bnewark\b",
+    "Camden": r"\bcamden\b",
+    "New Brunswick": r"\bnew brunswick\b|\bpiscataway\b|\bbusch\b|\bcook\b|\blivingston\b|\bcollege ave|\bdouglass\b|rockafeller|100 rock",
+}
 
 
 def trimmed(c: Column) -> Column:
@@ -89,16 +95,12 @@ def delivery_mode(c: Column, hint: Column) -> Column:
 
 
 def derive_campus(c: Column, hint: Column) -> Column:
+    """The first campus whose wording stands in the place; ', XX' with another state's letters is elsewhere; else the hint."""
     text = sentinel_to_null(c)
-    return (
-        F.when(text.isNull(), hint)
-        .when(text.rlike("(?i)online"), "Online")
-        .when(text.rlike("(?i)newark"), "Newark")
-        .when(text.rlike("(?i)camden"), "Camden")
-        .when(text.rlike(f"(?i){NEW_BRUNSWICK}"), "New Brunswick")
-        .when(text.rlike(r",\s*(?!NJ\b)[A-Z]{2}\b"), "Other")
-        .otherwise(hint)
-    )
+    out = F.when(text.isNull(), hint)
+    for campus, wording in CAMPUS.items():
+        out = out.when(text.rlike(f"(?i){wording}"), campus)
+    return out.when(text.rlike(r",\s*(?!NJ\b)[A-Z]{2}\b"), "Other").otherwise(hint)
 
 
 def split_location(c: Column) -> Column:
@@ -181,6 +183,13 @@ def parse_date_range(c: Column) -> Column:
     return F.struct(F.when(failure.isNull(), start).alias("starts_on"), F.when(failure.isNull(), F.greatest(start, end)).alias("ends_on"), failure.alias("failure"))
 
 
+def parse_start_end(a: Column, b: Column) -> Column:
+    """(starts_on, ends_on, failure) of a start cell and an end cell; an absent or earlier end is the start."""
+    first, last = parse_date_range(a), parse_date_range(b)
+    failure, start = first["failure"], first["starts_on"]
+    return F.struct(start.alias("starts_on"), F.when(failure.isNull(), F.greatest(start, last["ends_on"])).alias("ends_on"), failure.alias("failure"))
+
+
 def derive_relations(relations: Column) -> Column:
     """Sentinels go; of relations with one raw text the first stays."""
     clean = F.filter(F.transform(relations, lambda r: F.struct(sentinel_to_null(r["raw_text"]).alias("raw_text"), r["kind"].alias("kind"))), lambda r: r["raw_text"].isNotNull())

@@ -6,9 +6,11 @@ import datetime as dt
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import CANDIDATE_LIMIT
 from .filters import ListingFilter
 
 
@@ -75,6 +77,55 @@ def route(question: str, today: str) -> Route:
     return Route(filter=ListingFilter(**keys) if keys else None, search=topic)
 
 
+_KEYS = ("campus", "term", "max_fee_cents", "min_fee_cents", "delivery_mode", "is_evening", "status", "open_for_reg", "min_hours", "max_hours")
+ROUTE = (
+    "refuse boolean, history string, search string, filter struct<campus:string,term:string,max_fee_cents:long,min_fee_cents:long,"
+    "delivery_mode:string,is_evening:boolean,status:string,open_for_reg:boolean,min_hours:double,max_hours:double>"
+)
+
+
+def routed(questions: DataFrame, today: str) -> DataFrame:
+    """The questions with ``route``: the rules of ``route`` for each, in Arrow batches; a null question has an empty search."""
+
+    @F.pandas_udf(ROUTE)
+    def decide(texts: pd.Series) -> pd.DataFrame:
+        found = [route(t or "", today) for t in texts]
+        filters = [None if r.filter is None else {k: getattr(r.filter, k) for k in _KEYS} for r in found]
+        return pd.DataFrame({"refuse": [r.refuse for r in found], "history": [r.history for r in found], "search": [r.search for r in found], "filter": filters})
+
+    return questions.withColumn("route", decide("question"))
+
+
+def matches_filter(f: Column, as_of: str) -> Column:
+    """Whether a listing's columns fit the filter struct ``f``; a null key, or a null filter, constrains nothing."""
+    c = F.col
+    day = F.lit(as_of).cast("date")
+    conditions = [
+        c("campus") == f["campus"], c("term") == f["term"], c("total_fee_cents") <= f["max_fee_cents"], c("total_fee_cents") >= f["min_fee_cents"],
+        c("delivery_mode") == f["delivery_mode"], c("is_evening") == f["is_evening"], c("status") == f["status"],
+        c("contact_hours") >= f["min_hours"], c("contact_hours") <= f["max_hours"],
+    ]
+    out = F.lit(True)
+    for key, condition in zip(("campus", "term", "max_fee_cents", "min_fee_cents", "delivery_mode", "is_evening", "status", "min_hours", "max_hours"), conditions, strict=True):
+        out = out & (f[key].isNull() | F.coalesce(condition, F.lit(False)))
+    deadline = c("registration_deadline").isNull() | (c("registration_deadline") >= day)
+    return out & (~F.coalesce(f["open_for_reg"], F.lit(False)) | deadline)
+
+
+def answer_filters(questions: DataFrame, view: DataFrame, as_of: str, limit: int = CANDIDATE_LIMIT) -> DataFrame:
+    """(item_id, id, rank): each routed question's first live listings by its filter, the latest term first, then by id.
+
+    Questions are a stated set that meets all listings: equal filters are asked once, and a question without a filter
+    asks for nothing here. The window keeps ``limit`` rows of a filter, which Spark cuts before its shuffle too.
+    """
+    asked = questions.where("route.filter is not null and not route.refuse and route.history is null").select("item_id", F.to_json("route.filter").alias("key"), "route.filter")
+    distinct = asked.groupBy("key").agg(F.first("filter").alias("filter"))
+    hit = view.where(~F.col("is_gone")).join(F.broadcast(distinct), matches_filter(F.col("filter"), as_of))
+    by = Window.partitionBy("key").orderBy(F.col("term_rank").desc_nulls_last(), "id")
+    top = hit.select("key", "id", "term_rank").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
+    return asked.select("item_id", "key").join(top, "key").select("item_id", "id", "rank")
+
+
 def decode_route(raw: dict | None) -> Route:
     """A raw decision to a route: nulls and include_gone=false go, a malformed or empty filter is none, one route wins."""
     raw = raw or {}

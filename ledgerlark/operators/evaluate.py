@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import GATE_TOLERANCE
+from .reports import element_at_share
+
 
 def ndcg(retrieved: Column, relevant: Column, k: int) -> Column:
     """Binary relevance, 1 / log2(place + 1); 0 without relevant ids."""
@@ -34,26 +37,39 @@ def field_diffs(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return both.where(~F.col("a").eqNullSafe(F.col("e"))).select("item_id", "key", kind.alias("kind"))
 
 
-def percentile(values: Column, p: float) -> Column:
-    """The element at floor(p n), from 0, of the sorted values, the last at most."""
-    n = F.size(values)
-    return F.try_element_at(F.sort_array(values), F.least(n, F.floor(n * F.lit(p)).cast("int") + 1))
-
-
 def summarize(results: DataFrame, by: list[str]) -> DataFrame:
-    """Means per group, nulls skipped, with refusal counts and latency percentiles."""
-    return results.groupBy(*by).agg(
-        F.count("*").alias("items"), F.avg("ndcg_10").alias("ndcg_10"), F.avg("recall_10").alias("recall_10"), F.avg("mrr").alias("mrr"),
-        F.avg(F.col("filter_exact").cast("double")).alias("filter_exact"), F.count_if(F.col("refused") & ~F.col("expect_refuse")).alias("false_refusals"),
-        percentile(F.collect_list("latency_ms"), 0.5).alias("p50"), percentile(F.collect_list("latency_ms"), 0.95).alias("p95"),
-    )
-
-
-def gate(current: dict[str, float], baseline: dict[str, float], tolerance: float = 2.0) -> list[str]:
+    """Means per group (one row over all for no ``by``), nulls skipped, with refusal figures and latency percentiles.
+
+    A percentile is the element at floor(p n), from 0, of the sorted latencies, the last at most; latencies are
+    counted by value before they meet.
+    """
+    share = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)))
+    true = lambda c: F.avg(F.col(c).cast("double")).alias(c)
+    rows = results.groupBy(*by).agg(
+        F.count("*").alias("items"), F.avg("ndcg_10").alias("ndcg_10"), F.avg("recall_10").alias("recall_10"), F.avg("mrr").alias("mrr"), true("filter_exact"),
+        F.avg(F.when(F.col("expect_refuse"), F.col("refused").cast("double"))).alias("refusal_accuracy"), F.count_if(F.col("refused") & ~F.col("expect_refuse")).alias("false_refusals"),
+    )
+    latency = element_at_share(results, by, "latency_ms", {"p50": share(0.5), "p95": share(0.95)}) if by else element_at_share(results.withColumn("all", F.lit(1)), ["all"], "latency_ms", {"p50": share(0.5), "p95": share(0.95)}).drop("all")
+    if not by:
+        return rows.join(latency, F.lit(True), "left")
+    keys = {c: f"{c} of latency" for c in by}
+    same = F.lit(True)
+    for c, other in keys.items():
+        same = same & F.col(c).eqNullSafe(F.col(f"`{other}`"))
+    return rows.join(latency.withColumnsRenamed(keys), same, "left").drop(*keys.values())
+
+
+def gate(current: dict[str, float], baseline: dict[str, float], tolerance: float = GATE_TOLERANCE) -> list[str]:
     """Metrics, in percent points, that fell by more than the tolerance."""
     return [k for k in baseline if current[k] < baseline[k] - tolerance]
 
 
+def gate_rows(current: DataFrame, baseline: DataFrame, metrics: tuple[str, ...] = ("filter_exact", "ndcg_10"), tolerance: float = GATE_TOLERANCE) -> DataFrame:
+    """(metric, cur, base, failed) of two one-row summaries, in percent points."""
+    long = lambda df, name: df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(m) * 100).alias(name)) for m in metrics])).alias("x")).select("x.*")
+    return long(current, "cur").join(long(baseline, "base"), "metric").withColumn("failed", F.col("cur") < F.col("base") - tolerance)
+
+
 # The ladder's cumulative configurations.
 LADDER = (
     {"row": 1, "name": "vector, no prefix", "prefix": False, "lexical": False, "rerank": False, "filter": False},

@@ -45,3 +45,9 @@ def observation_window(listing: DataFrame) -> DataFrame:
     """(observing_since, terms_observed); 'unknown' and 0 over no listings."""
     dated = F.struct("term_season", "term_year")
     return listing.agg(F.coalesce(F.min("starts_on").cast("string"), F.lit("unknown")).alias("observing_since"), F.count_distinct(F.when(F.col("term_year").isNotNull(), dated)).alias("terms_observed"))
+
+
+def refreshed_epoch(epoch: DataFrame, listing: DataFrame) -> DataFrame:
+    """The epoch row (id 1) with the number of dated terms seen by now; without the row there is none."""
+    seen = observation_window(listing).select("terms_observed")
+    return epoch.drop("terms_observed").crossJoin(F.broadcast(seen)).where("id = 1")

@@ -89,3 +89,8 @@ def get_course(view: DataFrame, fee: DataFrame, course_ids: DataFrame) -> DataFr
 def policy(course: DataFrame, unit: DataFrame) -> DataFrame:
     """A course's own refund policy, else its unit's."""
     return course.join(unit, "unit_id", "left").select("course_id", F.coalesce("refund_policy_override", "refund_policy").alias("policy"))
+
+
+def reviewed(items: DataFrame) -> DataFrame:
+    """Items that somebody has reviewed, in order; only these are evaluated."""
+    return items.where("reviewed_at is not null").orderBy("item_id")

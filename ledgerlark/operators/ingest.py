@@ -237,3 +237,8 @@ def canonical_pages(page: DataFrame) -> DataFrame:
 def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
     """Children of parents in ``new`` are replaced whole; the others stay."""
     return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
+
+
+def lookup(state: DataFrame, urls: DataFrame) -> DataFrame:
+    """The stored state of asked urls; a url without one has nulls."""
+    return urls.select("url").distinct().join(state, "url", "left")

@@ -84,3 +84,21 @@ def synthetic_history(latest: DataFrame) -> DataFrame:
         fee.cast("long").alias("total_fee_cents"),
         F.concat(F.lit("synthetic://"), F.col("course_id").cast("string"), F.lit("/"), F.col("years_back").cast("string")).alias("detail_url"),
     )
+
+
+SYNTHETIC = "synthetic://"
+
+
+def is_synthetic(url: Column) -> Column:
+    """Marks listings that the synthetic loader wrote; its clearer keeps the others."""
+    return F.coalesce(url.startswith(SYNTHETIC), F.lit(False))
+
+
+def archetype_histogram(course: DataFrame) -> DataFrame:
+    """How many courses each archetype has."""
+    return course.groupBy(archetype(F.col("id")).alias("archetype")).agg(F.count("*").alias("n"))
+
+
+def first_change_to(changed: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """(key, first_at): when a thing first changed to ``value``; things that never did have no row."""
+    return changed.where(F.col("new_value") == value).groupBy(key).agg(F.min(at).alias("first_at"))

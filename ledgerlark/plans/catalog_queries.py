@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as flt
 from ..operators import hydrate as hyd
+from ..operators import reports as rep
 from ..operators import temporal as tmp
 from ..operators.filters import ListingFilter
 from ..operators.graph import prereq_chain
@@ -153,10 +154,12 @@ def prereq_chain_all(c):
     return prereq_chain(c.relation, c.relation.select("course_id"))
 
 
-@query("SELECT u.name, count(*) AS courses, count(c.contact_hours) AS with_hours, sum(CASE WHEN c.contact_hours IS NULL THEN 1 ELSE 0 END) AS without_hours FROM course c JOIN unit u ON c.unit_id = u.id GROUP BY u.name")
+@query(
+    "SELECT count(*) AS total, count(*) FILTER (WHERE starts_on IS NULL) AS starts_null, count(*) FILTER (WHERE campus = 'unknown') AS campus_unknown, count(*) FILTER (WHERE delivery_mode = 'unknown') AS delivery_unknown,"
+    " count(*) FILTER (WHERE total_fee_cents IS NULL) AS fee_null, count(*) FILTER (WHERE term_season IS NULL) AS term_null, count(*) FILTER (WHERE is_evening IS NULL) AS evening_null FROM listing"
+)
 def null_rate_report(c):
-    rows = c.course.join(c.unit.select(F.col("id").alias("unit_id"), "name"), "unit_id")
-    return rows.groupBy("name").agg(F.count("*").alias("courses"), F.count("contact_hours").alias("with_hours"), F.count_if(F.col("contact_hours").isNull()).alias("without_hours"))
+    return rep.absence(c.listing)
 
 
 @query("SELECT status, count(*) AS n FROM listing GROUP BY status")
@@ -176,14 +179,17 @@ def table_counts(c):
     return one(c.course, "courses").crossJoin(F.broadcast(one(c.listing, "listings"))).crossJoin(F.broadcast(one(c.table("lineitem"), "fees")))
 
 
-@query("SELECT unit_name, count(DISTINCT sha256(program)) AS policies FROM listing_view GROUP BY unit_name")
+@query(
+    "SELECT unit_id, count(DISTINCT CASE WHEN c.id % 7 = 0 THEN 'own ' || c.id % 3 ELSE 'unit ' || u.name END) AS policies FROM course c JOIN unit u ON c.unit_id = u.id GROUP BY unit_id"
+)
 def policy_uniformity(c):
-    return _view(c).groupBy("unit_name").agg(F.count_distinct(F.sha2("program", 256)).alias("policies"))
+    course = c.course.select("unit_id", F.when(F.col("id") % 7 == 0, F.concat(F.lit("own "), (F.col("id") % 3).cast("string"))).alias("refund_policy_override"))
+    return rep.policy_texts(course, c.unit.select(F.col("id").alias("unit_id"), F.concat(F.lit("unit "), "name").alias("refund_policy")))
 
 
-@query("SELECT program, count(*) AS n FROM course GROUP BY program ORDER BY n DESC, program LIMIT 20")
+@query("SELECT props->>'k' AS value, count(*) AS n FROM events WHERE props->>'k' IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
 def code_frequency_top20(c):
-    return c.course.groupBy("program").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "program").limit(20)
+    return rep.key_frequency(c.table("events").select(F.from_json("props", "map<string,string>").alias("page_fields")), "page_fields", "k")
 
 
 @query("SELECT lang, round(avg(length(text)), 6) AS mean_chars, min(length(text)) AS least, max(length(text)) AS most, count(*) FILTER (WHERE text ILIKE '%license%') AS licensed FROM documents GROUP BY lang")
@@ -192,9 +198,13 @@ def description_profile(c):
     return c.chunk.groupBy("lang").agg(F.round(F.avg(n), 6).alias("mean_chars"), F.min(n).alias("least"), F.max(n).alias("most"), F.count_if(F.col("text").ilike("%license%")).alias("licensed"))
 
 
-@query("SELECT date_trunc('month', ts) AS month, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY 1")
+@query(
+    ", e AS (SELECT min(ts) AS created, max(ts) AS changed FROM events GROUP BY user_id) SELECT count(*) FILTER (WHERE changed > created + INTERVAL 1 DAY) AS changed,"
+    " count(DISTINCT date_trunc('month', changed)) FILTER (WHERE changed > created + INTERVAL 1 DAY) AS months FROM e"
+)
 def observation_churn(c):
-    return c.observation.groupBy(F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month")).agg(F.count_distinct("listing_id").alias("users"), F.count("*").alias("n"))
+    rows = c.observation.groupBy("listing_id").agg(F.min("ts").alias("created"), F.max("ts").alias("changed"))
+    return rep.churn(rows, "created", "changed")
 
 
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(course_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"

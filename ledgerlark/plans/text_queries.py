@@ -323,13 +323,6 @@ def filter_field_diffs(c):
     return ev.field_diffs(actual, expected)
 
 
-@query("SELECT metric, cur, base, cur < base - 2.0 AS failed FROM (VALUES ('filter_exact', 97.9, 100.0), ('ndcg_10', 97.0, 98.83)) t(metric, cur, base)")
-def regression_gate(c):
-    cur, base = {"filter_exact": 97.9, "ndcg_10": 97.0}, {"filter_exact": 100.0, "ndcg_10": 98.83}
-    failed = ev.gate(cur, base)
-    return c.spark.createDataFrame([(k, cur[k], base[k], k in failed) for k in cur], "metric string, cur double, base double, failed boolean")
-
-
 # answers and conversations
 
 
