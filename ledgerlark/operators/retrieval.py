@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokens
 from ..functions.vectors import cosine_distance
-
-RRF_K, POOL = 60, 50
+from ..schemas import POOL, RRF_K
 
 
 def ranked(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
@@ -122,6 +121,14 @@ def fuse(*lists: DataFrame, k: int = RRF_K) -> DataFrame:
     return every.groupBy("course_id").agg(F.sum(F.lit(1.0).cast("double") / (F.lit(k) + F.col("rank"))).alias("rrf"))
 
 
+def fuse_by(key: str, *lists: DataFrame, k: int = RRF_K) -> DataFrame:
+    """The same for many questions at once, told apart by ``key``."""
+    every = lists[0].select(key, "course_id", "rank")
+    for other in lists[1:]:
+        every = every.unionByName(other.select(key, "course_id", "rank"))
+    return every.groupBy(key, "course_id").agg(F.sum(F.lit(1.0).cast("double") / (F.lit(k) + F.col("rank"))).alias("rrf"))
+
+
 def hybrid(vectors: DataFrame, chunk: DataFrame, query: list[float], text: str, limit: int, use_lexical: bool = True) -> DataFrame:
     """Fused top rows, the best first, ties by id."""
     lists = [knn(vectors, query)] + ([lexical(chunk, text)] if use_lexical else [])

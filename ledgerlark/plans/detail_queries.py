@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derive as dv
 from ..functions import text as tx
+from ..operators import ann
 from ..operators import answer as ans
 from ..operators import engine as eng
 from ..operators import evaluate as ev
@@ -13,6 +14,7 @@ from ..operators import filters as flt
 from ..operators import hydrate as hyd
 from ..operators import indexing as idx
 from ..operators import ingest as ing
+from ..operators import lexicon as lex
 from ..operators import persist as per
 from ..operators import reports as rep
 from ..operators import temporal as tmp
@@ -186,6 +188,35 @@ def chunk_bodies(c):
     return eng.chunk_body(_chunk(c)).select("course_id", F.sha2("body", 256).alias("body_hash"))
 
 
+@query("SELECT count(*) FILTER (WHERE vec_id % 20 = 0) AS queries, TRUE AS reached FROM embeddings WHERE list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0")
+def index_recall(c):
+    """An index of all rows, asked with every row whose id is divisible by 20: whether 0.9 of the 10 exact nearest are found."""
+    vectors = c.chunk_embedding
+    found = ann.recall(vectors, vectors.where("course_id % 20 = 0").select(F.col("course_id").alias("query_id"), "embedding"))
+    return found.agg(F.count("*").alias("queries"), (F.sum("hits") >= 0.9 * F.sum("exact")).alias("reached"))
+
+
+def _questions(c):
+    """Benchmark items whose id is divisible by 20: the first eight words that aren't stop words, joined by or."""
+    words = F.slice(F.array_distinct(tx.tokens(F.col("text"))), 1, 8)
+    return c.table("benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.array_join(words, " or ").alias("question"))
+
+
+@query()
+def lexical_batch_top50(c):
+    """Stemmed words and cover density have no SQL here; a test holds this query against a plain version."""
+    return lex.search(lex.postings(c.chunk), _questions(c)).select("query_id", "course_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query()
+def hybrid_batch_top20(c):
+    """Every vector whose id is divisible by 20 asks with its own text's first words and its embedding."""
+    words = F.slice(F.array_distinct(tx.tokens(F.col("text"))), 1, 8)
+    vectors = c.chunk_embedding
+    asked = c.chunk.where("course_id % 20 = 0").select("course_id", F.array_join(words, " or ").alias("question")).join(vectors, "course_id").withColumnRenamed("course_id", "query_id")
+    return lex.hybrid_batch(vectors, lex.postings(c.chunk), asked, 20)
+
+
 # cards, histories
 
 
