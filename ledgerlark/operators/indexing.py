@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.derive import normalized_title
 from ..functions.text import estimate_tokens, tokens
-from ..functions.vectors import cosine_distance, hashed_embedding
+from ..functions.vectors import hashed_embedding
+from ..schemas import EVAL_K, RRF_K
 from .evaluate import LADDER, score
-from .retrieval import POOL, RRF_K
+from .lexicon import postings
+from .lexicon import search as lexical_batch
+from .retrieval import knn_batch
 
 
 def decode_extractions(raw: DataFrame, schema: str) -> DataFrame:
@@ -46,35 +49,52 @@ def reconcile(items: DataFrame, keep: DataFrame, key: str) -> tuple[DataFrame, D
     return keep.join(items.select(key), key, "left_anti"), items.join(keep.select(key), key, "left_anti")
 
 
-def batch_search(items: DataFrame, chunk: DataFrame, lexical: bool, rerank: bool, limit: int = 20, width: int = 64) -> DataFrame:
-    """(item_id, id, rank) for all questions in one job: vector pool, optional lexical pool, fusion, optional rerank.
+def ablation(items: DataFrame, chunk: DataFrame, width: int = 64, limit: int = EVAL_K) -> DataFrame:
+    """Mean metrics of each ladder row over all questions, in one plan.
 
-    The questions are a stated query set of checked size, broadcast to every chunk; each question's
-    pool is cut by a ranked window, so no more than the pool is carried on.
+    ``items`` has (item_id, question, relevant, lang), ``chunk`` (course_id, text, lang), where the first line of a text
+    is its prefix. Three pools a question, by vectors with and without the prefix and by words, are searched once; a
+    ladder row takes its pools' ranks, fuses them, reranks by overlap with the question, or keeps the candidates that fit
+    the question's filter (here its language; all of them where none fits).
     """
-    asked = F.broadcast(items.select("item_id", tokens(F.col("question")).alias("terms"), hashed_embedding(F.col("question"), width).alias("q")))
-    scored = chunk.select(F.col("course_id").alias("id"), tokens(F.col("text")).alias("words"), hashed_embedding(F.col("text"), width).alias("v")).crossJoin(asked)
-    scored = scored.select("item_id", "id", cosine_distance(F.col("v"), F.col("q")).alias("distance"), F.size(F.array_intersect(F.array_distinct("words"), "terms")).alias("overlap"))
-    place = lambda *order: F.row_number().over(Window.partitionBy("item_id").orderBy(*order, "id"))
-    pools = scored.where("distance is not null").withColumn("rank", place("distance")).where(F.col("rank") <= POOL)
-    if lexical:
-        pools = pools.unionByName(scored.where("overlap > 0").withColumn("rank", place(F.col("overlap").desc())).where(F.col("rank") <= POOL))
-    fused = pools.groupBy("item_id", "id").agg(F.sum(F.lit(1.0) / (F.lit(RRF_K) + F.col("rank"))).alias("rrf"), F.max("overlap").alias("overlap"))
-    order = [F.col("overlap").desc(), F.col("rrf").desc()] if rerank else [F.col("rrf").desc()]
-    return fused.withColumn("rank", place(*order)).where(F.col("rank") <= limit).select("item_id", "id", "rank")
-
-
-def ablation(items: DataFrame, chunk: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """Mean metrics of each ladder row over all questions; rows with a filter search allowed chunks only."""
-    out = None
-    for row in LADDER:
-        pool = chunk.join(allowed, "course_id", "left_semi") if row["filter"] and allowed is not None else chunk
-        text = F.col("text") if row["prefix"] else F.regexp_replace("text", r"^[^\n]*\n", "")
-        found = batch_search(items, pool.withColumn("text", text), row["lexical"], row["rerank"])
-        means = score(items.select("item_id", "relevant"), found).agg(F.avg("ndcg_10").alias("ndcg_10"), F.avg("recall_10").alias("recall_10"), F.avg("mrr").alias("mrr"))
-        one = means.select(F.lit(row["row"]).alias("row"), F.lit(row["name"]).alias("name"), "ndcg_10", "recall_10", "mrr")
-        out = one if out is None else out.unionByName(one)
-    return out
+    bare = F.regexp_replace("text", r"^[^\n]*\n", "")
+    vectors = lambda text: chunk.select("course_id", hashed_embedding(text, width).alias("embedding"))
+    asked = items.select(F.col("item_id").alias("query_id"), "question", hashed_embedding(F.col("question"), width).alias("embedding"))
+    words = F.array_join(F.array_distinct(tokens(F.col("question"))), " or ")
+    lists = {
+        "bare": knn_batch(vectors(bare), asked.select("query_id", "embedding")),
+        "full": knn_batch(vectors(F.col("text")), asked.select("query_id", "embedding")),
+        "words": lexical_batch(postings(chunk), asked.select("query_id", words.alias("question"))),
+    }
+    pools = None
+    for name, found in lists.items():
+        one = found.select("query_id", "course_id", *[F.when(F.lit(n == name), F.col("rank")).alias(n) for n in lists])
+        pools = one if pools is None else pools.unionByName(one)
+    pools = pools.groupBy("query_id", "course_id").agg(*[F.min(n).alias(n) for n in lists])
+    body = chunk.join(pools.select("course_id").distinct(), "course_id", "left_semi").select("course_id", F.array_distinct(tokens(F.col("text"))).alias("terms"), F.col("lang").alias("chunk_lang"))
+    known = items.select(F.col("item_id").alias("query_id"), "lang", F.array_distinct(tokens(F.col("question"))).alias("asked"))
+    rows = pools.join(known, "query_id").join(body, "course_id").withColumn("overlap", F.size(F.array_intersect("terms", "asked"))).drop("terms", "asked")
+    ladder = chunk.sparkSession.createDataFrame([(r["row"], r["name"], r["prefix"], r["lexical"], r["rerank"], r["filter"]) for r in LADDER], "row int, name string, prefix boolean, lexical boolean, rerank boolean, filter boolean")
+    part = lambda rank: F.coalesce(F.lit(1.0) / (F.lit(RRF_K) + rank), F.lit(0.0))
+    each = rows.crossJoin(F.broadcast(ladder)).withColumn("rrf", part(F.when(F.col("prefix"), F.col("full")).otherwise(F.col("bare"))) + F.when(F.col("lexical"), part(F.col("words"))).otherwise(0.0))
+    fits = F.col("chunk_lang").eqNullSafe(F.col("lang"))
+    question = Window.partitionBy("row", "query_id")
+    each = each.where("rrf > 0").withColumn("some", F.max(fits.cast("int")).over(question)).where(~F.col("filter") | fits | (F.col("some") == 0))
+    order = [F.when(F.col("rerank"), F.col("overlap")).otherwise(0).desc(), F.col("rrf").desc(), "course_id"]
+    best = each.withColumn("rank", F.row_number().over(question.orderBy(*order))).where(F.col("rank") <= limit)
+    keyed = best.select(F.struct("row", "query_id").alias("item_id"), F.col("course_id").alias("id"), "rank")
+    wanted = items.crossJoin(F.broadcast(ladder.select("row"))).select(F.struct("row", F.col("item_id").alias("query_id")).alias("item_id"), "relevant")
+    scored = score(wanted, keyed).groupBy(F.col("item_id.row").alias("row")).agg(F.avg("ndcg_10").alias("ndcg_10"), F.avg("recall_10").alias("recall_10"), F.avg("mrr").alias("mrr"))
+    return scored.join(F.broadcast(ladder.select("row", "name")), "row").select("row", "name", "ndcg_10", "recall_10", "mrr")
+
+
+def known_items(chunk: DataFrame, words: int = 6) -> DataFrame:
+    """Known-item questions: of every text whose id is divisible by 20, words from its middle; relevant are all texts equal to it."""
+    split = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    part = F.slice(split, F.greatest(F.lit(1), (F.size(split) / 2).cast("int") - words // 2), words)
+    same = chunk.groupBy(F.sha2("text", 256).alias("same")).agg(F.sort_array(F.collect_list("course_id")).alias("relevant"))
+    asked = chunk.where("course_id % 20 = 0").select(F.col("course_id").alias("item_id"), F.array_join(part, " ").alias("question"), F.sha2("text", 256).alias("same"), "lang")
+    return asked.join(same, "same").drop("same")
 
 
 def get_course(view: DataFrame, fee: DataFrame, course_ids: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derive as dv
 from ..functions import text as tx
+from ..operators import agent as agt
 from ..operators import ann
 from ..operators import answer as ans
 from ..operators import engine as eng
@@ -549,3 +550,52 @@ def follow_up_questions(c):
 @query("SELECT session_id, id FROM message WHERE role = 'assistant' AND regexp_matches(prose, '[$€£]|[0-9]')")
 def unfaithful_answers(c):
     return ans.unfaithful(c.message.where("role = 'assistant'")).select("session_id", "id")
+
+
+def _spelled(title):
+    """The title in words: digits as letters, as the router reads numbers as amounts."""
+    return F.translate(F.regexp_replace(title, "[^A-Za-z0-9]+", " "), "0123456789", "bcdfghjkmn")
+
+
+def _golden(c):
+    """A golden set of four shapes made from every course whose id is divisible by 20: lookup by its own title, filtered, temporal, unanswerable."""
+    k, title = F.col("id"), _spelled("course_title")
+    shape = _pick(F.floor(k / 20), "lookup", "filtered", "temporal", "unanswerable")
+    text = (
+        F.when(shape == "lookup", title).when(shape == "filtered", F.concat(title, F.lit(" in Newark under $900,000")))
+        .when(shape == "temporal", F.concat(F.lit("How often is "), title, F.lit(" offered?"))).otherwise(F.concat(F.lit("Can I get a refund for "), title, F.lit("?")))
+    )
+    return c.course.where("id % 20 = 0").select(k.alias("item_id"), shape.alias("shape"), text.alias("question"))
+
+
+def _numbered(c):
+    return c.course.select(F.col("id").alias("course_id"), _spelled("course_title").alias("text"))
+
+
+@query(
+    ", g AS (SELECT id AS item_id, id // 20 % 4 AS s FROM course WHERE id % 20 = 0), live AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY term_rank DESC, id) AS k FROM listing_view WHERE NOT is_gone),"
+    " x AS (SELECT g.item_id, l.id, row_number() OVER (PARTITION BY g.item_id ORDER BY l.term_rank DESC, l.id) AS rank FROM g JOIN live l ON l.course_id = g.item_id WHERE s = 0 AND k = 1 OR s = 1 AND campus = 'Newark' AND total_fee_cents <= 90000000)"
+    " SELECT item_id, 'cards' AS kind, id FROM x WHERE rank = 1 AND item_id IN (SELECT item_id FROM g WHERE s = 0)"
+    " UNION ALL SELECT item_id, 'history', item_id FROM g WHERE s = 2 UNION ALL SELECT item_id, 'refused', NULL FROM g WHERE s = 3"
+)
+def agent_first_answers(c):
+    """The first answer to each golden question but the filtered ones, whose first card depends on the words' ranks."""
+    view = flt.listing_view(c.listing, c.course, c.unit)
+    seen = tmp.history(c.listing, c.course).select("course_id", "terms_seen")
+    asked = _golden(c).where("shape <> 'filtered'")
+    found = agt.answers(asked, view, lex.postings(_numbered(c)), seen, TODAY)
+    return found.where("rank = 1 and kind <> 'nothing'").select("item_id", "kind", "id")
+
+
+@query()
+def agent_eval(c):
+    """The golden set from route to cards, scored and summed up by shape: a lookup's relevant listing is its course's latest live one."""
+    view = flt.listing_view(c.listing, c.course, c.unit)
+    golden = _golden(c)
+    latest = hyd.per_course(view, 1).select("course_id", "id")
+    expected = golden.join(latest, golden.item_id == latest.course_id, "left").groupBy("item_id", "shape").agg(F.collect_list("id").alias("expected_ids"))
+    expected = expected.withColumns({"expect_refuse": F.col("shape") == "unanswerable", "temporal": F.col("shape") == "temporal"})
+    seen = tmp.history(c.listing, c.course).select("course_id", "terms_seen")
+    scored = agt.run_eval(expected, agt.answers(golden, view, lex.postings(_numbered(c)), seen, TODAY))
+    rows = scored.withColumn("filter_exact", F.col("routed")).withColumn("latency_ms", F.lit(0))
+    return ev.summarize(rows, ["shape"]).select("shape", "items", F.round("ndcg_10", 6).alias("ndcg_10"), F.round("recall_10", 6).alias("recall_10"), "refusal_accuracy", "false_refusals", F.col("filter_exact").alias("routed"))
