@@ -22,11 +22,11 @@ def take(tokens: float, last_ms: int, now_ms: int, per_minute: int = PER_MINUTE,
 
 
 def _limited(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    tokens, last = state.get if state.exists else (float(BURST), 0)
+    tokens, last = state.get if state.exists else (float(BURST), None)
     rows = pd.concat(list(pdfs)).sort_values("at_ms", kind="stable")
     out = []
     for at in rows["at_ms"]:
-        tokens, allowed, wait = take(tokens, last or at, at)
+        tokens, allowed, wait = take(tokens, at if last is None else last, at)
         last = at
         out.append((key[0], at, allowed, wait))
     state.update((tokens, int(last)))
@@ -52,14 +52,18 @@ def _bucket_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def rate_limited(requests: DataFrame) -> DataFrame:
-    """The same over a table: rows are dealt by key, sorted by time and streamed, with one bucket held at a time."""
-    return requests.select("key", "at_ms").repartition("key").sortWithinPartitions("key", "at_ms").mapInPandas(_bucket_rows, _DECISION)
+    """The same over a table: rows are dealt by key, sorted by time and streamed, with one bucket held at a time.
+
+    Requests without a key are nobody's and have no row. A bucket's requests depend on each other, so one task streams them.
+    """
+    return requests.where("key is not null and at_ms is not null").select("key", "at_ms").repartition("key").sortWithinPartitions("key", "at_ms").mapInPandas(_bucket_rows, _DECISION)
 
 
 def session_locks(runs: DataFrame) -> DataFrame:
     """(session_id, run_id, acquired): a run gets its session's lock if the last holder has ended by its start.
 
-    ``runs`` has session_id, run_id, started, ended. A session's rows are folded in order in one stream.
+    ``runs`` has session_id, run_id, started, ended. A session's rows are folded in order in one stream; runs without
+    a session or a start have no row.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,7 +78,7 @@ def session_locks(runs: DataFrame) -> DataFrame:
                 out.append((s, run, got))
             yield pd.DataFrame(out, columns=["session_id", "run_id", "acquired"])
 
-    return runs.select("session_id", "run_id", "started", "ended").repartition("session_id").sortWithinPartitions("session_id", "started", "run_id").mapInPandas(fold, "session_id long, run_id long, acquired boolean")
+    return runs.where("session_id is not null and started is not null").select("session_id", "run_id", "started", "ended").repartition("session_id").sortWithinPartitions("session_id", "started", "run_id").mapInPandas(fold, "session_id long, run_id long, acquired boolean")
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
@@ -83,6 +87,24 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1
     return out.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
+def sliding_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str = "30 minutes") -> DataFrame:
+    """Counts by event type over windows that overlap: one starts every ``slide``."""
+    out = events.withWatermark("ts", late) if events.isStreaming else events
+    return out.groupBy(F.window("ts", size, slide), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), "event_type", "n")
+
+
+def answered(questions: DataFrame, replies: DataFrame, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Questions (key, asked_at) with the replies (key, replied_at) that follow them in time; of streams, each side's state
+    ends with its watermark."""
+    left, right = questions.alias("q"), replies.alias("r")
+    if questions.isStreaming:
+        left = questions.withWatermark("asked_at", late).alias("q")
+    if replies.isStreaming:
+        right = replies.withWatermark("replied_at", late).alias("r")
+    near = (F.col("r.replied_at") >= F.col("q.asked_at")) & (F.col("r.replied_at") <= F.col("q.asked_at") + F.expr(f"INTERVAL {within}"))
+    return left.join(right, (F.col("q.key") == F.col("r.key")) & near).select(F.col("q.key").alias("key"), "asked_at", "replied_at")
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Activity sessions by user: events with less than the gap between them."""
     out = events.withWatermark("ts", late) if events.isStreaming else events
