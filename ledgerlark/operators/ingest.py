@@ -25,6 +25,29 @@ def links(page: DataFrame) -> DataFrame:
     return page.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("link")).distinct()
 
 
+def absolute(href: Column, base: Column) -> Column:
+    """The link as seen from a page: with its own scheme as it is, from '//' under the page's scheme, from '/' under its
+    host, else beside the page. Fragments go."""
+    bare = F.regexp_replace(href, "#.*$", "")
+    host = F.regexp_extract(base, r"(?i)^[a-z]+://[^/?#]*", 0)
+    folder = F.regexp_extract(base, r"(?i)^[a-z]+://[^?#]*/", 0)
+    beside = F.when(F.length(folder) > F.length(host), folder).otherwise(F.concat(host, F.lit("/")))
+    return (
+        F.when(bare.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), bare)
+        .when(bare.startswith("//"), F.concat(F.regexp_extract(base, r"(?i)^[a-z]+:", 0), bare))
+        .when(bare.startswith("/"), F.concat(host, bare))
+        .otherwise(F.concat(beside, bare))
+    )
+
+
+def index_links(page: DataFrame, element: str | None = None) -> DataFrame:
+    """(page_id, place, link): a page's links as absolute urls, each once, in the order of their first place; with
+    ``element`` only those inside elements of that name."""
+    html = F.col("html") if element is None else F.array_join(F.regexp_extract_all("html", F.lit(rf"(?is)<{element}\b.*?</{element}>"), F.lit(0)), " ")
+    found = page.select("page_id", "url", F.posexplode(F.regexp_extract_all(html, F.lit(LINK), F.lit(1))).alias("place", "href"))
+    return found.groupBy("page_id", absolute(F.col("href"), F.col("url")).alias("link")).agg(F.min("place").alias("place")).select("page_id", "place", "link")
+
+
 def html_text(html: Column) -> Column:
     """Visible text by pattern: scripts, styles, navigation and tags go, white space collapses."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1>", " ")

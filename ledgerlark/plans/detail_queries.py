@@ -294,6 +294,14 @@ def new_snapshots(c):
     return ing.snapshots(existing, observed.unionByName(observed))
 
 
+@query(
+    ", n AS (SELECT page_id, url, regexp_extract(html, '(?is)<nav\\b.*?</nav>', 0) AS nav FROM pages), h AS (SELECT page_id, url, unnest(regexp_extract_all(nav, '(?is)<a\\b[^>]*?href=\"([^\"#]+)', 1)) AS href, generate_subscripts(regexp_extract_all(nav, '(?is)<a\\b[^>]*?href=\"([^\"#]+)', 1), 1) - 1 AS place FROM n)"
+    " SELECT page_id, CAST(min(place) AS INTEGER) AS place, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || href AS link FROM h GROUP BY page_id, url, href"
+)
+def index_page_links(c):
+    return ing.index_links(c.page, "nav")
+
+
 @query("SELECT u.url, CASE WHEN page_id % 5 <> 0 THEN sha256(html) END AS content_hash FROM pages u")
 def page_state_lookup(c):
     state = c.page.where("page_id % 5 <> 0").select("url", tx.content_hash(F.col("html")).alias("content_hash"))
