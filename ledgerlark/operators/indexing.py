@@ -114,3 +114,22 @@ def policy(course: DataFrame, unit: DataFrame) -> DataFrame:
 def reviewed(items: DataFrame) -> DataFrame:
     """Items that somebody has reviewed, in order; only these are evaluated."""
     return items.where("reviewed_at is not null").orderBy("item_id")
+
+
+def course_details(view: DataFrame, fee: DataFrame, instructor: DataFrame, relation: DataFrame, policies: DataFrame) -> DataFrame:
+    """Every course with a live listing: unit, refund policy, relations, and its live listings, each with its total fee
+    lines and instructors, nested in order. Children are aggregated by their parent before they are joined."""
+    live = view.where(~F.col("is_gone"))
+    lines = fee.groupBy("listing_id").agg(F.count("*").alias("n_fees"), F.max("amount_cents").alias("largest_fee"))
+    people = instructor.groupBy("listing_id").agg(F.sort_array(F.collect_set("name")).alias("instructors"))
+    none = F.array().cast("array<string>")
+    rows = live.join(lines.withColumnRenamed("listing_id", "id"), "id", "left").join(people.withColumnRenamed("listing_id", "id"), "id", "left")
+    listing = F.struct("id", "term", "status", F.coalesce("n_fees", F.lit(0)).alias("n_fees"), "largest_fee", F.coalesce("instructors", none).alias("instructors"))
+    nested = rows.groupBy("course_id", "course_title", "unit_name").agg(F.array_sort(F.collect_list(listing)).alias("listings"))
+    needs = relation.groupBy("course_id").agg(F.sort_array(F.collect_set("requires_id")).alias("requires"))
+    return nested.join(needs, "course_id", "left").join(policies, "course_id", "left").withColumn("requires", F.coalesce("requires", F.array().cast("array<bigint>")))
+
+
+def compare_courses(details: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The details of the wanted courses (course_id, position), in the order in which they are asked for."""
+    return details.join(wanted.groupBy("course_id").agg(F.min("position").alias("position")), "course_id").orderBy("position")

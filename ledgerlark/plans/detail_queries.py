@@ -284,6 +284,37 @@ def when_did_it_fill(c):
     return tmp.first_change_to(tmp.changes(seen, ["listing_id"], ["ts", "event_id"], "status"), "listing_id", "ts", "full")
 
 
+_DETAILS = (
+    ", f AS (SELECT listing_id, count(*) AS n, max(amount_cents) AS top FROM listing_fee GROUP BY listing_id), i AS (SELECT l_orderkey AS listing_id, string_agg(DISTINCT 'S' || l_suppkey, '+' ORDER BY 'S' || l_suppkey) AS names FROM lineitem GROUP BY 1),"
+    " g AS (SELECT course_id, course_title, unit_name, string_agg(v.id || ':' || status || ':' || coalesce(f.n, 0) || ':' || coalesce(f.top, 0) || ':' || coalesce(i.names, ''), ',' ORDER BY v.id) AS listings"
+    " FROM listing_view v LEFT JOIN f ON f.listing_id = v.id LEFT JOIN i ON i.listing_id = v.id WHERE NOT is_gone GROUP BY course_id, course_title, unit_name),"
+    " d AS (SELECT g.*, CASE WHEN g.course_id < 25 THEN CAST((g.course_id * 7 + 3) % 25 AS VARCHAR) ELSE '' END AS requires, CASE WHEN g.course_id % 7 = 0 THEN 'own' ELSE unit_name END AS policy FROM g)"
+)
+
+
+def _details(c):
+    instructor = c.table("lineitem").select(F.col("l_orderkey").alias("listing_id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("name"))
+    course = c.course.select(F.col("id").alias("course_id"), "unit_id", F.when(F.col("id") % 7 == 0, "own").alias("refund_policy_override"))
+    policies = idx.policy(course, c.unit.select(F.col("id").alias("unit_id"), F.col("name").alias("refund_policy")))
+    return idx.course_details(flt.listing_view(c.listing, c.course, c.unit), c.listing_fee, instructor, c.relation, policies)
+
+
+def _details_shown(df):
+    line = lambda x: F.concat_ws(":", x["id"].cast("string"), x["status"], x["n_fees"].cast("string"), F.coalesce(x["largest_fee"], F.lit(0)).cast("string"), F.array_join(x["instructors"], "+"))
+    return df.select("course_id", "course_title", "unit_name", F.array_join(F.transform("listings", line), ",").alias("listings"), F.array_join(F.transform("requires", lambda x: x.cast("string")), ",").alias("requires"), "policy")
+
+
+@query(_DETAILS + " SELECT course_id, course_title, unit_name, listings, requires, policy FROM d")
+def course_details(c):
+    return _details_shown(_details(c))
+
+
+@query(_DETAILS + " SELECT course_id, course_title, unit_name, listings, requires, policy FROM d WHERE course_id IN (22, 4, 7)")
+def compare_courses(c):
+    wanted = c.spark.createDataFrame([(22, 0), (4, 1), (22, 2), (7, 3), (-5, 4)], "course_id long, position int")
+    return _details_shown(idx.compare_courses(_details(c), wanted))
+
+
 # crawl and persistence
 
 
