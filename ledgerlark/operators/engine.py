@@ -68,6 +68,15 @@ def listings_for_courses(view: DataFrame, wanted: DataFrame, per_course: int) ->
     return hyd.per_course(view.join(asked, "course_id"), per_course).orderBy("position", "place")
 
 
+def knowledge_search(registry: DataFrame, name: str, chunk: DataFrame, embedding: DataFrame, vector: list[float], text: str, limit: int) -> DataFrame:
+    """Hybrid search by the embeddings of the model of that name (chunk_id, model_id, embedding; a chunk is its course's);
+    nothing is found, by words neither, while the model has no embeddings."""
+    model = registry.where((F.col("name") == name) & (F.col("kind") == "embedding")).select(F.col("id").alias("model_id"))
+    vectors = embedding.join(F.broadcast(model), "model_id").select(F.col("chunk_id").alias("course_id"), "embedding")
+    indexed = vectors.select("course_id").limit(1).select(F.lit(True).alias("indexed"))
+    return hybrid(vectors, chunk, vector, text, limit).crossJoin(F.broadcast(indexed)).drop("indexed")
+
+
 class Engine:
     """The catalogue's questions, over one set of tables; every answer is a lazy DataFrame."""
 

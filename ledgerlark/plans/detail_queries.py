@@ -24,6 +24,7 @@ from ..schemas import FILTER_LIMIT
 from ..sources.catalog import TODAY, Catalog
 from .base_sql import BASE
 from .catalog_queries import _FNV
+from .text_queries import _ASK, _LEX, _Q, _QS
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -315,6 +316,48 @@ def compare_courses(c):
     return _details_shown(idx.compare_courses(_details(c), wanted))
 
 
+# the engine
+
+
+def _engine(c):
+    return eng.Engine(c.listing, c.course, c.unit, c.listing_fee, c.chunk, c.chunk_embedding, TODAY)
+
+
+@query(
+    ", f AS (SELECT * FROM listing_view WHERE NOT is_gone AND campus = 'Camden' AND status = 'full') SELECT 'count' AS method, count(*) AS n FROM f UNION ALL SELECT 'filter', least(count(*), 400) FROM f"
+    " UNION ALL SELECT 'search', least(count(*), 10) FROM embeddings UNION ALL SELECT 'hydrate', count(*) FROM listing_view WHERE id IN (7, 32) UNION ALL SELECT 'window', count(DISTINCT term) FROM listing"
+    " UNION ALL SELECT 'history', count(*) FROM course"
+)
+def engine_methods(c):
+    """Each method's number of rows, or its figure, over the same catalogue."""
+    e, f = _engine(c), ListingFilter(campus="Camden", status="full")
+    change = c.table("events").select(F.col("user_id").alias("listing_id"), F.col("ts").alias("observed_at"), F.col("event_id").alias("id"), F.lit("value").alias("field"), F.lit(None).cast("string").alias("old_value"), F.col("value").cast("string").alias("new_value"))
+    n = lambda df: df.agg(F.count("*").alias("n"))
+    figures = {
+        "count": e.count(f), "filter": n(e.filter(f)), "search": n(e.search(_Q, _ASK, 10)), "hydrate": n(e.hydrate(hyd.requested(c.spark, ["7", "32", "x"]))),
+        "window": e.window().select(F.col("terms_observed").alias("n")), "history": n(e.history(change)),
+    }
+    out = None
+    for name, df in figures.items():
+        one = df.select(F.lit(name).alias("method"), F.col("n").cast("long").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_MODEL_RRF = _LEX + (
+    f", v AS (SELECT vec_id AS course_id, 1 - list_cosine_similarity(embedding::DOUBLE[], {_QS}) AS distance FROM embeddings WHERE vec_id % 2 = 0), knn AS (SELECT *, row_number() OVER (ORDER BY distance, course_id) AS rank FROM v QUALIFY rank <= 50)"
+    ", u AS (SELECT course_id, rank FROM knn UNION ALL SELECT course_id, rank FROM lex), f AS (SELECT course_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM u GROUP BY course_id)"
+)
+
+
+@query(_MODEL_RRF + " SELECT course_id, round(rrf, 8) AS rrf, row_number() OVER (ORDER BY rrf DESC, course_id) AS rank FROM f QUALIFY rank <= 10")
+def knowledge_base_search(c):
+    """By the model 'a', whose embeddings are those of even ids; the model 'c' has none and finds nothing."""
+    models = c.spark.createDataFrame([(1, "a", "embedding", 64), (2, "b", "embedding", 64), (3, "c", "embedding", 64)], "id long, name string, kind string, dims int")
+    ask = lambda name: eng.knowledge_search(models, name, c.chunk, _embedding(c), _Q, _ASK, 10)
+    return ask("a").unionByName(ask("c")).select("course_id", F.round("rrf", 8).alias("rrf"), "rank")
+
+
 # crawl and persistence
 
 
