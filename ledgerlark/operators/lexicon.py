@@ -18,7 +18,11 @@ WEIGHT = 0.1
 
 @F.pandas_udf(_WORDS)
 def stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda each: None if each is None else [stem(w) for w in each])
+    """Each word's stem, null for a stop word."""
+    return words.map(lambda each: None if each is None else [None if w in _STOP else stem(w) for w in each])
+
+
+_STOP = frozenset(STOP_WORDS)
 
 
 def postings(chunk: DataFrame) -> DataFrame:
@@ -27,9 +31,8 @@ def postings(chunk: DataFrame) -> DataFrame:
     To be written partitioned by hashed term, so that a question reads its terms' rows only. A null text has none.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    placed = chunk.select("course_id", F.posexplode(stems(words)).alias("at", "term"), words.alias("words"))
-    kept = placed.where(~F.try_element_at("words", F.col("at") + 1).isin(*STOP_WORDS)).select("course_id", "term", (F.col("at") + 1).alias("at"))
-    return kept.groupBy("term", "course_id").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    placed = chunk.select("course_id", F.posexplode(stems(words)).alias("at", "term")).where("term is not null")
+    return placed.groupBy("term", "course_id").agg(F.sort_array(F.collect_list(F.col("at") + 1)).alias("places"))
 
 
 QUERY = T.StructType([T.StructField("must", T.ArrayType(_WORDS)), T.StructField("none", _WORDS), T.StructField("phrases", T.ArrayType(_WORDS))])
