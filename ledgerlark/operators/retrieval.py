@@ -59,13 +59,19 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, limit: int = POOL, block:
     query over products of smaller parts; the blocks' rows are merged by query. The work is that of all
     queries against all rows.
     """
-    n, asked = vectors.count(), queries.count()
-    blocks, query_blocks = -(-n // block) or 1, -(-asked // query_block) or 1
-    deal = lambda df, key, name, k, other, m: df.where("embedding is not null").select(F.col(key).alias("id"), "embedding", F.pmod(F.xxhash64(key), F.lit(k)).alias(name), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
+    blocks, query_blocks = -(-vectors.count() // block) or 1, -(-queries.count() // query_block) or 1
+
+    def deal(df: DataFrame, key: str, own: str, number: int, other: str, others: int) -> DataFrame:
+        """The rows, each in its own block, once for each block of the other side."""
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other)
+        some = df.where("embedding is not null")
+        return some.select(F.col(key).alias("id"), "embedding", F.pmod(F.xxhash64(key), F.lit(number)).alias(own), every)
+
     left = deal(queries, "query_id", "q", query_blocks, "v", blocks).groupBy("q", "v")
     right = deal(vectors, "course_id", "v", blocks, "q", query_blocks).groupBy("q", "v")
     near = left.cogroup(right).applyInArrow(_nearest(limit), "query_id long, course_id long, distance double")
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "course_id"))).where(F.col("rank") <= limit)
+    by = Window.partitionBy("query_id").orderBy("distance", "course_id")
+    return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
 
 
 def parsed_query(text: str) -> dict[str, list]:
@@ -146,10 +152,15 @@ def rerank(found: DataFrame, chunk: DataFrame, text: str, by_overlap: bool = Tru
 
 
 def intersect(filtered: DataFrame, found: DataFrame, limit: int) -> DataFrame:
-    """Filtered listings of found courses in search order; where none are, the filtered ones in their own order."""
-    both = filtered.join(found.select("course_id", "rank"), "course_id", "left")
-    some = both.agg(F.max("rank").isNotNull().alias("some"))
-    return both.crossJoin(F.broadcast(some)).where(~F.col("some") | F.col("rank").isNotNull()).orderBy(F.col("rank").asc_nulls_last(), F.col("term_rank").desc(), "id").limit(limit)
+    """Filtered listings of found courses in search order; where none are, the filtered ones in their own order.
+
+    Found ones come first, so the first ``limit`` rows show whether there are any: the search runs once, and the window sees
+    those rows only.
+    """
+    order = [F.col("rank").asc_nulls_last(), F.col("term_rank").desc(), F.col("id")]
+    top = filtered.join(found.select("course_id", "rank"), "course_id", "left").orderBy(*order).limit(limit)
+    some = F.max("rank").over(Window.partitionBy(F.lit(1))).isNotNull()
+    return top.withColumn("some", some).where(~F.col("some") | F.col("rank").isNotNull()).drop("some").orderBy(*order)
 
 
 def crossover(n: int, dims: int, queries: int, k: int, spark, seed: int = 7, tables: int = 4) -> DataFrame:
@@ -157,16 +168,33 @@ def crossover(n: int, dims: int, queries: int, k: int, spark, seed: int = 7, tab
 
     Vectors are 64 centroids with noise. Exact search scores all rows for all queries in one job.
     """
-    unit = lambda c, s: (F.pmod(F.xxhash64(c, F.lit(s)), F.lit(2000003)) / 1000001.5 - 1).cast("double")
+    text = lambda c: c.cast("string")
     slot = F.sequence(F.lit(0), F.lit(dims - 1))
-    row = F.transform(slot, lambda i: unit(F.concat_ws(":", (F.col("id") % 64).cast("string"), i.cast("string")), seed) + 0.15 * unit(F.concat_ws(":", F.col("id").cast("string"), i.cast("string")), seed + 1))
-    data = spark.range(n).select("id", row.alias("v"))
+
+    def number(c: Column, of: int) -> Column:
+        """A number from -1 to 1 by the hash of a text."""
+        return (F.pmod(F.xxhash64(c, F.lit(of)), F.lit(2000003)) / 1000001.5 - 1).cast("double")
+
+    def side(v: Column, plane: str) -> Column:
+        """The side of a plane on which a vector lies."""
+        parts = F.transform(v, lambda x, i: x * number(F.concat_ws(":", text(i), F.lit(plane)), seed + 2))
+        return F.when(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) > 0, "1").otherwise("0")
+
+    def bucket(v: Column, table: int) -> Column:
+        return F.concat(F.lit(f"{table}:"), *[side(v, f"{table}/{plane}") for plane in range(6)])
+
+    centroid = lambda i: number(F.concat_ws(":", text(F.col("id") % 64), text(i)), seed)
+    noise = lambda i: number(F.concat_ws(":", text(F.col("id")), text(i)), seed + 1)
+    data = spark.range(n).select("id", F.transform(slot, lambda i: centroid(i) + 0.15 * noise(i)).alias("v"))
     ask = data.where(F.col("id") < queries).select(F.col("id").alias("q"), F.col("v").alias("w"))
-    scored = data.crossJoin(F.broadcast(ask)).select("q", "id", cosine_distance(F.col("v"), F.col("w")).alias("distance"))
-    exact = scored.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("r") <= k)
-    planes = lambda v, t: F.concat_ws("", *[F.when(F.aggregate(F.transform(v, lambda x, i: x * unit(F.concat_ws(":", i.cast("string"), F.lit(f"{t}/{p}")), seed + 2)), F.lit(0.0), lambda s, x: s + x) > 0, "1").otherwise("0") for p in range(6)])
-    keys = lambda v: F.array(*[F.concat(F.lit(f"{t}:"), planes(v, t)) for t in range(tables)])
-    near = data.select("id", "v", F.explode(keys(F.col("v"))).alias("key")).join(F.broadcast(ask.select("q", "w", F.explode(keys(F.col("w"))).alias("key"))), "key")
-    near = near.select("q", "id", cosine_distance(F.col("v"), F.col("w")).alias("distance")).distinct()
-    approx = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("r") <= k)
-    return exact.join(approx.select("q", "id", F.lit(1).alias("hit")), ["q", "id"], "left").agg(F.lit(n).alias("n"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    keys = lambda v: F.explode(F.array(*[bucket(F.col(v), t) for t in range(tables)])).alias("key")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        scored = pairs.select("q", "id", cosine_distance(F.col("v"), F.col("w")).alias("distance")).distinct()
+        return scored.withColumn("r", place).where(F.col("r") <= k)
+
+    exact = nearest(data.crossJoin(F.broadcast(ask)))
+    approx = nearest(data.select("id", "v", keys("v")).join(F.broadcast(ask.select("q", "w", keys("w"))), "key"))
+    hit = exact.join(approx.select("q", "id", F.lit(1).alias("hit")), ["q", "id"], "left")
+    return hit.agg(F.lit(n).alias("n"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))

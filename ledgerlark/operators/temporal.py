@@ -38,15 +38,15 @@ def compose_history(found: DataFrame, observing_since: str) -> DataFrame:
     terms = F.transform("terms", lambda t: t["term"])
     fees = F.filter(F.transform("terms", lambda t: t["min_fee"]), lambda x: x.isNotNull())
     first, last = F.try_element_at(fees, F.lit(1)), F.try_element_at(fees, F.lit(-1))
-    trend = F.when(first.isNull() | (F.size(fees) < 2), "").when(first == last, F.concat(F.lit(" The fee held at "), dollars(first), F.lit("."))).otherwise(F.concat(F.lit(" The fee went from "), dollars(first), F.lit(" to "), dollars(last), F.lit(".")))
+    held = F.concat(F.lit(" The fee held at "), dollars(first), F.lit("."))
+    moved = F.concat(F.lit(" The fee went from "), dollars(first), F.lit(" to "), dollars(last), F.lit("."))
+    trend = F.when(first.isNull() | (F.size(fees) < 2), "").when(first == last, held).otherwise(moved)
     now = F.when(F.col("offered_now"), " It is listed now.").otherwise(" It hasn't appeared since.")
-    title = F.coalesce("course_title", F.lit("That course"))
-    prose = (
-        F.when(verdict(F.col("terms_seen")) == "not_found", F.concat(title, F.lit(" isn't in the catalogue.")))
-        .when(verdict(F.col("terms_seen")) == "insufficient", F.concat(title, F.lit(" was seen in one term only, since "), F.lit(observing_since), F.lit("; that shows no pattern."), now))
-        .otherwise(F.concat(title, F.lit(" was seen in "), and_list(terms), F.lit("."), trend, now))
-    )
-    return found.withColumn("verdict", verdict(F.col("terms_seen"))).withColumn("prose", prose)
+    title, said = F.coalesce("course_title", F.lit("That course")), verdict(F.col("terms_seen"))
+    once = F.concat(title, F.lit(f" was seen in one term only, since {observing_since}; that shows no pattern."), now)
+    often = F.concat(title, F.lit(" was seen in "), and_list(terms), F.lit("."), trend, now)
+    prose = F.when(said == "not_found", F.concat(title, F.lit(" isn't in the catalogue."))).when(said == "insufficient", once).otherwise(often)
+    return found.withColumn("verdict", said).withColumn("prose", prose)
 
 
 def changes(observed: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
