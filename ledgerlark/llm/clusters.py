@@ -227,12 +227,13 @@ def bucket_links(buckets: DataFrame, bodies_of: Callable[[DataFrame], DataFrame]
     left = members.join(star_of, "node", "left").select("centre", "node", F.coalesce("component", "node").alias("component"))
     several = left.groupBy("centre").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(20,0)")).alias("y"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
     chosen = several.groupBy("n", "x", "y").agg(F.min("centre").alias("centre"))
-    sized = cut(left.join(chosen.select("centre"), "centre").join(bodies.select("node", F.octet_length("body").alias("size")), "node"))
+    unequal = hub_join(left, chosen.select("centre", "n"), "centre", stars.count()).drop("n")
+    sized = cut(unequal.join(bodies.select("node", F.octet_length("body").alias("size")), "node"))
     parts = sized.groupBy("centre", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     total = parts.groupBy("centre").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("n", "component")).alias("main_bytes"))
     block = lambda n, size: F.ceil(F.greatest(n / F.lit(BLOCK_NODES), size / F.lit(BLOCK_BYTES), F.lit(1.0))).cast("int")
-    total = total.select("centre", F.col("top.component").alias("main"), block(F.col("n"), F.col("bytes")).alias("columns"), block(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("main_bytes")).alias("rows"))
-    placed = cut(sized.join(total, "centre"))
+    total = total.select("centre", "n", F.col("top.component").alias("main"), block(F.col("n"), F.col("bytes")).alias("columns"), block(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("main_bytes")).alias("rows"))
+    placed = cut(hub_join(sized, total, "centre", sized.count()).drop("n"))
     single = (F.col("rows") == 1) & (F.col("columns") == 1)
     small = placed.where(single).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     packs = F.lit(1 + max(small["n"] // BLOCK_NODES, small["bytes"] // BLOCK_BYTES)).cast("long")
