@@ -7,6 +7,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from .clusters import cut
 
 # The stated rules, host and path in one string.
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
-# The method's own list: hosts of advertising and tracking, blocked with all subdomains.
-LISTED = ("ads-track.example.com/", "ads-track.example.net/", "ads-track.example.org/")
+# The method's own list, a file beside this one: hosts of advertising and tracking, blocked with all subdomains.
+LISTED = tuple(f"{line}/" for line in files(__package__).joinpath("listed_hosts.txt").read_text().splitlines() if line and not line.startswith("#"))
 #: A list of up to so many bytes is one array that each executor maps; a larger one is dealt into arrays of that size,
 #: and what is looked up goes to the array that may hold it.
 MOST_BYTES = 64 << 20
