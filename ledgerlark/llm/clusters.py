@@ -93,7 +93,7 @@ def _hub(total: int) -> int:
     return total // HUBS + 8
 
 
-def hub_join(rows: DataFrame, known: DataFrame, key: str, total: int) -> DataFrame:
+def hub_join(rows: DataFrame, known: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """``rows`` (``total`` of them) joined with ``known``, one row of each key with n, its number of rows.
 
     Keys with more than one in HUBS of all rows, of which there can't be more than HUBS, come by broadcast, so that

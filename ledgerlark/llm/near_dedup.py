@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash
-from .clusters import BUCKETS, bucket_links, combined, components, cut, distinct_by_row, release
+from .clusters import BUCKETS, bucket_links, combined, components, cut, distinct_by_row, hub_join, release
 from .textblocks import U64, Words, blocks, byte_class, mix, shingles
 
 BANDS, ROWS = 30, 6
@@ -86,8 +86,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(given.mapInArrow(_prepare(width, word_class), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    folded = cut(usable.join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
+    equal = ["d1", "d2", "n_shingles"]
+    classes = usable.groupBy(equal).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    folded = cut(hub_join(usable, classes, equal, usable.count()).select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
     buckets = folded.where("bands is not null").select("rep", "bands").mapInArrow(_combined, BUCKETS)
 
     def bodies_of(nodes: DataFrame) -> DataFrame:
