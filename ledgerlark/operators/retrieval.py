@@ -62,10 +62,10 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, limit: int = POOL, block:
     blocks, query_blocks = -(-vectors.count() // block) or 1, -(-queries.count() // query_block) or 1
 
     def deal(df: DataFrame, key: str, own: str, number: int, other: str, others: int) -> DataFrame:
-        """The rows, each in its own block, once for each block of the other side."""
+        """The rows, each in its own block, once for each block of the other side; the two sides may come from one table."""
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other)
         some = df.where("embedding is not null")
-        return some.select(F.col(key).alias("id"), "embedding", F.pmod(F.xxhash64(key), F.lit(number)).alias(own), every)
+        return some.select(F.col(key).alias("id"), F.col("embedding").alias("embedding"), F.pmod(F.xxhash64(key), F.lit(number)).alias(own), every)
 
     left = deal(queries, "query_id", "q", query_blocks, "v", blocks).groupBy("q", "v")
     right = deal(vectors, "course_id", "v", blocks, "q", query_blocks).groupBy("q", "v")
