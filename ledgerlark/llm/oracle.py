@@ -51,4 +51,19 @@ f AS (SELECT page_id, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY
 SELECT p.page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|\.)ads-track\.example\.(com|net|org)$') AND starts_with(path, '/') THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN f ON f.page_id = p.page_id AND n = 1
 """
 
-ORACLE_SQL = {"op1_decontaminate": OP1, "op2_embedding_dedup": OP2, "op4_near_dedup": OP4, "op7_url_filter": OP7}
+OP13 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, unnest(list_transform(generate_series(1, len(w) - m + 1), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w, unnest(generate_series(1, m - 1)) AS k FROM f WHERE m > 1),
+s AS (SELECT c.lang, c.m, c.phrase, c.a, k, x.a AS l, y.a AS r, CAST(t.n AS BIGINT) AS n, CAST((1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score FROM c JOIN t ON t.lang = c.lang
+JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:c.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(string_split(phrase, ' ')[h:m - 2 + h], ' ') AS phrase, max(a) AS around FROM f, (SELECT unnest([1, 2]) AS h) WHERE m > 2 GROUP BY 1, 2),
+r AS (SELECT b.*, b.lang AS g, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE around IS NULL OR around < a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op1_decontaminate": OP1, "op2_embedding_dedup": OP2, "op4_near_dedup": OP4, "op7_url_filter": OP7, "op13_collocations": OP13}

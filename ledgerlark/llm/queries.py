@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import op10_chat_format
+from .collocations import op13_collocations
 from .decontaminate import op1_decontaminate
 from .embedding_dedup import op2_embedding_dedup
 from .licenses import op8_license_scan
@@ -27,4 +28,5 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
+    "op13_collocations": op13_collocations,
 }
