@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import op10_chat_format
 from .collocations import op13_collocations
+from .conversation_repair import op12_conversation_repair
 from .decontaminate import op1_decontaminate
 from .embedding_dedup import op2_embedding_dedup
 from .licenses import op8_license_scan
@@ -14,6 +15,7 @@ from .packing import op5_pack
 from .quality import op6_quality
 from .secrets import op3_secret_scan
 from .url_filter import op7_url_filter
+from .warc import op11_warc
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -28,5 +30,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_warc": op11_warc,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_collocations": op13_collocations,
 }
