@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -32,11 +33,32 @@ def _encoder(ranks_path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
 
 
+#: White space that the encoder's pattern walks back over, in runs so long that its stack may not hold them.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{65536,}")
+
+
 def token_ids(text: str, ranks_path: str | None = None, added: bool = False) -> list[int]:
     """The ids and an end id. With ``added``, the json's added tokens (<|endoftext|>) get their ids wherever
-    they stand, as by default in the tokenizers library; without, they are text like any other."""
+    they stand, as by default in the tokenizers library; without, they are text like any other.
+
+    In a long run of white space the pattern parts all but the last character, or all at the text's end, as one token's
+    text; such runs are parted here and go past the pattern, so that one of any length can be encoded.
+    """
     encoder = _encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return [*(encoder.encode(text, allowed_special="all") if added else encoder.encode_ordinary(text)), END_ID]
+    encode = (lambda t: encoder.encode(t, allowed_special="all")) if added else encoder.encode_ordinary
+    if len(text) < 65536 or not _LONG_SPACE.search(text):
+        return [*encode(text), END_ID]
+    names = sorted(encoder.special_tokens_set) if added else []
+    ids: list[int] = []
+    for part in re.split(f"({'|'.join(map(re.escape, names))})", text) if names else [text]:
+        at = 0
+        for run in _LONG_SPACE.finditer(part):
+            end = run.end() - (run.end() < len(part))
+            ids += encode(part[at : run.start()])
+            ids += encoder._encode_single_piece(part[run.start() : end])
+            at = end
+        ids += encode(part[at:])
+    return [*ids, END_ID]
 
 
 def _pieces(capacity: int, ranks_path: str | None):

@@ -396,3 +396,27 @@ def test_pipeline(spark, tmp_path):
     check_packing(docs.collect(), [(i, r["text"]) for i, r in after.items()], 2048)
     whole = corpus_pipeline.run(spark, folder)
     assert whole.agg(F.sum("length")).first()[0] == docs.agg(F.sum("length")).first()[0]
+
+
+LONG_SPACES = [
+    " " * 2_000_000, "\n" * 2_000_000, "a" + " \n\t\r\n" * 400_000 + "b", "x" + " " * 1_000_000 + "<|endoftext|>" + "　" * 70_000 + "!", "\n" * 1_100_000 + "word",
+    " " * 65_535 + "é", " " * 65_536 + "'s", "7" + " " * 65_536 + "\n" + "\xa0" * 3 + "w" + "  " * 40_000 + "\x1c" + " " * 80_000,
+]
+
+
+@pytest.mark.parametrize("k", range(len(LONG_SPACES)))
+def test_long_white_space_has_the_librarys_ids(k):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.token_ids(LONG_SPACES[k], added=True) == [*tokenizer.encode(LONG_SPACES[k], add_special_tokens=False).ids, 0]
+
+
+def test_long_white_space_is_packed_and_formatted(spark):
+    texts = [LONG_SPACES[0], LONG_SPACES[1], LONG_SPACES[2]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lengths = collections.Counter()
+    for r in packing.pack(docs).collect():
+        lengths[r["doc_id"]] += r["length"]
+    assert lengths == {i: len(packing.token_ids(t, added=True)) for i, t in enumerate(texts)}
+    said = spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    windows = chat_format.format_conversations(said).collect()
+    assert [t for w in sorted(windows, key=lambda w: w["window"]) for k, (_, t) in enumerate(chat_format.read_turns(w["formatted"])) if k not in w["repeats"]] == texts
