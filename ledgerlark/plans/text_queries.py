@@ -367,26 +367,31 @@ def answered_within(c):
     return stateful.answered(rows(0, "asked_at"), rows(1, "replied_at"), within="12 hours")
 
 
+def _millis():
+    """Whole milliseconds, of microseconds that are cut and not rounded."""
+    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
+
+
 @query(
-    ", r AS (SELECT user_id AS key, CAST(floor(epoch_ms(ts) / 3600.0) AS BIGINT) AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts)) AS n FROM events),"
+    ", r AS (SELECT user_id AS key, CAST(floor(epoch_us(ts) // 1000 / 3600.0) AS BIGINT) AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts)) AS n FROM events),"
     " b(key, n, at_ms, tokens, allowed, wait) AS (SELECT key, n, at_ms, 11::DOUBLE, TRUE, 0 FROM r WHERE n = 1 UNION ALL"
     " SELECT key, n, at_ms, CASE WHEN t >= 1 THEN t - 1 ELSE t END, t >= 1, CASE WHEN t >= 1 THEN 0 ELSE CAST(ceil((1 - t) * 60 / 30) AS INTEGER) END"
     " FROM (SELECT r.key, r.n, r.at_ms, least(12, b.tokens + (r.at_ms - b.at_ms) * 30 / 60000.0::DOUBLE) AS t FROM b JOIN r ON r.key = b.key AND r.n = b.n + 1))"
     " SELECT key, at_ms, allowed, wait AS retry_after_sec FROM b"
 )
 def token_bucket(c):
-    rows = c.table("events").select(F.col("user_id").alias("key"), (F.unix_millis(F.col("ts").cast("timestamp")) / 3600).cast("long").alias("at_ms"))
+    rows = c.table("events").select(F.col("user_id").alias("key"), (_millis() / 3600).cast("long").alias("at_ms"))
     return stateful.rate_limited(rows)
 
 
 @query(
-    ", r AS (SELECT user_id AS session_id, event_id AS run_id, epoch_ms(ts) AS started, epoch_ms(ts) + event_id % 48 * 3600000 AS ended, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),"
+    ", r AS (SELECT user_id AS session_id, event_id AS run_id, epoch_us(ts) // 1000 AS started, epoch_us(ts) // 1000 + event_id % 48 * 3600000 AS ended, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),"
     " f(session_id, n, run_id, free, acquired) AS (SELECT session_id, n, run_id, ended, TRUE FROM r WHERE n = 1 UNION ALL"
     " SELECT r.session_id, r.n, r.run_id, CASE WHEN r.started >= f.free THEN r.ended ELSE f.free END, r.started >= f.free FROM f JOIN r ON r.session_id = f.session_id AND r.n = f.n + 1)"
     " SELECT session_id, run_id, acquired FROM f"
 )
 def session_lock(c):
-    start = F.unix_millis(F.col("ts").cast("timestamp"))
+    start = _millis()
     return stateful.session_locks(c.table("events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("run_id"), start.alias("started"), (start + (F.col("event_id") % 48) * 3600000).alias("ended")))
 
 

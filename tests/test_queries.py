@@ -7,16 +7,18 @@ import pytest
 
 from ledgerlark.plans import catalog_queries, detail_queries, pipeline_queries, text_queries
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES = catalog_queries.QUERIES | text_queries.QUERIES | pipeline_queries.QUERIES | detail_queries.QUERIES
 ORACLE = catalog_queries.ORACLE | text_queries.ORACLE | pipeline_queries.ORACLE | detail_queries.ORACLE
 
 
 @pytest.fixture(scope="module")
 def con():
-    out = duckdb.connect()
-    for path in glob.glob(f"{SF}/*.parquet"):
-        out.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
+    out = {}
+    for folder in (SF, LARGER):
+        out[folder] = duckdb.connect()
+        for path in glob.glob(f"{folder}/*.parquet"):
+            out[folder].execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
     return out
 
 
@@ -26,11 +28,12 @@ def plain(v):
     return round(float(v), 6) + 0.0 if isinstance(v, float) or type(v).__name__ == "Decimal" else v
 
 
+@pytest.mark.parametrize("folder", [SF, LARGER])
 @pytest.mark.parametrize("name", sorted(ORACLE))
-def test_same_rows_as_sql(spark, con, name):
-    df = QUERIES[name](spark, SF)
+def test_same_rows_as_sql(spark, con, name, folder):
+    df = QUERIES[name](spark, folder)
     columns = sorted(df.columns)
-    found = con.execute(ORACLE[name])
+    found = con[folder].execute(ORACLE[name])
     theirs = [d[0] for d in found.description]
     assert sorted(theirs) == columns
     order = lambda rows: sorted((tuple(map(plain, r)) for r in rows), key=lambda r: tuple(map(str, r)))
