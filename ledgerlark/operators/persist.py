@@ -1,10 +1,12 @@
-"""Persisting extractions and composed crawls: one plan gives every table's new state; writes are staged by version."""
+"""Persisting extractions and composed crawls: one plan gives every table's new state, one commit publishes them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.derive import derive_rows
+from ..sources.commits import Commit, Store
 from . import ingest as ing
 from .indexing import course_key
 from .temporal import changed_fields
@@ -27,8 +29,7 @@ def persist(rows: DataFrame, course: DataFrame, listing: DataFrame, fee: DataFra
 
     ``rows`` has one row per page: source_page_id, outcome ('ok' or a failure), group_url, course_title, the watched
     columns and fee_rows. Failures leave a typed extraction row and touch nothing else. Of pages of one course the
-    least page id's title stays. All tables come from the same input, so a job that fails has written none, and
-    each is published by one version's pointer.
+    least page id's title stays. ``persist_extracted`` publishes all of them by one commit.
     """
     good = rows.where("outcome = 'ok'").withColumn("course_key", course_key(F.col("group_url"), F.col("course_title")))
     extraction = rows.select("source_page_id", F.col("outcome").alias("status"), F.lit(model).alias("model"), at.alias("observed_at"))
@@ -46,6 +47,41 @@ def persist(rows: DataFrame, course: DataFrame, listing: DataFrame, fee: DataFra
     }
 
 
+#: Columns of the store's tables that a first commit leaves without rows.
+EXTRACTION = "source_page_id long, status string, model string, observed_at timestamp"
+COURSE = "key string, course_title string"
+CHANGE = "source_page_id long, field string, old_value string, new_value string, observed_at timestamp"
+
+
+def seed(store: Store, listing: DataFrame, fee: DataFrame) -> int:
+    """The first commit of a store: listings and fee lines, and the other tables without rows."""
+    commit, empty = store.begin(), lambda schema: store.spark.createDataFrame([], schema)
+    for name, rows in {"extraction": empty(EXTRACTION), "course": empty(COURSE), "listing": listing, "listing_change": empty(CHANGE), "listing_fee": fee}.items():
+        commit.replace(name, rows)
+    return commit.publish()
+
+
+def persist_extracted(store: Store, pages: DataFrame, model: str, at: Column) -> int:
+    """Derive listing facts from extracted pages and publish all five tables together; the commit's version.
+
+    ``pages`` has source_page_id, outcome, group_url, course_title and what ``derive_rows`` reads. Extractions and changes are
+    appended, the other tables replaced. A failure leaves the store as it was; where another job has changed a table that
+    was read, the work is done again on its result.
+    """
+    rows = derive_rows(pages).select("source_page_id", "outcome", "group_url", "course_title", *WATCHED, "fee_rows")
+
+    def build(commit: Commit) -> None:
+        old = {name: commit.read(name) for name in ("course", "listing", "listing_fee")}
+        new = persist(rows, old["course"], old["listing"], old["listing_fee"], model, at)
+        for name, df in new.items():
+            if name in old:
+                commit.replace(name, df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in old[name].schema]))
+            else:
+                commit.append(name, df)
+
+    return store.transact(build)
+
+
 def ledger(opened: DataFrame, closed: DataFrame, swept: DataFrame) -> DataFrame:
     """Crawl runs (id, started_at, finished_at, pages_seen, status, swept) from append-only logs of openings, closings and sweeps.
 

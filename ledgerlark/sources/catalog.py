@@ -1,16 +1,16 @@
-"""The catalogue's tables as views of the test tables, and staged table writes."""
+"""The catalogue's tables as views of the test tables, and appends."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.derive import season_of
 from ..schemas import term_rank
+from .commits import read_table, replace_table, versions
+
+__all__ = ["TODAY", "Catalog", "append_rows", "read_table", "replace_table", "versions"]
 
 TODAY = "1998-06-01"
 
@@ -91,40 +91,6 @@ class Catalog:
         return self.table("nation").select(F.col("n_nationkey").alias("course_id"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("requires_id"))
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Publish a new version of a table: its rows go to a folder of their own, then one line in the table's log names it.
-
-    A reader takes the last complete version, so a job that fails at any point leaves the old one whole. The log is a
-    small table of (version, folder) that is only appended to. Older versions stay until ``versions`` is used to find
-    them and they are deleted.
-    """
-    folder = f"{path}/version-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    spark = df.sparkSession
-    number = max((r["version"] for r in versions(spark, path).collect()), default=0) + 1
-    spark.createDataFrame([(number, folder)], LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
-
-
-LOG = "version long, folder string"
-
-
-def versions(spark: SparkSession, path: str) -> DataFrame:
-    """(version, folder) of a table's published versions; none before the first."""
-    log = f"{path}/log"
-    try:
-        return spark.read.schema(LOG).parquet(log)
-    except AnalysisException:
-        return spark.createDataFrame([], LOG)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The last published version."""
-    last = versions(spark, path).orderBy(F.col("version").desc(), "folder").first()
-    if last is None:
-        raise FileNotFoundError(path)
-    return spark.read.parquet(last["folder"])
-
-
 def append_rows(df: DataFrame, path: str) -> None:
     """Append-only sink: runs, provenance, results, transcripts and feedback."""
     df.write.mode("append").parquet(path)
