@@ -17,11 +17,13 @@ from ..operators import indexing as idx
 from ..operators import ingest as ing
 from ..operators import lexicon as lex
 from ..operators import persist as per
+from ..operators import postings as pos
 from ..operators import reports as rep
 from ..operators import temporal as tmp
 from ..operators.filters import ListingFilter
 from ..schemas import FILTER_LIMIT
 from ..sources.catalog import TODAY, Catalog
+from ..sources.commits import Store, work_folder
 from .base_sql import BASE
 from .catalog_queries import _FNV
 from .text_queries import _ASK, _LEX, _Q, _QS
@@ -198,25 +200,41 @@ def index_recall(c):
     return found.agg(F.count("*").alias("queries"), (F.sum("hits") >= 0.9 * F.sum("exact")).alias("reached"))
 
 
+def _words(text):
+    """All distinct words of a text that aren't stop words, joined by or."""
+    return F.array_join(F.array_distinct(tx.tokens(text)), " or ")
+
+
 def _questions(c):
-    """Benchmark items whose id is divisible by 20: the first eight words that aren't stop words, joined by or."""
-    words = F.slice(F.array_distinct(tx.tokens(F.col("text"))), 1, 8)
-    return c.table("benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.array_join(words, " or ").alias("question"))
+    """Benchmark items whose id is divisible by 20 ask with all their words."""
+    return c.table("benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), _words(F.col("text")).alias("question"))
+
+
+def _stored(c, texts=None):
+    """The index of all texts, written to a new folder and read back."""
+    path = work_folder(c.spark)
+    pos.write(c.chunk if texts is None else texts, path)
+    return pos.read(c.spark, path)
 
 
 @query()
 def lexical_batch_top50(c):
     """Stemmed words and cover density have no SQL here; a test holds this query against a plain version."""
-    return lex.search(lex.postings(c.chunk), _questions(c)).select("query_id", "course_id", F.round("score", 9).alias("score"), "rank")
+    return pos.search(_stored(c), _questions(c)).select("query_id", "course_id", F.round("score", 9).alias("score"), "rank")
 
 
 @query()
 def hybrid_batch_top20(c):
-    """Every vector whose id is divisible by 20 asks with its own text's first words and its embedding."""
-    words = F.slice(F.array_distinct(tx.tokens(F.col("text"))), 1, 8)
+    """Every vector whose id is divisible by 20 asks with all words of its own text and its embedding."""
     vectors = c.chunk_embedding
-    asked = c.chunk.where("course_id % 20 = 0").select("course_id", F.array_join(words, " or ").alias("question")).join(vectors, "course_id").withColumnRenamed("course_id", "query_id")
-    return lex.hybrid_batch(vectors, lex.postings(c.chunk), asked, 20)
+    asked = c.chunk.where("course_id % 20 = 0").select("course_id", _words(F.col("text")).alias("question")).join(vectors, "course_id").withColumnRenamed("course_id", "query_id")
+    return pos.hybrid_batch(vectors, _stored(c), asked, 20)
+
+
+@query()
+def postings_opened(c):
+    """Of the postings of each benchmark item's words, how many there are and how many the search opens."""
+    return pos.opened(_stored(c), _questions(c)).select(F.col("key").alias("query_id"), "postings", "opened")
 
 
 # cards, histories
@@ -442,6 +460,77 @@ def persisted_tables(c):
     return failures
 
 
+def _extracted(c):
+    """Pages with extracted fields: every second listing's, a tenth of them refused."""
+    k, day = F.col("id"), F.col("starts_on")
+    fees = F.array(F.struct(F.concat(F.lit("$"), (F.col("total_fee_cents") / 100).cast("decimal(20,2)").cast("string")).alias("amount"), F.lit("Total").alias("label")))
+    return c.listing.where("id % 2 = 0").select(
+        k.alias("source_page_id"), F.when(k % 10 == 0, "refused").otherwise("ok").alias("outcome"), F.lit(None).cast("string").alias("group_url"), F.col("course_id").cast("string").alias("course_title"),
+        F.when(k % 4 == 0, "Registration Available").otherwise("ask").alias("page_status"), F.date_format(day, "M/d/yyyy").alias("page_dates"), fees.alias("fees"), F.lit("Hybrid: Canvas").alias("format"),
+        F.lit("Hill Hall, Newark").alias("location"), F.lit("TBA").alias("times"), F.lit("Title 12 hours").alias("title"), F.lit("3 days prior").alias("deadline_rule"), day.alias("extracted_starts_on"),
+    )
+
+
+_STORED = (
+    ", o AS (SELECT id, status, total_fee_cents, starts_on, campus, delivery_mode FROM listing WHERE id % 3 <> 0),"
+    " g AS (SELECT id, course_id, CASE WHEN id % 4 = 0 THEN 'open' ELSE 'unknown' END AS status, total_fee_cents, starts_on, 'Newark' AS campus, 'hybrid' AS delivery_mode FROM listing WHERE id % 2 = 0 AND id % 10 <> 0),"
+    " l AS (SELECT * EXCLUDE (course_id) FROM g UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM g)),"
+    " d AS (SELECT g.id, unnest(['status', 'campus', 'delivery_mode']) AS field, unnest([o.status, o.campus, o.delivery_mode]) AS old_value, unnest([g.status, g.campus, g.delivery_mode]) AS new_value FROM o JOIN g ON g.id = o.id)"
+    " SELECT 'listing' AS name, id AS key, status || '|' || total_fee_cents || '|' || strftime(starts_on, '%Y-%m-%d') || '|' || campus || '|' || delivery_mode AS held FROM l"
+    " UNION ALL SELECT 'extraction', id, CASE WHEN id % 10 = 0 THEN 'refused' ELSE 'ok' END FROM listing WHERE id % 2 = 0 UNION ALL SELECT DISTINCT 'course', course_id, CAST(course_id AS VARCHAR) FROM g"
+    " UNION ALL SELECT 'listing_change', id, field || '|' || old_value || '|' || new_value FROM d WHERE old_value <> new_value"
+    " UNION ALL SELECT 'listing_fee', id, '0|Total|' || total_fee_cents FROM g UNION ALL SELECT 'listing_fee', listing_id, ord || '|' || label || '|' || amount_cents FROM listing_fee WHERE listing_id NOT IN (SELECT id FROM g)"
+)
+
+
+@query(_STORED)
+def persisted_store(c):
+    """All rows of the five tables of a store: seeded by one commit, then by a persist that fails half-way and leaves nothing, then by one that succeeds."""
+    store, at = Store(c.spark, work_folder(c.spark)), F.to_timestamp(F.lit("2026-01-01 00:00:00"))
+    old = c.listing.where("id % 3 <> 0").select(F.col("id").alias("source_page_id"), F.lit("k").alias("course_key"), *per.WATCHED)
+    fee = c.listing_fee.select(F.col("listing_id").alias("source_page_id"), F.col("ord").cast("int").alias("ord"), "label", "amount_cents", F.lit(False).alias("is_total"))
+    per.seed(store, old, fee)
+    rows = _extracted(c)
+    broken = rows.withColumn("fees", F.when(F.col("source_page_id") < 0, F.col("fees")).otherwise(F.raise_error(F.lit("lost half-way")).cast(rows.schema["fees"].dataType)))
+    try:
+        per.persist_extracted(store, broken, "rules", at)
+    except Exception as e:  # what the readers see is one state, the seeded one
+        if "lost half-way" not in str(e) or store.snapshot().version != 1:
+            raise
+    per.persist_extracted(store, rows, "rules", at)
+    now = store.snapshot()
+    text = lambda *columns: F.concat_ws("|", *[F.col(x).cast("string") for x in columns]).alias("held")
+    page, key = F.col("source_page_id"), {"course": F.col("course_title").cast("long")}
+    shown = {"listing": text("status", "total_fee_cents", "starts_on", "campus", "delivery_mode"), "extraction": text("status"), "course": text("course_title"), "listing_change": text("field", "old_value", "new_value"), "listing_fee": text("ord", "label", "amount_cents")}
+    out = None
+    for name, held in shown.items():
+        part = now.read(name).select(F.lit(name).alias("name"), key.get(name, page).alias("key"), held)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    ", a AS (SELECT count(*) AS n FROM conversations), r AS (SELECT event_type AS shape, count(*) AS n FROM events GROUP BY 1) SELECT 'chat_message' AS name, role AS key, count(*) AS n FROM conversations GROUP BY role"
+    " UNION ALL SELECT 'chat_session', 'all', count(DISTINCT conv_id) FROM conversations UNION ALL SELECT 'eval_run', 'all', 1 UNION ALL SELECT 'eval_result', shape, n FROM r"
+)
+def appended_sinks(c):
+    """Transcripts and an evaluation run with its results, appended by two jobs that began at the same state: neither stands in the other's way."""
+    store = Store(c.spark, work_folder(c.spark))
+    talk, run = store.begin(), store.begin()
+    message = c.message
+    talk.append("chat_session", message.select("session_id").distinct())
+    talk.append("chat_message", message)
+    results = c.table("events").select(F.lit(1).alias("run_id"), F.col("event_id").alias("item_id"), F.col("event_type").alias("shape"), F.col("value").alias("ndcg_10"))
+    run.append("eval_result", results)
+    run.append("eval_run", results.groupBy("run_id").agg(F.count("*").alias("items"), F.avg("ndcg_10").alias("ndcg_10")))
+    run.publish()
+    talk.publish()
+    now = store.snapshot()
+    counted = lambda name, key: now.read(name).groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "key", "n")
+    every = F.lit("all")
+    return counted("chat_message", F.col("role")).unionByName(counted("chat_session", every)).unionByName(counted("eval_run", every)).unionByName(counted("eval_result", F.col("shape")))
+
+
 @query(
     ", o AS (SELECT n_nationkey AS course_id, 'needs ' || (n_nationkey % 3) AS raw_text, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 100 END AS requires_id, 'old' AS source FROM nation),"
     " n AS (SELECT n_nationkey AS course_id, 'needs ' || (n_nationkey % 4) AS raw_text, 'new' AS source FROM nation WHERE n_nationkey % 5 <> 0), s AS (SELECT * FROM o WHERE requires_id IS NOT NULL OR course_id % 5 = 0)"
