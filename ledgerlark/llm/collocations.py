@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,10 +20,16 @@ from .textblocks import LOWER, U64, Words, blocks, hash_word, mix
 WORDS, LEAST, PERCENT, TOP = 5, 100, 100, 2000
 UNKNOWN = "und"
 
-#: Bytes of text for one of the sketch's counters, and the most counters: beyond it the bounds get looser, the results stay.
-BYTES_A_COUNTER, MOST_COUNTERS = 24, 1 << 30
+#: Bytes of text for one of a sketch's counters, and the most counters: beyond it the bounds get looser, the results stay.
+BYTES_A_COUNTER, MOST_COUNTERS = 48, 1 << 29
+#: Numbers of words (first, last) of the sketches; a later one has those phrases alone whose parts reach the earlier ones' threshold.
+LEVELS = ((1, 2), (3, 64))
 #: Counters of one row of the sketch's table; phrases that are sorted and combined before the shuffle.
 _PART_BITS, _FLUSH = 18, 1 << 22
+#: Phrases that a task holds before it sends them, or their counts, on.
+_HELD = 1 << 20
+#: Bytes of text for a share of the candidates' hashes.
+BYTES_A_SHARE = 4 << 20
 #: Characters of the candidates of one automaton.
 AUTOMATON_CHARS = 1 << 24
 
@@ -60,27 +67,53 @@ class Phrases:
         return b" ".join(self.text[self.words.starts[at] : self.words.ends[at + m - 1]].split()).decode()
 
 
-def _counters(bits: int, most: int, least: int):
-    """Arrow function: (group, text) to rows (part, counts) of a sketch of 2 ** bits counters, combined within stretches of a task."""
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A phrase's counters in the sketch's two rows, which are the halves of one array."""
+    half = np.uint32(1 << bits - 1)
+    return (h >> U64(65 - bits)).astype(np.uint32), h.astype(np.uint32) & (half - np.uint32(1)) | half
+
+
+def _reach(phrases: Phrases, sketches: list[np.ndarray], bits: int, upto: int) -> list[np.ndarray]:
+    """By number of words up to ``upto`` and first word: whether a phrase reaches the threshold by its sketch, as do all its parts.
+
+    Phrases longer than a sketch has are taken if all their parts of the most words that it has are.
+    """
+    good: list[np.ndarray] = []
+    for m in range(1, upto + 1):
+        h, inside = phrases.hashes[m - 1], phrases.inside[m - 1]
+        now = inside.copy() if m == 1 else inside & good[-1][: len(h)] & good[-1][1 : len(h) + 1]
+        if heavy := [sketch for (_, last), sketch in zip(LEVELS, sketches, strict=False) if m <= last][:1]:
+            for k in (0, 1):
+                at = np.flatnonzero(now)
+                counter = _places(h[at], bits)[k]
+                now[at] = heavy[0][counter >> 3] >> (7 - (counter & 7)).astype(np.uint8) & 1 > 0
+        good.append(now)
+    return good
+
+
+def _counters(shared: list, bits: int, least: int, first: int, last: int):
+    """Arrow function: (group, text) to rows (part, counts) of a sketch of 2 ** bits counters of the phrases of ``first`` to ``last``
+    words all of whose parts reach the earlier sketches' threshold, combined within stretches of a task."""
 
     def rows(held: list[np.ndarray]) -> pa.RecordBatch:
         at, n = np.unique(np.concatenate(held), return_counts=True)
         part = at >> np.uint32(_PART_BITS)
-        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        head = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         packed = np.stack([at & np.uint32((1 << _PART_BITS) - 1), np.minimum(n, least)]).astype("<u4")
         packed[0, 1:] = np.diff(packed[0])  # wraps where a part begins
-        packed[0, first] = at[first] & np.uint32((1 << _PART_BITS) - 1)
-        bodies = [pa.compress(packed[:, a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(first, [*first[1:], len(at)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(np.diff(np.append(first, len(at))).astype(np.int32)), pa.array(bodies, pa.binary())], ["part", "entries", "counts"])
+        packed[0, head] = at[head] & np.uint32((1 << _PART_BITS) - 1)
+        bodies = [pa.compress(packed[:, a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(head, [*head[1:], len(at)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[head].astype(np.int32)), pa.array(np.diff(np.append(head, len(at))).astype(np.int32)), pa.array(bodies, pa.binary())], ["part", "entries", "counts"])
 
     def run(batches):
+        sketches = [s.value for s in shared]
         held, size = [], 0
         for batch in batches:
             for some, data, offsets in blocks(batch):
-                phrases = Phrases(some, data, offsets, most)
-                for h, inside in zip(phrases.hashes, phrases.inside, strict=True):
-                    held.append((h[inside] >> U64(64 - bits)).astype(np.uint32))
-                    size += len(held[-1])
+                phrases = Phrases(some, data, offsets, last)
+                for h, good in list(zip(phrases.hashes, _reach(phrases, sketches, bits, last), strict=True))[first - 1 :]:
+                    held += _places(h[good], bits)
+                    size += 2 * len(held[-1])
                     if size >= _FLUSH:
                         yield rows(held)
                         held, size = [], 0
@@ -113,36 +146,69 @@ def _summed(least: int):
     return run
 
 
-def _candidates(shared, bits: int, most: int):
-    """Arrow function: (group, text) to those phrases, each once a task, that reach the threshold by the sketch, as do all their parts."""
+def _candidates(shared: list, bits: int, most: int, shares: int):
+    """Arrow function: (group, text) to rows (share, phrases): those phrases of two words or more, each once a task, that reach the
+    threshold by the sketches, packed by share of their hashes.
 
-    def run(batches):
-        heavy = shared.value
-        seen = np.zeros(0, dtype=U64)
+    One that stands inside a longer such phrase wherever the task meets it isn't named: the longer one names it.
+    """
 
-        def reaches(h: np.ndarray) -> np.ndarray:
-            at = h >> U64(64 - bits)
-            return (heavy[(at >> U64(3)).astype(np.int64)] >> (U64(7) - (at & U64(7))).astype(np.uint8)) & 1 > 0
+    def rows(held: list[tuple[int, str]]) -> pa.RecordBatch:
+        held.sort()
+        share = np.array([s for s, _ in held], dtype=np.int32)
+        first = np.flatnonzero(np.append(True, share[1:] != share[:-1]))
+        bodies = [zlib.compress("\n".join(p for _, p in held[a:b]).encode(), 1) for a, b in zip(first, [*first[1:], len(held)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(share[first]), pa.array(bodies, pa.binary())], ["share", "phrases"])
 
+    def run(batches):
+        sketches, held = [s.value for s in shared], []
+        seen = np.zeros(0, dtype=U64)
         for batch in batches:
             for some, data, offsets in blocks(batch):
-                phrases, out = Phrases(some, data, offsets, most), []
-                good = None
-                for m, (h, inside) in enumerate(zip(phrases.hashes, phrases.inside, strict=True), 1):
-                    good = inside.copy() if good is None else inside & good[:-1] & good[1:] if len(good) else inside[:0]
-                    at = np.flatnonzero(good)
-                    good[at] = reaches(h[at])
-                    at = at[good[at]]
-                    new, which = np.unique(h[at], return_index=True)
+                phrases = Phrases(some, data, offsets, most)
+                good = _reach(phrases, sketches, bits, most)
+                for m in range(2, most + 1):
+                    own = good[m - 1].copy()
+                    if m < most:
+                        longer = good[m]
+                        own[: len(longer)] &= ~longer
+                        own[1 : len(longer) + 1] &= ~longer
+                    at = np.flatnonzero(own)
+                    new, which = np.unique(phrases.hashes[m - 1][at], return_index=True)
                     fresh = seen[np.minimum(np.searchsorted(seen, new), max(len(seen) - 1, 0))] != new if len(seen) else np.ones(len(new), dtype=bool)
-                    out += [phrases.phrase(i, m) for i in at[which[fresh]].tolist()]
+                    share = (new[fresh] % U64(shares)).tolist()
+                    held += [(s, phrases.phrase(i, m)) for s, i in zip(share, at[which[fresh]].tolist(), strict=True)]
                     seen = np.union1d(seen, new[fresh])
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["phrase"])
+                if len(held) >= _HELD:
+                    yield rows(held)
+                    held = []
+        if held:
+            yield rows(held)
 
     return run
 
 
+def _distinct(batches):
+    """Arrow function: packed phrases, those of a share together, to each phrase once."""
+    share, found = None, set()
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["phrase"])
+    for batch in batches:
+        for s, body in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            if s != share and found:
+                yield out()
+                found = set()
+            share = s
+            found.update(zlib.decompress(body).decode().split("\n"))
+    if found:
+        yield out()
+
+
+def _with_parts(phrases: DataFrame) -> DataFrame:
+    """The phrases and all their parts, each once."""
+    part = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda m: F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.array_join(F.slice("w", i, m), " "))))
+    return phrases.select(F.split("phrase", " ").alias("w")).select(F.explode(part).alias("phrase")).distinct()
+
+
 @lru_cache(maxsize=1)
 def _automaton(shared) -> ahocorasick.Automaton:
     """One automaton over the phrases, each between delimiters; its values are their numbers. A worker holds one at a time."""
@@ -159,15 +225,16 @@ def _guarded(text: str) -> tuple[str, int]:
     return "\n".join(f" {b' '.join(p).decode()} " for p in pieces if p), sum(map(len, pieces))
 
 
-#: Characters of the texts that are scanned at once; phrases that a task counts before it sends their counts on.
-_SCANNED, _HELD = 1 << 20, 1 << 20
+#: Characters of the texts that are scanned at once.
+_SCANNED = 1 << 20
 
 
 def _counted(shared, with_words: bool):
-    """Arrow function: (group, text) to (group, phrase, n), overlapping occurrences included; a null phrase has the number of words."""
+    """Arrow function: (group, text) to rows (lang, chunk, counts): how often the task's texts hold each phrase, overlapping occurrences
+    included, packed by _CHUNK phrase numbers; chunk -1 has the number of words."""
 
     def run(batches):
-        phrases, automaton = shared.value, _automaton(shared) if shared.value else None
+        automaton = _automaton(shared) if shared.value else None
         counts: dict[str, Counter] = {}
         words: Counter = Counter()
         waiting: dict[str, list[str]] = {}
@@ -177,10 +244,20 @@ def _counted(shared, with_words: bool):
             counts.setdefault(group, Counter()).update(map(itemgetter(1), automaton.iter("\n".join(waiting.pop(group)))))
             sizes[group] = 0
 
+        def row(group: str, chunk: int, packed: np.ndarray) -> tuple:
+            return group, chunk, packed.shape[1], pa.compress(packed.astype("<u8").tobytes(), "zstd", asbytes=True)
+
         def out() -> Iterator[pa.RecordBatch]:
+            rows = [row(group, -1, np.array([[0], [n]])) for group, n in words.items()] if with_words else []
             for group, found in counts.items():
-                yield pa.RecordBatch.from_arrays([pa.array([group] * len(found), pa.string()), pa.array([phrases[i] for i in found], pa.string()), pa.array(found.values(), pa.int64())], ["lang", "phrase", "n"])
+                number = np.sort(np.fromiter(found, dtype=np.int64, count=len(found)))
+                n = np.array([found[i] for i in number.tolist()], dtype=np.int64)
+                first = np.flatnonzero(np.append(True, number[1:] // _CHUNK != number[:-1] // _CHUNK)) if len(number) else number
+                rows += [row(group, int(number[a]) // _CHUNK, np.stack([number[a:b] % _CHUNK, n[a:b]])) for a, b in zip(first, [*first[1:], len(number)], strict=True)]
             counts.clear()
+            words.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["lang", "chunk", "entries", "counts"])
 
         for batch in batches:
             for group, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -200,8 +277,39 @@ def _counted(shared, with_words: bool):
         for group in [*waiting]:
             scan(group)
         yield from out()
-        if with_words and words:
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.nulls(len(words), pa.string()), pa.array(words.values(), pa.int64())], ["lang", "phrase", "n"])
+
+    return run
+
+
+#: Phrases whose counts are packed in one row.
+_CHUNK = 4096
+
+
+def _totals(shared, least: int):
+    """Arrow function: the rows of ``_counted``, those of a language and chunk together, to (lang, phrase, f), without the rare ones;
+    a null phrase has the number of words."""
+
+    def run(batches):
+        now, total = None, None
+
+        def out() -> pa.RecordBatch:
+            if now[1] < 0:
+                langs, phrases, f = [now[0]], [None], total[:1].tolist()
+            else:
+                some = np.flatnonzero(total >= least)
+                langs, phrases, f = [now[0]] * len(some), [shared.value[now[1] * _CHUNK + i] for i in some.tolist()], total[some].tolist()
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(f, pa.int64())], ["lang", "phrase", "f"])
+
+        for batch in batches:
+            for lang, chunk, n, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (lang, chunk) != now:
+                    if now is not None:
+                        yield out()
+                    now, total = (lang, chunk), np.zeros(_CHUNK, dtype=np.int64)
+                at, count = np.frombuffer(pa.decompress(body, 16 * n, "zstd"), dtype="<u8").astype(np.int64).reshape(2, -1)
+                total[at] += count
+        if now is not None:
+            yield out()
 
     return run
 
@@ -209,34 +317,39 @@ def _counted(shared, with_words: bool):
 def phrase_counts(docs: DataFrame, text_col: str = "text", group_col: str = "lang", most: int = WORDS, least: int = LEAST, most_counters: int = MOST_COUNTERS, automaton_chars: int = AUTOMATON_CHARS) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, f), (lang, n)): exact counts of all phrases of 1 to ``most`` words that stand ``least`` times or more, and of all words.
 
-    A first scan adds the hashed phrases up in a sketch of one row, whose counters are upper bounds: it is combined within a
-    task, summed by shuffle and reaches the driver as one bit a counter, at most ``most_counters`` bits. A second scan takes
-    the phrases that reach ``least`` by it, and whose own parts all do. A third counts them, in one automaton a pass,
-    of at most about ``automaton_chars`` characters; what the sketch let through wrongly goes then.
+    Two scans add the hashed phrases up in sketches of two rows, whose counters are upper bounds: that of one and two words, then
+    that of longer ones all of whose pairs of words reach ``least`` by the first. A sketch is combined within a task, summed by
+    shuffle, and reaches the driver as one bit a counter, at most ``most_counters`` bits. A third scan takes
+    the phrases that reach ``least`` by their sketch, as do all their parts. A last one counts them, in one automaton a pass,
+    of at most about ``automaton_chars`` characters; what the sketches let through wrongly goes then.
     """
     group = F.coalesce(F.col(group_col).cast("string"), F.lit(UNKNOWN))
     given = docs.select(group.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(max(_PART_BITS, (size // BYTES_A_COUNTER).bit_length()), most_counters.bit_length() - 1)
-    counters = given.mapInArrow(_counters(bits, most, least), "part int, entries int, counts binary")
-    summed = counters.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(least), "part int, bits binary")
-    heavy = np.zeros(1 << bits - 3, dtype=np.uint8)
-    for r in summed.toLocalIterator():
-        heavy[r["part"] << _PART_BITS - 3 : r["part"] + 1 << _PART_BITS - 3] = np.frombuffer(r["bits"], dtype=np.uint8)
-    context = docs.sparkSession.sparkContext
-    sketch = context.broadcast(heavy)
-    candidates = cut(given.mapInArrow(_candidates(sketch, bits, most), "phrase string").distinct())
+    context, sketches = docs.sparkSession.sparkContext, []
+    for first, last in LEVELS:
+        if first <= most:
+            counters = given.mapInArrow(_counters(list(sketches), bits, least, first, min(last, most)), "part int, entries int, counts binary")
+            summed = counters.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(least), "part int, bits binary")
+            heavy = np.zeros(1 << bits - 3, dtype=np.uint8)
+            for r in summed.toLocalIterator():
+                heavy[r["part"] << _PART_BITS - 3 : r["part"] + 1 << _PART_BITS - 3] = np.frombuffer(r["bits"], dtype=np.uint8)
+            sketches.append(context.broadcast(heavy))
+    packed = given.mapInArrow(_candidates(sketches, bits, most, 64 + size // BYTES_A_SHARE), "share int, phrases binary")
+    candidates = cut(_with_parts(packed.repartition("share").sortWithinPartitions("share").mapInArrow(_distinct, "phrase string")))
     chars = candidates.agg(F.sum(F.length("phrase") + 2)).first()[0] or 0
     shares = 1 + chars // automaton_chars
     found = None
     for share in range(shares):
         mine = candidates.where(F.pmod(F.xxhash64("phrase"), F.lit(shares)) == share)
         phrases = context.broadcast(mine.toArrow().column("phrase").to_pylist())
-        some = given.mapInArrow(_counted(phrases, not share), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-        some = cut(some.where((F.col("f") >= least) | F.col("phrase").isNull()))
+        packed = given.mapInArrow(_counted(phrases, not share), "lang string, chunk int, entries int, counts binary").repartition("lang", "chunk").sortWithinPartitions("lang", "chunk")
+        some = cut(packed.mapInArrow(_totals(phrases, least), "lang string, phrase string, f long"))
         phrases.destroy()
         found = some if found is None else found.unionByName(some)
-    sketch.destroy()
+    for sketch in sketches:
+        sketch.destroy()
     return found.where("phrase is not null"), found.where("phrase is null").select("lang", F.col("f").alias("n"))
 
 

@@ -207,6 +207,7 @@ def test_odd_conversations(spark):
         (1, None, "user", "a."), (1, None, "user", "a."), (1, 5, "assistant", "b."), (1, 2, None, None), (1, 9, "assistant", long), (None, 1, "user", "x!"), (None, 1, "tool", "y?"), (None, None, None, None),
         (2, 0, "system", "s."), (3, 0, "assistant", "only."), (3, 0, "assistant", "only."), (4, 1, "", "\x1c."), (4, 7, "user", "Q"), (5, 0, "sys", "z."), (5, 1, "u", "z."), (5, 2, "assistant", "z. \t"),
     ]
+    rows += [(6, k, ("user", "user", "assistant", "system")[k * k % 7 % 4], f"{k % 60}" + ".!x"[k % 3]) for k in range(200)]
     table = spark.createDataFrame([(*r, "zz", True) for r in rows], "conv_id long, turn long, role string, text string, audit string, present boolean")
     hurt = damaged(table)
     report = parse(hurt, F.col("present"))
@@ -260,7 +261,7 @@ ODD = [
 @pytest.mark.parametrize(("least", "percent", "top"), [(2, 100, 2000), (3, 100, 5), (4, 60, 2000)])
 def test_collocations_by_brute_force(spark, least, percent, top):
     docs = spark.createDataFrame([(t, g, "zz", 1) for g, t in ODD], "text string, lang string, phrase string, n long").repartition(3)
-    for options in ({}, {"most_counters": 1 << 18, "automaton_chars": 40}):
+    for options in ({}, {"most_counters": 1 << 18, "automaton_chars": 300}):
         found = collocations.collocations(docs, least=least, percent=percent, top=top, **options)
         assert sorted(map(tuple, found.collect())) == plain_collocations(ODD, least, percent, top)
 
