@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -132,6 +133,18 @@ class Chart:
         return path.cost, "".join(reversed(parts))
 
 
+#: Rows of a conversation whose parse is looked up by its roles and faults; longer ones are parsed row by row.
+SHORT = 32
+
+
+@lru_cache(maxsize=1 << 15)
+def _short(rows: tuple[tuple[str, bool, bool], ...]) -> tuple[int, str]:
+    chart = Chart()
+    for row in rows:
+        chart.row(*row)
+    return chart.best()
+
+
 REPORT = "conv_id {0}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
 _KINDS = [pa.int64()] * 6 + [pa.string()]
 _LEGAL = ("su", "ua", "au")
@@ -142,12 +155,12 @@ _BATCH_CHARS, _BATCH_ROWS = 1 << 20, 4096
 def _parsed(batches):
     """Arrow function: (conv_id, turn, initial, fault), a conversation's rows together and in order, to one row of its figures and edits."""
     kind, ids, rows, size = None, [], [], 0
-    now, chart = batches, None  # no conversation yet
+    now, chart, waiting = batches, None, []  # no conversation yet
     counts, turns, least, last, before, illegal = {}, 0, None, None, None, 0
 
     def close() -> None:
         nonlocal size
-        cost, audit = chart.best()
+        cost, audit = chart.best() if chart else _short(tuple(waiting))
         gaps = last - least + 1 - turns if turns else 0
         ids.append(now)
         rows.append((gaps, counts["b"], counts["d"], counts["t"], illegal, cost, audit))
@@ -160,10 +173,10 @@ def _parsed(batches):
     for batch in batches:
         kind = batch.schema.types[0]
         for conv, turn, initial, fault in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if chart is None or conv != now:
-                if chart is not None:
+            if now is batches or conv != now:
+                if now is not batches:
                     close()
-                now, chart = conv, Chart()
+                now, chart, waiting = conv, None, []
                 counts, turns, least, last, before, illegal = dict.fromkeys("bdt", 0), 0, None, None, None, 0
             if fault == "absent":
                 continue
@@ -175,11 +188,19 @@ def _parsed(batches):
             before = initial
             if fault:
                 counts[fault] += 1
-            chart.row(initial, fault in ("b", "d"), fault == "t")
+            row = (initial, fault in ("b", "d"), fault == "t")
+            if chart is None and len(waiting) < SHORT:
+                waiting.append(row)
+                continue
+            if chart is None:
+                chart = Chart()
+                for each in waiting:
+                    chart.row(*each)
+            chart.row(*row)
         if size >= _BATCH_CHARS or len(rows) >= _BATCH_ROWS:
             yield out()
             ids, rows, size = [], [], 0
-    if chart is not None:
+    if now is not batches:
         close()
     if rows:
         yield out()
