@@ -55,27 +55,40 @@ def _coded(batches):
 
 
 class _Found:
-    """Links of a task: a count for each vector, and no more edges than join the linked."""
-
-    def __init__(self):
-        self.total: dict[int, int] = {}
-        self.edges: list[tuple[int, int]] = []
-        self.parent: dict[int, int] = {}
-
-    def _root(self, x: int) -> int:
-        while (up := self.parent.get(x, x)) != x:
-            self.parent[x] = x = self.parent.get(up, up)
-        return x
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        a, b = a[a != b], b[a != b]
-        for k, count in zip(*np.unique(np.concatenate([a, b]), return_counts=True), strict=True):
-            self.total[int(k)] = self.total.get(int(k), 0) + int(count)
-        for u, v in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = self._root(u), self._root(v)
-            if x != y:
-                self.parent[max(x, y)] = min(x, y)
-                self.edges.append((u, v))
+    """Links of a task between rows of its table: a count for each vector, and no more edges than join the linked."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.of = np.unique(ids, return_inverse=True)
+        self.total = np.zeros(len(self.ids), dtype=np.int64)
+        self.root = np.arange(len(self.ids))
+        self.edges = [np.zeros((2, 0), dtype=np.int64)]
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        a, b = self.of[x], self.of[y]
+        if (a == b).any():
+            a, b = a[a != b], b[a != b]
+        n = len(self.ids)
+        self.total += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+        while len(a):
+            left, right = self.root[a], self.root[b]
+            apart = left != right
+            a, b, left, right = a[apart], b[apart], left[apart], right[apart]
+            # the first pair of each upper root joins it to a lower one; what is still apart comes again
+            upper, first = np.maximum(left, right), np.full(n, -1)
+            first[upper[::-1]] = np.arange(len(a))[::-1]
+            first = first[first >= 0]
+            self.edges.append(np.stack([a[first], b[first]]))
+            parent = np.arange(n)
+            parent[upper[first]] = np.minimum(left, right)[first]
+            while (parent != (up := parent[parent])).any():
+                parent = up
+            self.root = parent[self.root]
+
+    def rows(self) -> list[np.ndarray]:
+        """Columns a, b, n: a count of each linked vector (b null as -1), then the edges."""
+        some, edges = np.flatnonzero(self.total), np.concatenate(self.edges, axis=1)
+        none = np.full(len(some), -1)
+        return [self.ids[np.concatenate([some, edges[0]])], np.append(none, edges[1]), np.append(self.total[some], np.zeros(edges.shape[1], dtype=np.int64))]
 
 
 def _tiles(table: pa.Table):
@@ -107,11 +120,11 @@ def _tiles(table: pa.Table):
 
 
 def _output(table: pa.Table, found: _Found, still_open: np.ndarray) -> pa.Table:
-    out = [(k, None, n) for k, n in found.total.items()] + [(u, v, 0) for u, v in found.edges]
+    a, b, n = found.rows()
+    b = pa.array(found.ids[b] if len(found.ids) else b, mask=b < 0)
     rows = table.select(["label", "i", "j", "side", "row"]).take(pa.array(still_open))
-    blank = pa.nulls(len(out)), pa.nulls(len(still_open), pa.int64())
-    columns = [pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x, blank[0].cast(x.type)]) for x in rows.columns]
-    rest = [pa.concat_arrays([blank[1], pa.array([x[c] for x in out], pa.int64())]) for c in range(3)]
+    columns = [pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x, pa.nulls(len(a), x.type)]) for x in rows.columns]
+    rest = [pa.concat_arrays([pa.nulls(len(still_open), pa.int64()), pa.array(x, pa.int64()) if isinstance(x, np.ndarray) else x.cast(pa.int64())]) for x in (a, b, n)]
     return pa.table([*columns, *rest], names=["label", "i", "j", "side", "row", "a", "b", "n"])
 
 
@@ -119,12 +132,12 @@ def _sure(threshold: float):
     """Arrow function over the codes of a pair of tiles: links that the bounds prove, and the rows with a pair that they leave open."""
 
     def run(table: pa.Table) -> pa.Table:
-        found, ids = _Found(), table.column("vec_id").to_numpy()
+        found = _Found(table.column("vec_id").to_numpy())
         still_open = np.zeros(table.num_rows, dtype=bool)
         for left, right, stripes in _tiles(table):
             for at, rough, slack in stripes:
                 x, y = np.nonzero(rough - slack >= threshold)
-                found.add(ids[left[at + x]], ids[right[y]])
+                found.add(left[at + x], right[y])
                 x, y = np.nonzero((rough + slack >= threshold) & (rough - slack < threshold))
                 still_open[left[at + x]] = still_open[right[y]] = True
         return _output(table, found, np.flatnonzero(still_open))
@@ -136,7 +149,7 @@ def _exact(threshold: float):
     """Arrow function over the open rows of a pair of tiles, with their vectors: the links among the pairs left open."""
 
     def run(table: pa.Table) -> pa.Table:
-        found, ids = _Found(), table.column("vec_id").to_numpy()
+        found = _Found(table.column("vec_id").to_numpy())
         unit = {int(row): vector for rows, vectors in _matrices(table.column("embedding").combine_chunks()) for row, vector in zip(rows, vectors, strict=True)}
         for left, right, stripes in _tiles(table):
             a, b = np.stack([unit[k] for k in left.tolist()]), np.stack([unit[k] for k in right.tolist()])
@@ -145,7 +158,7 @@ def _exact(threshold: float):
                 for part in range(0, len(x), 1 << 16):
                     m, n = at + x[part : part + (1 << 16)], y[part : part + (1 << 16)]
                     linked = np.einsum("ij,ij->i", a[m], b[n]) >= threshold
-                    found.add(ids[left[m[linked]]], ids[right[n[linked]]])
+                    found.add(left[m[linked]], right[n[linked]])
         return _output(table, found, np.zeros(0, dtype=np.int64))
 
     return run
