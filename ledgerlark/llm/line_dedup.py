@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash
-from .clusters import BUCKETS, bucket_links, combined, components, cut, distinct_by_row, release
+from .clusters import BUCKETS, bucket_links, combined, components, cut, distinct_by_row, hub_join, release
 from .textblocks import LOWER, U64, Words, blocks, mix, runs, stream
 
 SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 4, 80
@@ -171,9 +171,10 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = cut(components(bucket_links(given.mapInArrow(_banded, BUCKETS), bodies_of, _expand, percent)).withColumnRenamed("id", "node").join(first, "node"))
     release(docs.sparkSession)
     keepers = found.groupBy("component").agg(F.min("first").alias("keeper"))
-    linked = found.join(keepers, "component").select("node", "keeper")
-    repeated = first.where("n > 1").join(linked, "node", "left_anti").select("node", F.col("first").alias("keeper"))
-    gone = lines.join(linked.unionByName(repeated), "node").where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("line_no") != F.col("keeper.line_no")))
+    linked = found.join(keepers, "component").select("node", "keeper", "n")
+    repeated = first.where("n > 1").join(linked, "node", "left_anti").select("node", F.col("first").alias("keeper"), "n")
+    known = cut(linked.unionByName(repeated))
+    gone = hub_join(lines, known, "node", lines.count()).where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("line_no") != F.col("keeper.line_no")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
