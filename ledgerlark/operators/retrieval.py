@@ -161,40 +161,3 @@ def intersect(filtered: DataFrame, found: DataFrame, limit: int) -> DataFrame:
     top = filtered.join(found.select("course_id", "rank"), "course_id", "left").orderBy(*order).limit(limit)
     some = F.max("rank").over(Window.partitionBy(F.lit(1))).isNotNull()
     return top.withColumn("some", some).where(~F.col("some") | F.col("rank").isNotNull()).drop("some").orderBy(*order)
-
-
-def crossover(n: int, dims: int, queries: int, k: int, spark, seed: int = 7, tables: int = 4) -> DataFrame:
-    """(n, recall): how many of the exact k nearest an approximate search by random-projection buckets finds.
-
-    Vectors are 64 centroids with noise. Exact search scores all rows for all queries in one job.
-    """
-    text = lambda c: c.cast("string")
-    slot = F.sequence(F.lit(0), F.lit(dims - 1))
-
-    def number(c: Column, of: int) -> Column:
-        """A number from -1 to 1 by the hash of a text."""
-        return (F.pmod(F.xxhash64(c, F.lit(of)), F.lit(2000003)) / 1000001.5 - 1).cast("double")
-
-    def side(v: Column, plane: str) -> Column:
-        """The side of a plane on which a vector lies."""
-        parts = F.transform(v, lambda x, i: x * number(F.concat_ws(":", text(i), F.lit(plane)), seed + 2))
-        return F.when(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) > 0, "1").otherwise("0")
-
-    def bucket(v: Column, table: int) -> Column:
-        return F.concat(F.lit(f"{table}:"), *[side(v, f"{table}/{plane}") for plane in range(6)])
-
-    centroid = lambda i: number(F.concat_ws(":", text(F.col("id") % 64), text(i)), seed)
-    noise = lambda i: number(F.concat_ws(":", text(F.col("id")), text(i)), seed + 1)
-    data = spark.range(n).select("id", F.transform(slot, lambda i: centroid(i) + 0.15 * noise(i)).alias("v"))
-    ask = data.where(F.col("id") < queries).select(F.col("id").alias("q"), F.col("v").alias("w"))
-    keys = lambda v: F.explode(F.array(*[bucket(F.col(v), t) for t in range(tables)])).alias("key")
-    place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
-
-    def nearest(pairs: DataFrame) -> DataFrame:
-        scored = pairs.select("q", "id", cosine_distance(F.col("v"), F.col("w")).alias("distance")).distinct()
-        return scored.withColumn("r", place).where(F.col("r") <= k)
-
-    exact = nearest(data.crossJoin(F.broadcast(ask)))
-    approx = nearest(data.select("id", "v", keys("v")).join(F.broadcast(ask.select("q", "w", keys("w"))), "key"))
-    hit = exact.join(approx.select("q", "id", F.lit(1).alias("hit")), ["q", "id"], "left")
-    return hit.agg(F.lit(n).alias("n"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import filters as flt
@@ -154,6 +154,18 @@ def prereq_chain_all(c):
     return prereq_chain(c.relation, c.relation.select("course_id"))
 
 
+@query(
+    ", e AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders), w AS (SELECT a AS start, b AS course_id, 1 AS depth FROM e WHERE b IS NOT NULL"
+    " UNION SELECT w.start, e.b, w.depth + 1 FROM w JOIN e ON e.a = w.course_id WHERE e.b IS NOT NULL AND w.depth < 10) SELECT start, course_id, depth FROM w"
+)
+def order_chain_all(c):
+    """A walk over all orders: each leads to its customer's next one."""
+    orders = c.table("orders")
+    following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return prereq_chain(orders.select(F.col("o_orderkey").alias("course_id"), following.alias("requires_id")), orders.select(F.col("o_orderkey").alias("course_id")))
+
+
+
 @query(
     "SELECT count(*) AS total, count(*) FILTER (WHERE starts_on IS NULL) AS starts_null, count(*) FILTER (WHERE campus = 'unknown') AS campus_unknown, count(*) FILTER (WHERE delivery_mode = 'unknown') AS delivery_unknown,"
     " count(*) FILTER (WHERE total_fee_cents IS NULL) AS fee_null, count(*) FILTER (WHERE term_season IS NULL) AS term_null, count(*) FILTER (WHERE is_evening IS NULL) AS evening_null FROM listing"

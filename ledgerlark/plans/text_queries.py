@@ -10,11 +10,13 @@ from ..functions.vectors import cosine_distance, l2_normalized
 from ..operators import answer as ans
 from ..operators import evaluate as ev
 from ..operators import filters as flt
+from ..operators import graph_index as gi
 from ..operators import ingest as ing
 from ..operators import retrieval as ret
 from ..operators.filters import ListingFilter
 from ..sources.catalog import TODAY, Catalog
-from ..streaming import stateful
+from ..sources.commits import work_folder
+from ..streaming import processors, stateful
 from .base_sql import BASE, words
 
 QUERIES: dict = {}
@@ -276,9 +278,26 @@ def intersect_search_filter(c):
     return ret.intersect(filtered, ret.lexical(c.chunk, _ASK), 8).select("id", "course_id")
 
 
+@query("SELECT vec_id AS query_id, least(10, (SELECT count(*) FROM embeddings WHERE list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0)) AS exact, TRUE AS reached FROM embeddings WHERE vec_id % 20 = 0 AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0")
+def graph_recall(c):
+    """The graph index of all rows, written and read back, asked with every row whose id is divisible by 20: whether it finds 0.9 of
+    each one's ten exact nearest."""
+    vectors, folder = c.chunk_embedding, work_folder(c.spark)
+    gi.write(vectors, folder)
+    asked = vectors.where("course_id % 20 = 0").select(F.col("course_id").alias("query_id"), "embedding")
+    found = gi.recall(c.spark.read.parquet(folder), vectors, asked, 10)
+    return found.select("query_id", "exact", (F.col("hits") >= 0.9 * F.col("exact")).alias("reached"))
+
+
 @query()
 def crossover_recall(c):
-    return ret.crossover(2000, 16, 15, 10, c.spark)
+    """Exact search, cells and graph over an eighth, a quarter, half and all of the vectors, asked with every row whose id is divisible by 20:
+    recall, build seconds, a question's median time, and the size from which an index is faster."""
+    vectors = c.chunk_embedding
+    n = vectors.count()
+    asked = vectors.where("course_id % 20 = 0").select(F.col("course_id").alias("query_id"), "embedding")
+    rows = gi.crossover(vectors, asked, [n // 8, n // 4, n // 2, n], 10, lambda: work_folder(c.spark))
+    return c.spark.createDataFrame([tuple(r.values()) for r in rows], "n long, method string, build_sec double, median_ms double, recall double, overtakes_at long")
 
 
 # evaluation: benchmark items as questions, five synthetic ranks each
@@ -380,8 +399,17 @@ def _millis():
     " SELECT key, at_ms, allowed, wait AS retry_after_sec FROM b"
 )
 def token_bucket(c):
-    rows = c.table("events").select(F.col("user_id").alias("key"), (_millis() / 3600).cast("long").alias("at_ms"))
-    return stateful.rate_limited(rows)
+    return stateful.rate_limited(_requests(c))
+
+
+def _requests(c):
+    return c.table("events").select(F.col("user_id").alias("key"), (_millis() / 3600).cast("long").alias("at_ms"))
+
+
+@query(ORACLE["token_bucket"].removeprefix(BASE))
+def token_bucket_stream(c):
+    """The same from a stream of four batches, by typed state and timers."""
+    return processors.replayed(_requests(c), "at_ms", (-1, processors.CLOSING), processors.rate_limited).where("key >= 0")
 
 
 @query(
@@ -391,8 +419,22 @@ def token_bucket(c):
     " SELECT session_id, run_id, acquired FROM f"
 )
 def session_lock(c):
+    return stateful.session_locks(_runs(c))
+
+
+def _runs(c):
     start = _millis()
-    return stateful.session_locks(c.table("events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("run_id"), start.alias("started"), (start + (F.col("event_id") % 48) * 3600000).alias("ended")))
+    return c.table("events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("run_id"), start.alias("started"), (start + (F.col("event_id") % 48) * 3600000).alias("ended"))
+
+
+@query(
+    ORACLE["session_lock"].removeprefix(BASE).replace("SELECT session_id, run_id, acquired FROM f", "")
+    + ", g AS (SELECT f.session_id, f.run_id, r.started, r.ended, f.acquired FROM f JOIN r ON r.session_id = f.session_id AND r.n = f.n)"
+    " SELECT session_id, run_id, started AS at_ms, CASE WHEN acquired THEN 'acquired' ELSE 'refused' END AS event FROM g UNION ALL SELECT session_id, run_id, ended, 'expired' FROM g WHERE acquired"
+)
+def session_lock_stream(c):
+    """Every run's answer and every lock's end, which comes by a timer, from a stream of four batches."""
+    return processors.replayed(_runs(c), "started", (-1, 1, processors.CLOSING, processors.CLOSING), processors.session_locks).where("session_id >= 0")
 
 
 @query("SELECT id, course_title || ' · ' || term || ' · ' || campus || ' · ' || replace(delivery_mode, '_', ' ') || ' · ' || status || ' · $' || CAST(CAST(total_fee_cents / 100.0 AS DECIMAL(12, 2)) AS VARCHAR) AS line FROM listing_view WHERE NOT is_gone")
