@@ -5,12 +5,15 @@ from __future__ import annotations
 import datetime as dt
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CANDIDATE_LIMIT
+from ..sources.commits import cut
 from .filters import ListingFilter
 
 
@@ -119,13 +122,44 @@ def answer_filters(questions: DataFrame, view: DataFrame, as_of: str, limit: int
     asks for nothing here. The window keeps ``limit`` rows of a filter, which Spark cuts before its shuffle too.
     """
     asked = questions.where("route.filter is not null and not route.refuse and route.history is null").select("item_id", F.to_json("route.filter").alias("key"), "route.filter")
-    distinct = asked.groupBy("key").agg(F.first("filter").alias("filter"))
-    hit = view.where(~F.col("is_gone")).join(F.broadcast(distinct), matches_filter(F.col("filter"), as_of))
+    asked = cut(asked)  # the rules run once
+    distinct = cut(asked.groupBy("key").agg(F.first("filter").alias("filter")))
+    hit = _meeting(view.where(~F.col("is_gone")), distinct, as_of)
     by = Window.partitionBy("key").orderBy(F.col("term_rank").desc_nulls_last(), "id")
-    top = hit.select("key", "id", "term_rank").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
+    top = hit.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
     return asked.select("item_id", "key").join(top, "key").select("item_id", "id", "rank")
 
 
+#: Keys of a filter that ask for one value; filters of no such key that meet all listings at once.
+EQUAL, BLOCK = ("campus", "term", "delivery_mode", "is_evening", "status"), 4096
+
+
+def _meeting(live: DataFrame, filters: DataFrame, as_of: str) -> DataFrame:
+    """(key, id, term_rank) of each filter (key, filter) and each listing that fits it.
+
+    Filters that constrain the same keys of EQUAL, at most 32 kinds, are joined on these, and their ranges are looked at after. Those
+    that constrain none of them come in blocks, so that what is broadcast has a bound.
+    """
+    out = filters.sparkSession.createDataFrame([], f"key string, id {live.schema['id'].dataType.simpleString()}, term_rank {live.schema['term_rank'].dataType.simpleString()}")
+    given = [F.col(f"filter.{k}").isNotNull().alias(k) for k in EQUAL]
+    for kind in filters.groupBy(*given).count().collect():
+        keys = [k for k in EQUAL if kind[k]]
+        some = filters
+        for k, there in zip(EQUAL, given, strict=True):
+            some = some.where(there if kind[k] else ~there)
+        if keys:
+            named = some.select("key", "filter", *[F.col(f"filter.{k}").alias(f"asked_{k}") for k in keys])
+            equal = [F.col(k) == F.col(f"asked_{k}") for k in keys]
+            found = live.join(named, reduce(and_, equal) & matches_filter(F.col("filter"), as_of))
+            out = out.unionByName(found.select("key", "id", "term_rank"))
+        else:
+            blocks = 1 + kind["count"] // BLOCK
+            for block in range(blocks):
+                mine = F.broadcast(some.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block))
+                out = out.unionByName(live.join(mine, matches_filter(F.col("filter"), as_of)).select("key", "id", "term_rank"))
+    return out
+
+
 def decode_route(raw: dict | None) -> Route:
     """A raw decision to a route: nulls and include_gone=false go, a malformed or empty filter is none, one route wins."""
     raw = raw or {}

@@ -229,3 +229,26 @@ def test_empty_inputs(spark, view):
     none = view.where("false")
     assert flt.filter_listings(none, ListingFilter(), "2026-01-01").count() == 0
     assert hyd.observation_window(none.select("starts_on", F.lit("x").alias("term_season"), F.lit(1).alias("term_year"))).first()[:] == ("unknown", 0)
+
+
+def test_filters_of_every_kind_meet_the_listings_that_fit(spark, monkeypatch):
+    from ledgerlark.operators import answer as ans
+    from ledgerlark.sources.catalog import TODAY
+
+    monkeypatch.setattr(ans, "BLOCK", 2)
+    listings = [(i, ("Newark", "Camden", None)[i % 3], ("hybrid", "online_sync")[i % 2], (True, False, None)[i % 3], i * 100, 10 - i, i % 5 == 0) for i in range(12)]
+    view = spark.createDataFrame(listings, "id long, campus string, delivery_mode string, is_evening boolean, total_fee_cents long, term_rank int, is_gone boolean")
+    view = view.selectExpr("*", "'Fall 2026' AS term", "'open' AS status", "10.0D AS contact_hours", "CAST(NULL AS DATE) AS registration_deadline")
+    texts = ["Newark", "under $5", "under $6", "over $3", "hybrid in Newark under $8", "evening", "hybrid", "under $5", "anything", None, "at least 5 hours"]
+    asked = ans.routed(spark.createDataFrame(list(enumerate(texts)), "item_id long, question string"), TODAY)
+    kept = {r["item_id"]: r["route"]["filter"] for r in asked.collect()}
+    found = {}
+    for r in ans.answer_filters(asked, view, TODAY, 4).orderBy("item_id", "rank").collect():
+        found.setdefault(r["item_id"], []).append(r["id"])
+    for item, f in kept.items():
+        fits = [x for x in listings if f is not None and not x[6]]
+        for k, at in (("campus", 1), ("delivery_mode", 2), ("is_evening", 3)):
+            fits = [x for x in fits if f[k] is None or x[at] == f[k]]
+        fits = [x for x in fits if (f["max_fee_cents"] is None or x[4] <= f["max_fee_cents"]) and (f["min_fee_cents"] is None or x[4] >= f["min_fee_cents"])]
+        assert found.get(item, []) == [x[0] for x in sorted(fits, key=lambda x: (-x[5], x[0]))[:4]], texts[item]
+    assert len({tuple(v) for v in found.values()}) > 3
