@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derive as dv
 from ..functions import text as tx
+from ..functions.markdown import markdown
 from ..functions.vectors import cosine_distance, l2_normalized
 from ..operators import answer as ans
 from ..operators import evaluate as ev
@@ -144,6 +145,13 @@ def html_to_text(c):
     return c.page.select("page_id", ing.html_text(F.col("html")).alias("body"))
 
 
+@query()
+def page_markdown(c):
+    """Every page's main region as Markdown; an element tree has no SQL, tests hold it to fixed cases and to the pages' words."""
+    text = markdown("html")
+    return c.page.select("page_id", text.alias("text")).select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("markdown_sha256"))
+
+
 @query()
 def html_fields(c):
     found = ing.segments(c.page.select("page_id", ing.extract_fields("html", "url").alias("page")))
