@@ -201,6 +201,13 @@ def follow_ups(cards: DataFrame) -> DataFrame:
     return one.select("courses", F.when(F.col("courses") == 1, asked).otherwise(F.array().cast("array<string>")).alias("follow_ups"))
 
 
+def follow_ups_by(cards: DataFrame, key: str) -> DataFrame:
+    """The same for many answers at once, told apart by ``key``: (key, courses, follow_ups)."""
+    one = cards.groupBy(key).agg(F.count_distinct("course_id").alias("courses"), F.min("course_title").alias("title"))
+    asked = F.array(F.concat(F.lit("When is "), F.col("title"), F.lit(" usually offered?")), F.concat(F.lit("What does "), F.col("title"), F.lit(" cost?")))
+    return one.select(key, "courses", F.when(F.col("courses") == 1, asked).otherwise(F.array().cast("array<string>")).alias("follow_ups"))
+
+
 def summary_line(cards: DataFrame) -> DataFrame:
     """One line per candidate."""
     return cards.select("id", F.concat_ws(" · ", "course_title", "term", "campus", F.regexp_replace("delivery_mode", "_", " "), "status", F.concat(F.lit("$"), (F.col("total_fee_cents") / 100).cast("decimal(12,2)").cast("string"))).alias("line"))

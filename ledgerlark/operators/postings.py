@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem
-from ..functions.text import STOP_WORDS
+from ..functions.text import STOP_WORDS, tokens
+from ..functions.vectors import hashed_embedding
 from .lexicon import WEIGHT, _stands, cover_density, parsed
 from .retrieval import POOL, fuse_by, knn_batch
 
@@ -254,5 +255,14 @@ def hybrid_batch(vectors: DataFrame, indexed: DataFrame, questions: DataFrame, l
     return fused.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
 
 
+def ask(chunk: DataFrame, indexed: DataFrame, questions: DataFrame, limit: int, width: int = 64, pool: int = POOL) -> DataFrame:
+    """(query_id, course_id, rrf, rank) from the questions' texts alone (query_id, question): texts (course_id, text) and questions are
+    embedded by the same model, and the words of a question, joined by or, are looked up in the stored index of the same texts."""
+    vectors = chunk.select("course_id", hashed_embedding(F.col("text"), width).alias("embedding"))
+    words = F.array_join(F.array_distinct(tokens(F.col("question"))), " or ")
+    asked = questions.select("query_id", words.alias("question"), hashed_embedding(F.col("question"), width).alias("embedding"))
+    return hybrid_batch(vectors, indexed, asked, limit, pool)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{ROW}, bucket int").parquet(path)

@@ -231,6 +231,13 @@ def hybrid_batch_top20(c):
     return pos.hybrid_batch(vectors, _stored(c), asked, 20)
 
 
+@query()
+def question_search(c):
+    """Every text whose id is divisible by 20 is looked for by words from its middle, from the question's text alone."""
+    items = idx.known_items(c.chunk).select(F.col("item_id").alias("query_id"), "question")
+    return pos.ask(c.chunk, _stored(c), items, 10).select("query_id", "course_id", F.round("rrf", 8).alias("rrf"), "rank")
+
+
 @query()
 def postings_opened(c):
     """Of the postings of each benchmark item's words, how many there are and how many the search opens."""
@@ -675,6 +682,16 @@ def freshness_labels(c):
     return rows.select("event_id", tx.freshness(F.when(F.col("event_id") % 7 != 0, F.col("ts")), now).alias("label"))
 
 
+@query(
+    f"SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'not checked yet' WHEN {_MINUTES} < 1 THEN 'checked just now' WHEN {_MINUTES} < 60 THEN 'checked ' || {_MINUTES} || 'm ago' WHEN {_MINUTES} < 1440 THEN 'checked ' || {_MINUTES} // 60 || 'h ago'"
+    f" ELSE 'checked ' || {_MINUTES} // 1440 || 'd ago' END AS label FROM events"
+)
+def freshness_all(c):
+    """All events; what is checked later than now is checked just now."""
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    return c.table("events").select("event_id", tx.freshness(F.when(F.col("event_id") % 7 != 0, F.col("ts")), now).alias("label"))
+
+
 # answers
 
 
@@ -718,6 +735,19 @@ def follow_up_questions(c):
     return ans.follow_ups(view.join(F.broadcast(least), "course_id")).select("courses", F.size("follow_ups").alias("asked"))
 
 
+@query(
+    ", a AS (SELECT 'course ' || course_id AS asked, course_id, course_title FROM listing_view UNION ALL SELECT 'unit ' || unit_name, course_id, course_title FROM listing_view),"
+    " g AS (SELECT asked, count(DISTINCT course_id) AS courses, min(course_title) AS title FROM a WHERE asked IS NOT NULL GROUP BY asked)"
+    " SELECT asked, courses, CASE WHEN courses = 1 THEN 'When is ' || title || ' usually offered?|What does ' || title || ' cost?' ELSE '' END AS follow_ups FROM g"
+)
+def follow_ups_all(c):
+    """The questions that follow an answer with all of a course's listings, and one with all of a unit's."""
+    view = flt.listing_view(c.listing, c.course, c.unit)
+    named = lambda kind, column: view.select(F.concat(F.lit(kind), F.col(column).cast("string")).alias("asked"), "course_id", "course_title")
+    cards = named("course ", "course_id").unionByName(named("unit ", "unit_name")).where("asked is not null")
+    return ans.follow_ups_by(cards, "asked").select("asked", "courses", F.array_join("follow_ups", "|").alias("follow_ups"))
+
+
 @query("SELECT session_id, id FROM message WHERE role = 'assistant' AND regexp_matches(prose, '[$€£]|[0-9]')")
 def unfaithful_answers(c):
     return ans.unfaithful(c.message.where("role = 'assistant'")).select("session_id", "id")

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.text import tokens
+from ledgerlark.operators import indexing
 from ledgerlark.operators import lexicon as lex
 from ledgerlark.operators import postings as pos
+from ledgerlark.plans import detail_queries
 
 from .test_lexicon import plain
 
@@ -72,3 +74,13 @@ def test_a_text_finds_itself(spark, tmp_path):
     pos.write(chunk, str(tmp_path / "index"), 100_000)
     asked = chunk.where("course_id % 20 = 0").select(F.col("course_id").alias("query_id"), F.array_join(F.array_distinct(tokens(F.col("text"))), " or ").alias("question"))
     assert rows(pos.search(pos.read(spark, str(tmp_path / "index")), asked)) == rows(lex.search(lex.postings(chunk), asked))
+
+
+def test_known_items_are_found_from_their_words(spark):
+    chunk = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("course_id"), "text", "lang")
+    items = indexing.known_items(chunk).collect()
+    found = collections.defaultdict(set)
+    for r in detail_queries.QUERIES["question_search"](spark, SF).collect():
+        found[r["query_id"]].add(r["course_id"])
+    asked = [r for r in items if len(r["question"].split()) == 6]
+    assert asked and sum(bool(found[r["item_id"]] & set(r["relevant"])) for r in asked) >= 0.8 * len(asked)
