@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -249,6 +250,8 @@ def bucket_links(buckets: DataFrame, bodies_of: Callable[[DataFrame], DataFrame]
 
 
 BLOCK_NODES, BLOCK_BYTES, _COLUMNS = 512, 4 << 20, 4096
+#: Bytes of a pack's buckets whose sets are held at once.
+PACK_BYTES = 1 << 20
 
 
 def _overlaps(left: np.ndarray, right: np.ndarray, grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -281,11 +284,6 @@ def _block_links(expand: Expand, percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("centre").combine_chunks()
-        centre, side, node, component = (table.column(c).to_numpy() for c in ("centre", "side", "node", "component"))
-        flat, owner = expand(table.column("body").combine_chunks())
-        size = np.bincount(owner, minlength=len(node))
-        bounds = np.concatenate([[0], np.flatnonzero(centre[1:] != centre[:-1]) + 1, [len(centre)]])
-        inside = np.searchsorted(owner, bounds)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -294,6 +292,22 @@ def _block_links(expand: Expand, percent: int):
             return x
 
         out = []
+        centres = table.column("centre").to_numpy()
+        starts = np.concatenate([np.flatnonzero(np.append(True, centres[1:] != centres[:-1])) if len(centres) else [0], [len(centres)]])
+        size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(table.column("body")), 0).to_numpy())])
+        at = 0
+        while at < len(starts) - 1:  # buckets of some bytes at a time, as their sets are many times their texts
+            to = max(at + 1, int(np.searchsorted(size[starts], size[starts[at]] + PACK_BYTES, "right")) - 1)
+            links(table.slice(starts[at], starts[to] - starts[at]), root, parent, out)
+            at = to
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    def links(table: pa.Table, root: Callable[[int], int], parent: dict[int, int], out: list[tuple[int, int]]) -> None:
+        centre, side, node, component = (table.column(c).to_numpy() for c in ("centre", "side", "node", "component"))
+        flat, owner = expand(table.column("body").combine_chunks())
+        size = np.bincount(owner, minlength=len(node))
+        bounds = np.concatenate([[0], np.flatnonzero(centre[1:] != centre[:-1]) + 1, [len(centre)]])
+        inside = np.searchsorted(owner, bounds)
         for start, end, first, last in zip(bounds[:-1], bounds[1:], inside[:-1], inside[1:], strict=True):
             left, right = start + np.flatnonzero(side[start:end] == 0), start + np.flatnonzero(side[start:end] == 1)
             overlap = _overlaps(left - start, right - start, flat[first:last], owner[first:last] - start)
@@ -303,6 +317,5 @@ def _block_links(expand: Expand, percent: int):
                 if x != y:
                     parent[max(x, y)] = min(x, y)
                     out.append((int(node[left[i]]), int(node[right[j]])))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
