@@ -250,9 +250,11 @@ def _counted(shared, with_words: bool):
         def out() -> Iterator[pa.RecordBatch]:
             rows = [row(group, -1, np.array([[0], [n]])) for group, n in words.items()] if with_words else []
             for group, found in counts.items():
+                if not found:
+                    continue  # texts without any of the phrases
                 number = np.sort(np.fromiter(found, dtype=np.int64, count=len(found)))
                 n = np.array([found[i] for i in number.tolist()], dtype=np.int64)
-                first = np.flatnonzero(np.append(True, number[1:] // _CHUNK != number[:-1] // _CHUNK)) if len(number) else number
+                first = np.flatnonzero(np.append(True, number[1:] // _CHUNK != number[:-1] // _CHUNK))
                 rows += [row(group, int(number[a]) // _CHUNK, np.stack([number[a:b] % _CHUNK, n[a:b]])) for a, b in zip(first, [*first[1:], len(number)], strict=True)]
             counts.clear()
             words.clear()
