@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import filters as flt
 from ..operators import indexing as idx
 from ..operators import ingest as ing
@@ -93,7 +94,7 @@ def course_policy(c):
 
 @query("SELECT user_id, CAST(ceil(date_diff('second', min(ts), TIMESTAMP '2024-02-01') / 3600.0) AS BIGINT) AS stale_hours FROM events GROUP BY user_id")
 def freshness_hours(c):
-    seconds = F.timestamp_diff("SECOND", F.min("ts"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    seconds = tx.whole_seconds(F.min("ts"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
     return c.table("events").groupBy("user_id").agg(F.ceil(seconds / 3600).alias("stale_hours"))
 
 
