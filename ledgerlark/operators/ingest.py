@@ -262,6 +262,7 @@ def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
     return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
 
 
-def lookup(state: DataFrame, urls: DataFrame) -> DataFrame:
-    """The stored state of asked urls; a url without one has nulls."""
-    return urls.select("url").distinct().join(state, "url", "left")
+def lookup(state: DataFrame, asked: DataFrame, key: str = "url") -> DataFrame:
+    """The stored state of asked pages, told apart by ``key``; one without a state has nulls, and its url is that of the asking row."""
+    names = list(dict.fromkeys([key, "url"]))
+    return asked.select(*names).distinct().join(state, key, "left")
