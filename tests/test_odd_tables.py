@@ -48,7 +48,7 @@ def test_ages_are_of_whole_seconds(spark, folder, name):
     assert ours == sql and len(ours) >= 28
 
 
-@pytest.mark.parametrize("name", ["page_state_lookup"])
+@pytest.mark.parametrize("name", ["page_state_lookup", "crawl_pipeline"])
 def test_pages_of_one_url_are_pages_of_their_own(spark, folder, name):
     replace(folder, "pages", "SELECT page_id * 3 + i AS page_id, CASE WHEN i < 2 THEN url WHEN page_id % 2 = 0 THEN url || '#top' END AS url, CASE WHEN i < 2 OR page_id % 3 > 0 THEN html || (i // 2) END AS html FROM pages, range(3) r(i)")
     ours, sql = rows_of(spark, folder, name)
