@@ -5,6 +5,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
+
+from ledgerlark.operators import lexicon as lex
 
 from .test_queries import ORACLE, QUERIES, SF, plain
 
@@ -53,3 +56,28 @@ def test_pages_of_one_url_are_pages_of_their_own(spark, folder, name):
     replace(folder, "pages", "SELECT page_id * 3 + i AS page_id, CASE WHEN i < 2 THEN url WHEN page_id % 2 = 0 THEN url || '#top' END AS url, CASE WHEN i < 2 OR page_id % 3 > 0 THEN html || (i // 2) END AS html FROM pages, range(3) r(i)")
     ours, sql = rows_of(spark, folder, name)
     assert ours == sql
+
+
+def test_courses_may_share_a_title(spark, folder):
+    replace(folder, "customer", "SELECT * REPLACE ('Customer#' || (c_custkey % 20) AS c_name) FROM customer")
+    ours, sql = rows_of(spark, folder, "agent_first_answers")
+    assert ours == sql and len(ours) > 4
+
+
+def test_a_word_of_all_texts_costs_no_more_than_a_rare_one(spark):
+    """Of texts that all hold one word, each question meets those of its rare word only."""
+    n = 400
+    chunk = spark.range(n).select(F.col("id").alias("course_id"), F.concat(F.lit("common w"), F.col("id").cast("string")).alias("text"))
+    asked = chunk.select(F.col("course_id").alias("query_id"), F.col("text").alias("question"))
+    found = lex.search(lex.postings(chunk), asked)
+    assert sorted((r["query_id"], r["course_id"]) for r in found.collect()) == [(i, i) for i in range(n)]
+    rows, plans = [], [found._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            plan = plan.executedPlan()
+        metric = plan.metrics().get("numOutputRows")
+        rows += [metric.get().value()] if "Join" in plan.nodeName() and metric.isDefined() else []
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())] + ([plan.plan()] if plan.nodeName().endswith("QueryStage") else [])
+    assert rows and max(rows) <= 4 * n
