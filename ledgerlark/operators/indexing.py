@@ -9,9 +9,9 @@ from ..functions.derive import normalized_title
 from ..functions.text import estimate_tokens, tokens
 from ..functions.vectors import hashed_embedding
 from ..schemas import EVAL_K, RRF_K
+from ..sources.commits import work_folder
+from . import postings
 from .evaluate import LADDER, score
-from .lexicon import postings
-from .lexicon import search as lexical_batch
 from .retrieval import knn_batch
 
 
@@ -53,10 +53,12 @@ def ablation(items: DataFrame, chunk: DataFrame, width: int = 64, limit: int = E
     """Mean metrics of each ladder row over all questions, in one plan.
 
     ``items`` has (item_id, question, relevant, lang), ``chunk`` (course_id, text, lang), where the first line of a text
-    is its prefix. Three pools a question, by vectors with and without the prefix and by words, are searched once; a
+    is its prefix. Three pools a question, by vectors with and without the prefix and by words of a stored index, are searched once; a
     ladder row takes its pools' ranks, fuses them, reranks by overlap with the question, or keeps the candidates that fit
     the question's filter (here its language; all of them where none fits).
     """
+    stored = work_folder(chunk.sparkSession)
+    postings.write(chunk.select("course_id", "text"), stored)
     bare = F.regexp_replace("text", r"^[^\n]*\n", "")
     vectors = lambda text: chunk.select("course_id", hashed_embedding(text, width).alias("embedding"))
     asked = items.select(F.col("item_id").alias("query_id"), "question", hashed_embedding(F.col("question"), width).alias("embedding"))
@@ -64,7 +66,7 @@ def ablation(items: DataFrame, chunk: DataFrame, width: int = 64, limit: int = E
     lists = {
         "bare": knn_batch(vectors(bare), asked.select("query_id", "embedding")),
         "full": knn_batch(vectors(F.col("text")), asked.select("query_id", "embedding")),
-        "words": lexical_batch(postings(chunk), asked.select("query_id", words.alias("question"))),
+        "words": postings.search(postings.read(chunk.sparkSession, stored), asked.select("query_id", words.alias("question"))),
     }
     pools = None
     for name, found in lists.items():

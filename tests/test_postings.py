@@ -84,3 +84,18 @@ def test_known_items_are_found_from_their_words(spark):
         found[r["query_id"]].add(r["course_id"])
     asked = [r for r in items if len(r["question"].split()) == 6]
     assert asked and sum(bool(found[r["item_id"]] & set(r["relevant"])) for r in asked) >= 0.8 * len(asked)
+
+
+def test_places_move_only_for_questions_that_need_them(spark, tmp_path, monkeypatch):
+    pos.write(spark.createDataFrame([(i, f"red fox {i} fox") for i in range(50)], "course_id long, text string"), str(tmp_path / "index"))
+
+    def lengths(limit):
+        def run(rows, asked):
+            n = sum(len(x or b"") for x in rows.column("places").to_pylist())
+            return rows.select([]).append_column("key", [[n] * rows.num_rows]).slice(0, 1).append_column("course_id", [[0]]).append_column("score", [[0.0]]).append_column("postings", [[0]]).append_column("opened", [[0]])
+
+        return run
+
+    monkeypatch.setattr(pos, "_answered", lengths)
+    moved = lambda question: sum(r["key"] for r in pos.answered(pos.read(spark, str(tmp_path / "index")), spark.createDataFrame([(1, question)], "query_id long, question string")).collect())
+    assert moved("red or fox or 7") == 0 < moved("red fox")
