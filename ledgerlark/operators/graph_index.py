@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .retrieval import knn_batch
+from ..sources.commits import cut
+from .retrieval import FEW, QUERY_BLOCK, TASKS, knn_batch
 
 #: Rows of a shard on average; links kept of a row's own and in all; candidates for them; far links; rows for one entry.
 SHARD, OWN, LINKS, NEAR, FAR, ENTRY = 12_500, 24, 48, 64, 8, 32
@@ -127,6 +128,7 @@ class Shard:
         self.centres = self.x[self.entries]
         self.members = np.argsort(cell, kind="stable")
         self.first = np.searchsorted(cell[self.members], np.arange(len(self.entries) + 1))
+        self.cell, self.radius = cell, None
 
     def exact(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         near = self.x @ q
@@ -166,6 +168,23 @@ class Shard:
             nodes, near, done = nodes[order], near[order], done[order]
         return nodes[:k], near[:k]
 
+    def checked(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The graph's rows, then all rows of each cell that may hold nearer ones: no angle to a row is less than that to its cell's centre
+        less the cell's widest. So the answer is exact, and the nearer the graph's rows are, the fewer cells are read."""
+        nodes, near = self.graph(q, k)
+        if len(self.x) <= EXACT:
+            return nodes, near
+        if self.radius is None:
+            own = np.concatenate([np.einsum("nd,nd->n", self.x[at : at + 4096], self.centres[self.cell[at : at + 4096]]) for at in range(0, len(self.x), 4096)])
+            self.radius = np.zeros(len(self.centres))
+            np.maximum.at(self.radius, self.cell, np.arccos(np.clip(own, -1, 1)))
+        reach = np.arccos(np.clip(near[-1], -1, 1)) if len(near) >= k else np.pi
+        open_ = np.flatnonzero(np.arccos(np.clip(self.centres @ q, -1, 1)) - self.radius <= reach + 2e-3)
+        nodes = np.unique(np.concatenate([nodes, *[self.members[self.first[c] : self.first[c + 1]] for c in open_]]))
+        near = self.x[nodes] @ q
+        best = np.argsort(-near, kind="stable")[:k]
+        return nodes[best], near[best]
+
 
 FOUND = "query_id long, course_id long, distance double, ms double"
 
@@ -192,13 +211,15 @@ def _answered(limit: int, method: str):
     return run
 
 
-def answered(indexed: DataFrame, queries: DataFrame, limit: int, method: str = "graph", block: int = 512) -> DataFrame:
-    """(query_id, course_id, distance, ms): of each shard the nearest rows to every query (query_id, embedding), found by one of METHODS.
+def answered(indexed: DataFrame, queries: DataFrame, limit: int, method: str = "graph", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, course_id, distance, ms): of each shard the nearest rows to every query (query_id, embedding), found by one of METHODS
+    or by ``Shard.checked``.
 
-    Queries meet a shard in blocks, so that neither side of a task grows with both tables.
+    Queries meet a shard in blocks, so that neither side of a task grows with both tables. The nodes are shuffled once for each block of
+    queries, so blocks are large, but where there would be few tasks.
     """
-    shards = indexed.select("shard").distinct()
-    blocks = F.lit(1 + queries.count() // block)
+    shards, n = indexed.select("shard").distinct(), queries.count()
+    blocks = F.lit(max(1, -(-n // block), min(-(-n // FEW), -(-TASKS // max(1, shards.count())))))
     asked = queries.where("embedding is not null").select(F.col("query_id").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.pmod(F.xxhash64("query_id"), blocks.cast("long")).alias("part"))
     numbers = sorted(r["shard"] for r in shards.collect())  # one number for each SHARD rows
     every = F.explode(F.array(*map(F.lit, numbers)) if numbers else F.array().cast("array<int>")).alias("shard")
@@ -220,8 +241,11 @@ def search(indexed: DataFrame, queries: DataFrame, limit: int, method: str = "gr
 def recall(indexed: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, method: str = "graph") -> DataFrame:
     """(query_id, hits, exact): how many of each query's exact k nearest rows the index finds, over all rows; rows as near as the last
     of the exact ones count, whichever of them is listed."""
-    exact = knn_batch(vectors, queries, k)
-    found = search(indexed, queries, k, method)
+    return hits(knn_batch(vectors, queries, k), search(indexed, queries, k, method))
+
+
+def hits(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """The same of answers that are there already."""
     last = exact.groupBy("query_id").agg(F.max("distance").alias("last"), F.count("*").alias("exact"))
     near = last.join(found, "query_id", "left")
     return near.groupBy("query_id", "exact").agg(F.count_if(F.col("distance") <= F.col("last") + 1e-6).alias("hits")).select("query_id", "hits", "exact")
@@ -255,10 +279,12 @@ def crossover(vectors: DataFrame, queries: DataFrame, sizes: list[int], k: int,
         write(some, folder, shard_rows)
         built = time.perf_counter() - began
         indexed = some.sparkSession.read.parquet(folder)
+        nearest = cut(knn_batch(indexed.select(F.col("id").alias("course_id"), "embedding"), queries, k))  # once for all methods
         for method in METHODS:
-            time_of = answered(indexed, queries, k, method).groupBy("query_id").agg(F.max("ms").alias("ms"))
+            found = cut(answered(indexed, queries, k, method))  # for its times and for its recall
+            time_of = found.groupBy("query_id").agg(F.max("ms").alias("ms"))
             median = time_of.agg(F.median("ms").alias("ms")).first()["ms"]
-            hit = recall(indexed, indexed.select(F.col("id").alias("course_id"), "embedding"), queries, k, method).agg(F.sum("hits").alias("hits"), F.sum("exact").alias("exact")).first()
+            hit = hits(nearest, merged(found, k)).agg(F.sum("hits").alias("hits"), F.sum("exact").alias("exact")).first()
             rows.append({"n": n, "method": method, "build_sec": round(built, 2) if method != "exact" else 0.0, "median_ms": round(median or 0.0, 3), "recall": round((hit["hits"] or 0) / max(hit["exact"] or 0, 1), 4)})
     exact = {r["n"]: r["median_ms"] for r in rows if r["method"] == "exact"}
     for r in rows:

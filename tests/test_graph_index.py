@@ -1,6 +1,7 @@
 """The graph index: recall against exact search, its pruning against a plain version, and the cases that break an index."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,15 @@ def test_crossover_series(spark, tmp_path):
     rows = gi.crossover(vectors, queries, [100, 600], 10, lambda: str(tmp_path / str(next(folders))))
     assert [(r["n"], r["method"]) for r in rows] == [(n, m) for n in (100, 600) for m in gi.METHODS]
     assert all(r["recall"] >= 0.9 and r["median_ms"] > 0 for r in rows) and all(r["overtakes_at"] in (None, 100, 600) for r in rows)
+
+
+def test_cells_bounds_complete_what_the_graph_misses():
+    """A graph without links finds its entries only; the check after it finds all."""
+    x = np.random.default_rng(5).normal(size=(2000, 8)).astype(np.float32)
+    given = pa.table({"shard": pa.array(np.zeros(len(x), dtype=np.int32)), "id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    nodes = gi._built((pa.scalar(0, pa.int32()),), given)
+    none = pa.array([[-1] * gi.LINKS] * len(x), pa.list_(pa.int32()))
+    shard = gi.Shard(nodes.set_column(nodes.column_names.index("links"), "links", none))
+    for q in shard.x[::100]:
+        exact = set(shard.exact(q, 10)[0].tolist())
+        assert set(shard.checked(q, 10)[0].tolist()) == exact and set(shard.graph(q, 10)[0].tolist()) != exact
