@@ -99,3 +99,37 @@ def test_places_move_only_for_questions_that_need_them(spark, tmp_path, monkeypa
     monkeypatch.setattr(pos, "_answered", lengths)
     moved = lambda question: sum(r["key"] for r in pos.answered(pos.read(spark, str(tmp_path / "index")), spark.createDataFrame([(1, question)], "query_id long, question string")).collect())
     assert moved("red or fox or 7") == 0 < moved("red fox")
+
+
+def test_a_question_meets_later_shards_only_if_they_may_reach_its_best(spark, tmp_path):
+    texts = {i: "word other " * (800 - 2 * i if i < 300 else 5) for i in range(400)} | {900: "rare", 901: None, 902: ""}
+    chunk = spark.createDataFrame(list(texts.items()), "course_id long, text string")
+    pos.write(chunk, str(tmp_path / "index"), 40_000)
+    indexed = pos.read(spark, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "word or other"), (2, "rare"), (3, "word other"), (4, "words -other")], "query_id long, question string")
+    assert rows(pos.search(indexed, asked, 20)) == rows(lex.search(lex.postings(chunk), asked, 20))
+    met = collections.Counter(r["key"] for r in pos.answered(indexed, asked, 20).where("course_id is null").collect())
+    shards = indexed.where("term = ''").count()
+    assert shards > 30 and 3 * met[1] < shards and met[2] == shards
+    assert {r["key"]: r["postings"] for r in pos.opened(indexed, asked, 20).collect()} == {1: 800, 2: 1, 3: 800, 4: 400}
+
+
+def test_equal_long_texts_are_dealt_over_shards(spark):
+    chunk = spark.createDataFrame([(i, "same words again " * 300) for i in range(400)] + [(1000, "short"), (1001, "")], "course_id long, text string")
+    held = pos.build(chunk, 100_000).where("term = ''").select("n").collect()
+    assert sum(r["n"] for r in held) == 402 and max(r["n"] for r in held) < 60
+
+
+def test_memory_of_a_shard():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = " ".join(f"w{i % 1000:04d}" for i in range(1000))
+    n = pos.SHARD_BYTES // len(text)
+    table = pa.table({"course_id": list(range(n)), "text": [text] * n})
+    tracemalloc.start()
+    made = pos._inverted((pa.scalar(0, pa.int32()),), table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.num_rows == 1001 and most < 300 << 20
