@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,10 +152,20 @@ FIELDS = T.StructType(
 )
 
 
-@F.pandas_udf(FIELDS)
-def extract_fields(html: pd.Series, base: pd.Series) -> pd.DataFrame:
-    """Arrow batches through the standard HTML parser; a null page gives empty fields."""
-    return pd.DataFrame([page_fields(h or "", b or "") for h, b in zip(html, base, strict=True)], columns=["title", "fields", "fees", "prose", "group_url"])
+_string = pa.string()
+_FIELDS = pa.struct([("title", _string), ("fields", pa.map_(_string, _string)), ("fees", pa.list_(pa.struct([("amount", _string), ("label", _string)]))), ("prose", _string), ("group_url", _string)])
+#: Pages of a batch that are Python objects at once.
+SOME = 64
+
+
+@F.arrow_udf(FIELDS)
+def extract_fields(html: pa.Array, base: pa.Array) -> pa.Array:
+    """Arrow batches through the standard HTML parser, a few pages at a time; a null page gives empty fields."""
+    done = [pa.array([], _FIELDS)]
+    for at in range(0, len(html), SOME):
+        pages = (page_fields(h or "", b or "") for h, b in zip(html[at : at + SOME].to_pylist(), base[at : at + SOME].to_pylist(), strict=True))
+        done.append(pa.array([page | {"fields": list(page["fields"].items())} for page in pages], _FIELDS))
+    return pa.concat_arrays(done)
 
 
 def segments(fields: DataFrame) -> DataFrame:

@@ -252,3 +252,19 @@ def test_filters_of_every_kind_meet_the_listings_that_fit(spark, monkeypatch):
         fits = [x for x in fits if (f["max_fee_cents"] is None or x[4] <= f["max_fee_cents"]) and (f["min_fee_cents"] is None or x[4] >= f["min_fee_cents"])]
         assert found.get(item, []) == [x[0] for x in sorted(fits, key=lambda x: (-x[5], x[0]))[:4]], texts[item]
     assert len({tuple(v) for v in found.values()}) > 3
+
+
+def test_only_a_few_pages_are_python_objects_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    cells = "".join(f"<tr><td>Label {i}</td><td>value {i}</td></tr>" for i in range(20))
+    pages = pa.array([f"<h1>Page {k}</h1><p>{'prose ' * 50}</p><table>{cells}</table>" for k in range(3000)] + [None])
+    tracemalloc.start()
+    made = ing.extract_fields.func(pages, pa.array(["https://x/"] * 3000 + [None]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 << 20
+    assert len(made) == 3001 and made[2999].as_py()["title"] == "Page 2999" and made[2999].as_py()["fields"][3] == ("label3", "value 3")
+    assert made[3000].as_py() == {"title": "", "fields": [], "fees": [], "prose": "", "group_url": None}
