@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from operator import itemgetter
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .clusters import cut
-from .textblocks import LOWER, U64, Words, blocks, hash_word, mix
+from .textblocks import LOWER, U64, Words, blocks, hash_word, mix, runs, windows
 
 WORDS, LEAST, PERCENT, TOP = 5, 100, 100, 2000
 UNKNOWN = "und"
@@ -37,8 +36,14 @@ _PIECE_END = np.zeros(256, dtype=bool)
 _PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _WORD = ~_PIECE_END
 _WORD[[0x20, 0x09]] = False
-#: For whole texts at once: A-Z in lower case, what ends a piece as a newline, tabs as spaces.
-_PLAIN = bytes(0x0A if _PIECE_END[b] else 0x20 if b == 0x09 else int(LOWER[b]) for b in range(256))
+
+
+def _grouped(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Each word's group, by its place among the groups, and its piece, by a number that grows."""
+    row = np.searchsorted(offsets, words.starts, "right") - 1
+    coded = rows.column(0).dictionary_encode()
+    piece = np.cumsum(_PIECE_END[data], dtype=np.int32)[words.starts] + row if len(row) else row
+    return coded.indices.to_numpy(zero_copy_only=False)[row], piece, coded.dictionary.to_pylist()
 
 
 class Phrases:
@@ -46,25 +51,28 @@ class Phrases:
 
     def __init__(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, most: int):
         self.words = words = Words(data, offsets, _WORD)
-        row = np.searchsorted(offsets, words.starts, "right") - 1
-        coded = rows.column(0).dictionary_encode()
-        self.groups = coded.dictionary.to_pylist()
-        seeds = np.array([hash_word(g.encode() + b"\n") for g in self.groups], dtype=U64)
-        self.group = coded.indices.to_numpy(zero_copy_only=False)[row]
-        piece = np.cumsum(_PIECE_END[data])[words.starts] + row if len(row) else row
+        group, piece, groups = _grouped(rows, data, offsets, words)
+        seeds = np.array([hash_word(g.encode() + b"\n") for g in groups], dtype=U64)
         self.hashes: list[np.ndarray] = []
         self.inside: list[np.ndarray] = []  # whether so many words from here on stand in one piece
-        word, rolled = words.hashes(), seeds[self.group] if len(row) else np.zeros(0, dtype=U64)
+        word, rolled = words.hashes(), seeds[group] if len(group) else np.zeros(0, dtype=U64)
         for m in range(1, most + 1):
             n = max(len(word) - m + 1, 0)
             rolled = (rolled[:n] + word[m - 1 :]) * U64(0x9E3779B97F4A7C15)
             rolled ^= rolled >> U64(29)
             self.inside.append(piece[:n] == piece[m - 1 :])
             self.hashes.append(mix(rolled))
-        self.text = LOWER[data].tobytes()
+        self.text = LOWER[data]
 
-    def phrase(self, at: int, m: int) -> str:
-        return b" ".join(self.text[self.words.starts[at] : self.words.ends[at + m - 1]].split()).decode()
+    def lines(self, at: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, sizes) of the phrases of m words from ``at`` on: one space between words, a newline after the last."""
+        word, ends = runs(at, m), np.cumsum(m)
+        size = self.words.ends[word] - self.words.starts[word] + 1
+        data = self.text[np.minimum(runs(self.words.starts[word], size), len(self.text) - 1)]
+        after = np.cumsum(size)
+        data[after - 1] = 0x20
+        data[after[ends - 1] - 1] = 0x0A
+        return data, np.diff(after[ends - 1], prepend=0)
 
 
 def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,35 +161,42 @@ def _candidates(shared: list, bits: int, most: int, shares: int):
     One that stands inside a longer such phrase wherever the task meets it isn't named: the longer one names it.
     """
 
-    def rows(held: list[tuple[int, str]]) -> pa.RecordBatch:
-        held.sort()
-        share = np.array([s for s, _ in held], dtype=np.int32)
+    def rows(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        share, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(share, kind="stable")
+        data = data[runs((np.cumsum(size) - size)[order], size[order])].tobytes()
+        share, ends = share[order], np.cumsum(np.append(0, size[order]))
         first = np.flatnonzero(np.append(True, share[1:] != share[:-1]))
-        bodies = [zlib.compress("\n".join(p for _, p in held[a:b]).encode(), 1) for a, b in zip(first, [*first[1:], len(held)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(share[first]), pa.array(bodies, pa.binary())], ["share", "phrases"])
+        bodies = [zlib.compress(data[a : b - 1], 1) for a, b in zip(ends[first].tolist(), [*ends[first[1:]].tolist(), len(data)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(share[first].astype(np.int32)), pa.array(bodies, pa.binary())], ["share", "phrases"])
 
     def run(batches):
-        sketches, held = [s.value for s in shared], []
+        sketches, held, size = [s.value for s in shared], [], 0
         seen = np.zeros(0, dtype=U64)
         for batch in batches:
             for some, data, offsets in blocks(batch):
                 phrases = Phrases(some, data, offsets, most)
                 good = _reach(phrases, sketches, bits, most)
+                places = []
                 for m in range(2, most + 1):
                     own = good[m - 1].copy()
                     if m < most:
                         longer = good[m]
                         own[: len(longer)] &= ~longer
                         own[1 : len(longer) + 1] &= ~longer
-                    at = np.flatnonzero(own)
-                    new, which = np.unique(phrases.hashes[m - 1][at], return_index=True)
-                    fresh = seen[np.minimum(np.searchsorted(seen, new), max(len(seen) - 1, 0))] != new if len(seen) else np.ones(len(new), dtype=bool)
-                    share = (new[fresh] % U64(shares)).tolist()
-                    held += [(s, phrases.phrase(i, m)) for s, i in zip(share, at[which[fresh]].tolist(), strict=True)]
-                    seen = np.union1d(seen, new[fresh])
-                if len(held) >= _HELD:
+                    places.append(np.flatnonzero(own))
+                at, number = np.concatenate([np.zeros(0, dtype=np.int64), *places]), np.repeat(np.arange(2, most + 1), [len(x) for x in places])
+                new, which = np.unique(np.concatenate([np.zeros(0, dtype=U64), *(h[x] for h, x in zip(phrases.hashes[1:], places, strict=True))]), return_index=True)
+                fresh = seen[np.minimum(np.searchsorted(seen, new), max(len(seen) - 1, 0))] != new if len(seen) else np.ones(len(new), dtype=bool)
+                new, which = new[fresh], which[fresh]
+                if len(new):
+                    named, sizes = phrases.lines(at[which], number[which])
+                    held.append(((new % U64(shares)).astype(np.int64), sizes, named))
+                    size += len(new)
+                    seen = np.sort(np.concatenate([seen, new]), kind="stable")  # two sorted stretches, which are merged
+                if size >= _HELD:
                     yield rows(held)
-                    held = []
+                    held, size = [], 0
         if held:
             yield rows(held)
 
@@ -209,80 +224,218 @@ def _with_parts(phrases: DataFrame) -> DataFrame:
     return phrases.select(F.split("phrase", " ").alias("w")).select(F.explode(part).alias("phrase")).distinct()
 
 
-@lru_cache(maxsize=1)
-def _automaton(shared) -> ahocorasick.Automaton:
-    """One automaton over the phrases, each between delimiters; its values are their numbers. A worker holds one at a time."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, phrase in enumerate(shared.value):
-        automaton.add_word(f" {phrase} ", i)
-    automaton.make_automaton()
-    return automaton
+class Table:
+    """Rows by their hashes, in open addressing. Rows may share a hash: who looks one up says whether it is the one that is meant."""
+
+    def __init__(self, hashes: np.ndarray):
+        size = 1 << max(4, (2 * len(hashes)).bit_length())
+        self.mask, self.empty = U64(size - 1), next(x for x in range(len(hashes) + 1) if not (hashes == U64(x)).any())
+        self.hashes, self.rows = np.full(size, self.empty, dtype=U64), np.full(size, -1, dtype=np.int32)
+        todo, at = np.arange(len(hashes)), (hashes & self.mask).astype(np.int64)
+        while len(todo):
+            free = self.rows[at] < 0
+            self.rows[at[free]] = todo[free]
+            rest = self.rows[at] != todo
+            self.hashes[at[~rest]] = hashes[todo[~rest]]
+            todo, at = todo[rest], at[rest] + 1 & int(self.mask)
+
+    def find(self, hashes: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """For each hash its row, of which ``same`` (places in ``hashes``, rows) is true; else -1."""
+        out, todo, wanted = np.full(len(hashes), -1, dtype=np.int64), None, hashes
+        at = (hashes & self.mask).astype(np.int64)
+        while todo is None or len(todo):
+            here = self.hashes[at]
+            equal = here == wanted
+            hit = np.flatnonzero(equal)
+            rows, places = self.rows[at[hit]], hit if todo is None else todo[hit]
+            if same:
+                right = (rows < 0) | same(places, rows)
+                equal[hit[~right]] = False
+                rows, places = rows[right], places[right]
+            out[places] = rows
+            more = np.flatnonzero(~equal & (here != self.empty))
+            todo = more if todo is None else todo[more]
+            at, wanted = at[more] + 1 & int(self.mask), wanted[more]
+        return out
+
+
+class Automaton:
+    """Aho-Corasick automaton over the numbers of words, for phrases all of whose beginnings are phrases too: state i + 1 is phrase i, 0 the root.
+
+    It is walked by many pieces at once, a word of each in a step. A word is found by its hash and then compared as it stands.
+    """
+
+    def __init__(self, phrases: pa.Array):
+        split = pc.split_pattern(phrases.cast(pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        data = np.frombuffer((coded.dictionary.cast(pa.large_binary()).buffers()[2] or b""), dtype=np.uint8)
+        ends = np.frombuffer(coded.dictionary.buffers()[1], dtype=np.int64)[coded.dictionary.offset :][: len(coded.dictionary) + 1]
+        self.known = Words.spanning(data, ends[:-1], ends[1:])
+        self.parts = windows(data)
+        self.words = Table(self.known.hashes())
+        number, first = coded.indices.to_numpy().astype(np.int64), np.asarray(split.offsets).astype(np.int64)
+        size, n = np.diff(first), len(phrases)
+        self.first = np.zeros(len(ends) - 1, dtype=np.int64)  # the state after a word from the root
+        self.fail, self.before, self.last = (np.zeros(n + 1, dtype=np.int64) for _ in range(3))
+        state = np.zeros(n, dtype=np.int64)  # of each phrase's beginning so far
+        keys = np.zeros(n, dtype=U64)
+        levels = [np.flatnonzero(size == m) for m in range(1, int(size.max(initial=0)) + 1)]
+        for m, own in enumerate(levels, 1):
+            word = number[first[own] + m - 1]
+            if m == 1:
+                self.first[word] = own + 1
+            self.before[own + 1], self.last[own + 1] = state[own], word
+            keys[own] = self._key(state[own], word)
+            longer = np.flatnonzero(size > m)
+            word = number[first[longer] + m - 1]
+            if m == 1:
+                state[longer] = self.first[word]
+            elif len(longer):
+                level = np.sort(keys[own])
+                order = own[np.argsort(keys[own])]
+                state[longer] = order[np.searchsorted(level, self._key(state[longer], word))] + 1
+        self.to = np.concatenate([np.zeros(0, dtype=np.int64), *(own + 1 for own in levels[1:])])
+        self.steps = Table(mix(keys[self.to - 1]))
+        for own in levels[1:]:
+            self.fail[own + 1] = self.step(self.fail[self.before[own + 1]], self.last[own + 1])
+
+    @staticmethod
+    def _key(state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return state.astype(U64) << U64(32) | word.astype(U64)
+
+    def numbers(self, words: Words, hashes: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for one of no phrase."""
+        size, known = words.ends - words.starts, self.known
+        parts = windows(LOWER[words.data])
+
+        def same(places: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            # equal hashes of words of one size up to eight bytes are of equal words, as each step of the hash can be undone
+            right = size[places] == known.ends[rows] - known.starts[rows]
+            long = np.flatnonzero(right & (size[places] > 8))
+            n = size[places[long]]
+            here, there = runs(words.starts[places[long]], n // 8, 8), runs(known.starts[rows[long]], n // 8, 8)
+            differ = np.bincount(np.repeat(np.arange(len(long)), n // 8), weights=parts[here] != self.parts[there], minlength=len(long)) > 0
+            # the last eight bytes, which may overlap those before
+            right[long] = ~differ & (parts[words.ends[places[long]] - 8] == self.parts[known.ends[rows[long]] - 8])
+            return right
+
+        return self.words.find(hashes, same)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The states after one more word each."""
+        out = np.where(word >= 0, self.first[word] if len(self.first) else 0, 0)
+        todo = np.flatnonzero((state > 0) & (word >= 0))
+        state, word = state[todo], word[todo]
+        while len(todo):
+            keys = self._key(state, word)
+            row = self.steps.find(mix(keys))  # the mix can be undone: equal hashes are of equal keys
+            hit = row >= 0
+            out[todo[hit]] = self.to[row[hit]]
+            state = self.fail[state]
+            more = ~hit & (state > 0)
+            todo, state, word = todo[more], state[more], word[more]
+        return out
+
+    def states(self, number: np.ndarray, piece: np.ndarray, most: int) -> np.ndarray:
+        """The state after each word; a piece begins at the root. Long pieces are walked in stretches, each from ``most`` - 1 words before it."""
+        out = np.zeros(len(number), dtype=np.int64)
+        head = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])) if len(piece) else np.zeros(0, dtype=np.int64)
+        size = np.diff(np.append(head, len(number)))
+        many = -(-size // _STRETCH)
+        begin = runs(head, many, _STRETCH)
+        end = np.minimum(begin + _STRETCH, np.repeat(head + size, many))
+        at = np.maximum(begin - (most - 1), np.repeat(head, many))
+        order = np.argsort(at - end, kind="stable")
+        begin, end, at = begin[order], end[order], at[order]
+        state = np.zeros(len(at), dtype=np.int64)
+        left = np.searchsorted(at - end, -np.arange(int((end - at).max(initial=0))), "left")  # how many have a word more
+        for k, n in enumerate(left.tolist()):
+            here = at[:n] + k
+            state = self.step(state[:n], number[here])
+            own = here >= begin[:n]
+            out[here[own]] = state[own]
+        return out
+
+
+#: Words of a piece that are walked one after the other.
+_STRETCH = 64
 
 
-def _guarded(text: str) -> tuple[str, int]:
-    """(the words with one space on each side and a newline between pieces, how many words)."""
-    pieces = [p.split() for p in text.encode().translate(_PLAIN).split(b"\n")]
-    return "\n".join(f" {b' '.join(p).decode()} " for p in pieces if p), sum(map(len, pieces))
+@lru_cache(maxsize=1)
+def _automaton(shared) -> Automaton:
+    """A worker holds one at a time."""
+    return Automaton(shared.value)
 
 
-#: Characters of the texts that are scanned at once.
-_SCANNED = 1 << 20
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their summed counts."""
+    keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n[order], first)
 
 
-def _counted(shared, with_words: bool):
+def _counted(shared, most: int, with_words: bool):
     """Arrow function: (group, text) to rows (lang, chunk, counts): how often the task's texts hold each phrase, overlapping occurrences
-    included, packed by _CHUNK phrase numbers; chunk -1 has the number of words."""
+    included, packed by _CHUNK phrase numbers; chunk -1 has the number of words.
+
+    A state that a word leads to stands for the longest phrase that ends there, those it fails to for the others.
+    """
 
     def run(batches):
-        automaton = _automaton(shared) if shared.value else None
-        counts: dict[str, Counter] = {}
+        automaton = _automaton(shared)
+        codes: dict[str, int] = {}
         words: Counter = Counter()
-        waiting: dict[str, list[str]] = {}
-        sizes: Counter = Counter()
-
-        def scan(group: str) -> None:
-            counts.setdefault(group, Counter()).update(map(itemgetter(1), automaton.iter("\n".join(waiting.pop(group)))))
-            sizes[group] = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
         def row(group: str, chunk: int, packed: np.ndarray) -> tuple:
             return group, chunk, packed.shape[1], pa.compress(packed.astype("<u8").tobytes(), "zstd", asbytes=True)
 
         def out() -> Iterator[pa.RecordBatch]:
             rows = [row(group, -1, np.array([[0], [n]])) for group, n in words.items()] if with_words else []
-            for group, found in counts.items():
-                if not found:
-                    continue  # texts without any of the phrases
-                number = np.sort(np.fromiter(found, dtype=np.int64, count=len(found)))
-                n = np.array([found[i] for i in number.tolist()], dtype=np.int64)
-                first = np.flatnonzero(np.append(True, number[1:] // _CHUNK != number[:-1] // _CHUNK))
-                rows += [row(group, int(number[a]) // _CHUNK, np.stack([number[a:b] % _CHUNK, n[a:b]])) for a, b in zip(first, [*first[1:], len(number)], strict=True)]
-            counts.clear()
+            if held:
+                groups, (keys, n) = list(codes), _merged(held)
+                number = (keys & _STATE).astype(np.int64) - 1
+                chunk = keys >> U64(32) << U64(32) | (number // _CHUNK).astype(U64)
+                first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+                rows += [row(groups[int(keys[a] >> U64(32))], int(number[a]) // _CHUNK, np.stack([number[a:b] % _CHUNK, n[a:b]])) for a, b in zip(first, [*first[1:], len(keys)], strict=True)]
+            held.clear()
             words.clear()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["lang", "chunk", "entries", "counts"])
 
         for batch in batches:
-            for group, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                guarded, n = _guarded(text.as_py())
-                words[group] += n
-                if automaton is None or not n:
-                    continue
-                waiting.setdefault(group, []).append(guarded)
-                sizes[group] += len(guarded)
-                if sizes[group] >= _SCANNED:
-                    scan(group)
-            if sum(sizes.values()) > 8 * _SCANNED:
-                for group in [*waiting]:
-                    scan(group)
-            if sum(map(len, counts.values())) > _HELD:
-                yield from out()
-        for group in [*waiting]:
-            scan(group)
+            for some, data, offsets in blocks(batch):
+                found = Words(data, offsets, _WORD)
+                group, piece, groups = _grouped(some, data, offsets, found)
+                for g, n in zip(groups, np.bincount(group, minlength=len(groups)).tolist(), strict=True):
+                    codes.setdefault(g, len(codes))
+                    if n:
+                        words[g] += n
+                state = automaton.states(automaton.numbers(found, found.hashes()), piece, most)
+                code = np.array([codes[g] for g in groups], dtype=U64)[group]
+                keys, n = np.unique((code << U64(32) | state.astype(U64))[state > 0], return_counts=True)
+                while len(keys):
+                    held.append((keys, n))
+                    size += len(keys)
+                    to = automaton.fail[(keys & _STATE).astype(np.int64)]
+                    keys, n = (keys >> U64(32) << U64(32) | to.astype(U64))[to > 0], n[to > 0]
+                if size > _FLUSH:
+                    held[:] = [_merged(held)]
+                    size = len(held[0][0])
+                    if size > _HELD:
+                        yield from out()
+                        size = 0
         yield from out()
 
     return run
 
 
+_STATE = U64((1 << 32) - 1)
+
+
 #: Phrases whose counts are packed in one row.
 _CHUNK = 4096
 
@@ -299,8 +452,8 @@ def _totals(shared, least: int):
                 langs, phrases, f = [now[0]], [None], total[:1].tolist()
             else:
                 some = np.flatnonzero(total >= least)
-                langs, phrases, f = [now[0]] * len(some), [shared.value[now[1] * _CHUNK + i] for i in some.tolist()], total[some].tolist()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(f, pa.int64())], ["lang", "phrase", "f"])
+                langs, phrases, f = [now[0]] * len(some), shared.value.take(pa.array(now[1] * _CHUNK + some)), total[some].tolist()
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), phrases if isinstance(phrases, pa.Array) else pa.array(phrases, pa.string()), pa.array(f, pa.int64())], ["lang", "phrase", "f"])
 
         for batch in batches:
             for lang, chunk, n, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -322,8 +475,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", group_col: str = "lan
     Two scans add the hashed phrases up in sketches of two rows, whose counters are upper bounds: that of one and two words, then
     that of longer ones all of whose pairs of words reach ``least`` by the first. A sketch is combined within a task, summed by
     shuffle, and reaches the driver as one bit a counter, at most ``most_counters`` bits. A third scan takes
-    the phrases that reach ``least`` by their sketch, as do all their parts. A last one counts them, in one automaton a pass,
-    of at most about ``automaton_chars`` characters; what the sketches let through wrongly goes then.
+    the phrases that reach ``least`` by their sketch, as do all their parts. A last one counts them, in one automaton a pass, of at most
+    about ``automaton_chars`` characters, those of one first word together; what the sketches let through wrongly goes then.
     """
     group = F.coalesce(F.col(group_col).cast("string"), F.lit(UNKNOWN))
     given = docs.select(group.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -335,7 +488,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", group_col: str = "lan
             counters = given.mapInArrow(_counters(list(sketches), bits, least, first, min(last, most)), "part int, entries int, counts binary")
             summed = counters.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(least), "part int, bits binary")
             heavy = np.zeros(1 << bits - 3, dtype=np.uint8)
-            for r in summed.toLocalIterator():
+            for r in summed.collect():  # a bit a counter, summed by all tasks at once
                 heavy[r["part"] << _PART_BITS - 3 : r["part"] + 1 << _PART_BITS - 3] = np.frombuffer(r["bits"], dtype=np.uint8)
             sketches.append(context.broadcast(heavy))
     packed = given.mapInArrow(_candidates(sketches, bits, most, 64 + size // BYTES_A_SHARE), "share int, phrases binary")
@@ -344,9 +497,9 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", group_col: str = "lan
     shares = 1 + chars // automaton_chars
     found = None
     for share in range(shares):
-        mine = candidates.where(F.pmod(F.xxhash64("phrase"), F.lit(shares)) == share)
-        phrases = context.broadcast(mine.toArrow().column("phrase").to_pylist())
-        packed = given.mapInArrow(_counted(phrases, not share), "lang string, chunk int, entries int, counts binary").repartition("lang", "chunk").sortWithinPartitions("lang", "chunk")
+        mine = candidates.where(F.pmod(F.xxhash64(F.substring_index("phrase", " ", 1)), F.lit(shares)) == share)
+        phrases = context.broadcast(mine.toArrow().column("phrase").cast(pa.string()).combine_chunks())
+        packed = given.mapInArrow(_counted(phrases, most, not share), "lang string, chunk int, entries int, counts binary").repartition("lang", "chunk").sortWithinPartitions("lang", "chunk")
         some = cut(packed.mapInArrow(_totals(phrases, least), "lang string, phrase string, f long"))
         phrases.destroy()
         found = some if found is None else found.unionByName(some)

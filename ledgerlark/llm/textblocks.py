@@ -101,17 +101,22 @@ class Words:
         if not len(self.starts):
             return np.zeros(0, dtype=U64)
         sizes = self.ends - self.starts
-        parts = (sizes + 7) // 8
-        first = np.cumsum(parts) - parts
-        values = windows(LOWER[self.data])[runs(self.starts, parts, 8)]
-        tail = first + parts - 1
-        values[tail] &= ~U64(0) >> (U64(8) * ((-sizes) % 8).astype(U64))
-        place = runs(np.zeros_like(parts), parts)
-        values += _PLACE[np.minimum(place, len(_PLACE) - 1)]
-        if parts.max() > len(_PLACE):
-            far = place >= len(_PLACE)
-            values[far] = mix(values[far]) + place[far].astype(U64) * U64(0x9E3779B97F4A7C15)
-        return mix(np.add.reduceat(mix(values), first) + sizes.astype(U64))
+        eight = windows(LOWER[self.data])
+        total = mix((eight[self.starts] & (~U64(0) >> (U64(8) * (8 - np.minimum(sizes, 8)).astype(U64)))) + _PLACE[0])
+        long = np.flatnonzero(sizes > 8)
+        if len(long):
+            rest = sizes[long] - 8
+            parts = (rest + 7) // 8
+            first = np.cumsum(parts) - parts
+            values = eight[runs(self.starts[long] + 8, parts, 8)]
+            values[first + parts - 1] &= ~U64(0) >> (U64(8) * ((-rest) % 8).astype(U64))
+            place = runs(np.ones_like(parts), parts)
+            values += _PLACE[np.minimum(place, len(_PLACE) - 1)]
+            if parts.max() >= len(_PLACE):
+                far = place >= len(_PLACE)
+                values[far] = mix(values[far]) + place[far].astype(U64) * U64(0x9E3779B97F4A7C15)
+            total[long] += np.add.reduceat(mix(values), first)
+        return mix(total + sizes.astype(U64))
 
 
 def hash_word(word: bytes) -> int:

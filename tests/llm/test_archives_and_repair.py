@@ -5,9 +5,12 @@ import gzip
 import hashlib
 import io
 import itertools
+import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,6 +277,29 @@ def test_scores_past_64_bits(spark):
     assert row.select(F.call_function("div", (product * F.col("n")).cast("decimal(38,0)"), (F.col("l") * F.col("r")).cast("decimal(38,0)"))).first()[0] == 1000 * a * n // (left * right)
 
 
+@pytest.mark.parametrize("mask", [(1 << 64) - 1, 0x7, 0])
+def test_automaton_of_words(monkeypatch, mask):
+    """Pieces of any length, words that share a hash, long words that differ in one byte; phrases whose ends are no phrases."""
+    hashes = collocations.Words.hashes
+    monkeypatch.setattr(collocations.Words, "hashes", lambda self: hashes(self) & np.uint64(mask))
+    rng = random.Random(4)
+    known = ["a", "été", "abcdefgh", "abcdefghi", "abcdefghj", "xbcdefghi", "abcdefghabcdefghabcdefgh1", "abcdefghXbcdefghabcdefgh1".lower(), "b" * 9]
+    pieces = [[rng.choice([*known, "others", "abcdefghk"]) for _ in range(n)] for n in (1, 2, 3, 5, 64, 65, 400, 1000)]
+    longest = {tuple(p[i : i + m]) for p in pieces for m in (2, 4, 5) for i in range(0, len(p) - m + 1, 17) if all(w in known for w in p[i : i + m])}
+    phrases = sorted({p[:m] for p in longest for m in range(1, len(p) + 1)} | {(w,) for w in known})
+    assert any(p[1:] not in phrases for p in phrases if len(p) > 2)
+    automaton = collocations.Automaton(pa.array([" ".join(p) for p in phrases]))
+    data = np.frombuffer(".".join(" ".join(p) for p in pieces).encode(), dtype=np.uint8)
+    offsets = np.array([0, len(data)])
+    words = collocations.Words(data, offsets, collocations._WORD)
+    _, piece, _ = collocations._grouped(pa.record_batch({"lang": ["en"], "text": ["x"]}), data, offsets, words)
+    counts, state = np.zeros(len(phrases) + 1, dtype=int), automaton.states(automaton.numbers(words, words.hashes()), piece, 5)
+    while state.any():
+        counts += np.bincount(state, minlength=len(counts))
+        state = automaton.fail[state]
+    assert counts[1:].tolist() == [sum(tuple(p[i : i + len(q)]) == q for p in pieces for i in range(len(p))) for q in phrases]
+
+
 def test_no_documents_have_no_collocations(spark):
     docs = spark.createDataFrame([], "text string, lang string")
     assert collocations.collocations(docs).count() == 0
