@@ -72,3 +72,37 @@ def test_labels(spark):
     assert [show(tx.and_list(F.array(*map(F.lit, x)) if x else F.array().cast("array<string>"))) for x in ([], ["a"], ["a", "b"], ["a", "b", "c"])] == ["", "a", "a and b", "a, b, and c"]
     assert show(tx.canonical_filter(F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("2")))) == '{"a":"2","b":"1"}'
     assert show(tx.canonical_filter(F.lit(None).cast("map<string,string>"))) == ""
+
+
+def test_hashed_embedding_word_by_word(spark):
+    """Counts by crc32 as a loop over the words has them: rows that touch, long words, letters whose lower case is in ASCII, nulls."""
+    import random
+    import re
+    import zlib
+
+    import numpy as np
+
+    from ledgerlark.functions.text import STOP_WORDS
+    from ledgerlark.functions.vectors import hashed_embedding
+
+    rng = random.Random(5)
+    texts = ["", None, "a", "The of", "x" * 33 + " " + "Y" * 32 + " z" * 5, "İstanbul Kelvin Été", "abcdefgh abcdefghi abcdefghabcdefgh", "them an9 9"]
+    texts += [" ".join("".join(rng.choice("aBthe19") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    found = dict(spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", hashed_embedding(F.col("text"), 16).alias("e")).collect())
+    for i, t in enumerate(texts):
+        plain = np.zeros(16)
+        for word in re.findall("[a-z0-9]+", (t or "").lower()):
+            if word not in STOP_WORDS:
+                plain[zlib.crc32(word.encode()) % 16] += 1
+        assert np.array_equal(found[i], (plain[None] / np.maximum(np.linalg.norm(plain[None], axis=1, keepdims=True), 1e-300))[0])
+
+
+def test_words_that_end_otherwise_are_their_own_stems():
+    import itertools
+    import re
+
+    from ledgerlark.functions.stem import ENDS, SPECIAL, STAYS, stem
+
+    parts = ("y", "e", "ing", "ed", "ll", "a", "bcd", "s", "li", "9", "at", "ion", "al", "ous", "gener", "iz", "ogi")
+    words = {"".join(p) for n in (1, 2, 3, 4) for p in itertools.product(parts, repeat=n)} | {*SPECIAL, *STAYS}
+    assert [w for w in words if not re.search(ENDS, w) and stem(w) != w] == []
