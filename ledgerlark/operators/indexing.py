@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..functions.derive import normalized_title
 from ..functions.text import estimate_tokens, tokens
 from ..functions.vectors import hashed_embedding
 from ..schemas import EVAL_K, RRF_K
-from ..sources.commits import work_folder
+from ..sources.commits import cut, work_folder
 from . import postings
 from .evaluate import LADDER, score
 from .retrieval import knn_batch
@@ -49,6 +52,27 @@ def reconcile(items: DataFrame, keep: DataFrame, key: str) -> tuple[DataFrame, D
     return keep.join(items.select(key), key, "left_anti"), items.join(keep.select(key), key, "left_anti")
 
 
+_OVERLAP = "query_id long, course_id long, bare int, full int, words int, lang string, chunk_lang string, overlap int"
+_SPACES = bytes(b if 0x30 <= b < 0x3A or 0x61 <= b < 0x7B else 0x20 for b in range(256))
+
+
+def _overlaps(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """Arrow cogroup function: questions and their candidates with the text's language and how many of the question's words stand in it."""
+    at = pc.index_in(pairs.column("course_id").combine_chunks(), value_set=texts.column("course_id").combine_chunks())
+    place = at.to_numpy(zero_copy_only=False)
+    bodies, asked = texts.column("text"), pairs.column("asked").combine_chunks()
+    overlap, last, words = np.zeros(len(place), dtype=np.int32), None, frozenset()
+    order = np.argsort(place, kind="stable")
+    for i in range(0, len(order), 4096):
+        for k, each in zip(order[i : i + 4096].tolist(), asked.take(pa.array(order[i : i + 4096])).to_pylist(), strict=True):
+            if place[k] != last:
+                last = place[k]
+                words = frozenset((bodies[int(last)].as_py() or "").encode().translate(_SPACES).decode().split())
+            overlap[k] = len(words.intersection(each))
+    kept = pairs.select(["query_id", "course_id", "bare", "full", "words", "lang"])
+    return kept.append_column("chunk_lang", texts.column("chunk_lang").take(at)).append_column("overlap", pa.array(overlap))
+
+
 def ablation(items: DataFrame, chunk: DataFrame, width: int = 64, limit: int = EVAL_K) -> DataFrame:
     """Mean metrics of each ladder row over all questions, in one plan.
 
@@ -57,6 +81,7 @@ def ablation(items: DataFrame, chunk: DataFrame, width: int = 64, limit: int = E
     ladder row takes its pools' ranks, fuses them, reranks by overlap with the question, or keeps the candidates that fit
     the question's filter (here its language; all of them where none fits).
     """
+    items = cut(items.select("item_id", "question", "relevant", "lang"))
     stored = work_folder(chunk.sparkSession)
     postings.write(chunk.select("course_id", "text"), stored)
     bare = F.regexp_replace("text", r"^[^\n]*\n", "")
@@ -73,9 +98,11 @@ def ablation(items: DataFrame, chunk: DataFrame, width: int = 64, limit: int = E
         one = found.select("query_id", "course_id", *[F.when(F.lit(n == name), F.col("rank")).alias(n) for n in lists])
         pools = one if pools is None else pools.unionByName(one)
     pools = pools.groupBy("query_id", "course_id").agg(*[F.min(n).alias(n) for n in lists])
-    body = chunk.join(pools.select("course_id").distinct(), "course_id", "left_semi").select("course_id", F.array_distinct(tokens(F.col("text"))).alias("terms"), F.col("lang").alias("chunk_lang"))
     known = items.select(F.col("item_id").alias("query_id"), "lang", F.array_distinct(tokens(F.col("question"))).alias("asked"))
-    rows = pools.join(known, "query_id").join(body, "course_id").withColumn("overlap", F.size(F.array_intersect("terms", "asked"))).drop("terms", "asked")
+    body = chunk.select("course_id", F.lower("text").alias("text"), F.col("lang").alias("chunk_lang"))
+    parts = 1 + (chunk.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // postings.SHARD_BYTES
+    dealt = lambda df: df.withColumn("part", F.pmod(F.xxhash64("course_id"), F.lit(parts)))
+    rows = dealt(pools.join(known, "query_id")).groupBy("part").cogroup(dealt(body).groupBy("part")).applyInArrow(_overlaps, _OVERLAP)
     ladder = chunk.sparkSession.createDataFrame([(r["row"], r["name"], r["prefix"], r["lexical"], r["rerank"], r["filter"]) for r in LADDER], "row int, name string, prefix boolean, lexical boolean, rerank boolean, filter boolean")
     part = lambda rank: F.coalesce(F.lit(1.0) / (F.lit(RRF_K) + rank), F.lit(0.0))
     each = rows.crossJoin(F.broadcast(ladder)).withColumn("rrf", part(F.when(F.col("prefix"), F.col("full")).otherwise(F.col("bare"))) + F.when(F.col("lexical"), part(F.col("words"))).otherwise(0.0))

@@ -133,3 +133,36 @@ def test_memory_of_a_shard():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert made.num_rows == 1001 and most < 300 << 20
+
+
+@pytest.mark.parametrize(("cells", "postings", "limit"), [(1, 1, 3), (64, 500, 20), (1 << 15, 1 << 21, 50)])
+def test_questions_of_one_group_are_answered_together(monkeypatch, cells, postings, limit):
+    """The same texts, ties by id, postings and opened ones as question by question, also behind what other shards gave."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(pos, "CELLS", cells)
+    monkeypatch.setattr(pos, "POSTINGS", postings)
+    rng = random.Random(7)
+    texts = [" ".join(f"v{min(rng.randint(0, 40), rng.randint(0, 40))}" for _ in range(rng.choice([0, 1, 3, 40, 300]))) for _ in range(900)]
+    shard = pos.Shard(pos._inverted((pa.scalar(0, pa.int32()),), pa.table({"course_id": [(i * 7919) % 1000 for i in range(900)], "text": texts})))
+    asked = [[f"v{rng.randint(0, 45)}" for _ in range(rng.randint(1, 6))] for _ in range(60)]
+    least = np.array([rng.choice([0.0, 0.0, 0.1, 0.5, 2.0, 99.0]) for _ in asked])
+    pairs = [(i, shard.terms[w]) for i, words in enumerate(asked) for w in words if w in shard.terms]
+    best = pos.Best(least, np.full(len(asked), 1 << 40), limit)
+    total, opened = shard.tops(np.array([i for i, _ in pairs]), np.array([t for _, t in pairs]), best)
+    for i, words in enumerate(asked):
+        ids, scores, n, seen = shard.top([words], [], [], limit, least[i])
+        mine = best.question == i
+        assert best.ids[mine].tolist() == ids.tolist() and np.allclose(best.scores[mine], scores)
+        assert total[i] == n and opened[i] <= seen
+
+
+def test_words_of_a_question_in_its_candidates():
+    import pyarrow as pa
+
+    texts = pa.table({"course_id": [1, 2, 3], "text": ["red fox, fox2 été", None, "the fox-red"], "chunk_lang": ["en", None, "de"], "part": [0, 0, 0]})
+    asked = [["red", "fox"], ["fox2", "t", "x"], ["red"], ["fo"], ["red", "fox"]]
+    pairs = pa.table({"query_id": [1, 2, 1, 3, 4], "course_id": [3, 1, 2, 1, 1], "bare": [1] * 5, "full": [1] * 5, "words": [1] * 5, "lang": ["en"] * 5, "asked": asked})
+    found = indexing._overlaps(pairs, texts)
+    assert found.column("overlap").to_pylist() == [2, 2, 0, 0, 2] and found.column("chunk_lang").to_pylist() == ["de", "en", None, "en", "en"]
