@@ -99,3 +99,15 @@ def test_versions(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         catalog.replace_table(broken, path)
     assert catalog.read_table(spark, path).count() == 5 and catalog.versions(spark, path).count() == 2
+
+
+def test_true_places_of_a_mask():
+    import numpy as np
+
+    from ledgerlark.operators.retrieval import _true
+
+    rng = np.random.default_rng(1)
+    for shape in ((1, 1), (3, 5), (4, 16), (7, 9), (0, 4), (5, 1)):
+        for share in (0, 0.1, 1):
+            mask = rng.random(shape) < share
+            assert _true(mask).tolist() == np.flatnonzero(mask).tolist()
